@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooreflow.llm import exact_dedup, langid, packing, pii, secret_scan
+from mooreflow.llm import exact_dedup, langid, near_dedup, packing, pii, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_documents(spark, sf_dir), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -46,6 +50,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
