@@ -30,14 +30,12 @@ HASHES = TREES * OWN
 #: Neighbours on each side in an order; prefix shared by a whole window from which a region is passed
 #: again, and neighbours on each side then.
 WINDOW, CROWDED, WINDOW_AGAIN = 4, 3, 32
-#: Equal sketch bits of the 128 that a candidate needs. At a similarity of 0.8 or more 0.9 of the bits
-#: are equal on average, with a deviation of 0.027: fewer than 98 come once in 10**6 links.
-LEAST_BITS = 98
+#: A candidate's sketches may agree in so many standard deviations fewer values than at the least similarity.
+DEVIATIONS = 4.5
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
 _ORDERS = [np.concatenate([np.arange(t * OWN, (t + 1) * OWN), (np.arange((t + 1) * OWN, (t + 1) * OWN + DEPTH - OWN)) % HASHES]) for t in range(TREES)]
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -81,8 +79,8 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 2000):
             part = batch.iloc[at : at + 2000]
             sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, HASHES)
-            bits = np.packbits((sig * np.uint32(0x9E3779B1)) >> np.uint32(31), axis=1)
-            own = part.drop(columns="sig").assign(sketch=[x.tobytes() for x in bits])
+            sketch = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+            own = part.drop(columns="sig").assign(sketch=[x.tobytes() for x in sketch])
             for t, order in enumerate(_ORDERS):
                 keys = np.ascontiguousarray(sig[:, order].astype(">u4"))
                 yield own.assign(tree=t, key=[k.tobytes() for k in keys])
@@ -92,12 +90,15 @@ def _neighbours(window: int, percent: int, again: bool, seam: bool):
     """Candidates among the sorted rows of a partition, and the rows at its ends for the seams."""
     columns = ["kind", "a", "b", "rank", "tree", "key", "cid", "n", "comp", "sketch", "part"]
 
+    mean = HASHES * (percent / 100 + (1 - percent / 100) / 256)
+    least = mean - DEVIATIONS * (mean * (1 - mean / HASHES)) ** 0.5
+
     def pairs_of(f: pd.DataFrame, fresh: int) -> Iterator[pd.DataFrame]:
         size = len(f)
         if size < 2:
             return
         keys = np.frombuffer(b"".join(f["key"]), ">u4").reshape(size, DEPTH)
-        bits = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(size, HASHES // 8)
+        sketch = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(size, HASHES)
         cid, n, tree, comp, part = (f[c].to_numpy() for c in ("cid", "n", "tree", "comp", "part"))
         for g in range(1, min(window, size - 1) + 1):
             lo = np.arange(max(0, fresh - g), size - g)
@@ -111,12 +112,16 @@ def _neighbours(window: int, percent: int, again: bool, seam: bool):
                 crowd = np.unique(np.concatenate([cid[lo[depth]], cid[hi[depth]]]))
                 if len(crowd):
                     yield pd.DataFrame({"kind": 2, "cid": crowd})
-            same = HASHES - _BITS[bits[lo] ^ bits[hi]].sum(1, dtype=np.int64)
             small_n, large_n = np.minimum(n[lo], n[hi]).astype(np.int64), np.maximum(n[lo], n[hi]).astype(np.int64)
-            ok = (same >= LEAST_BITS) & (100 * small_n >= percent * large_n)
+            ok = 100 * small_n >= percent * large_n
             lo, hi = lo[ok], hi[ok]
+            same = (sketch[lo] == sketch[hi]).sum(1)
+            ok = same >= least
+            lo, hi, same = lo[ok], hi[ok], same[ok]
             if len(lo):
-                rank = np.where(g > 1, 2, np.where(tree[lo] == 0, 0, np.where(tree[lo] < 4, 1, 2)))
+                rank = np.where(same < mean, 3, 2)
+                if g == 1 and not again:
+                    rank = np.where(same < mean, 3, np.where(tree[lo] == 0, 0, np.where(tree[lo] < 4, 1, 2)))
                 yield pd.DataFrame({"kind": 0, "a": np.minimum(cid[lo], cid[hi]), "b": np.maximum(cid[lo], cid[hi]), "rank": rank})
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
@@ -265,7 +270,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         sets = sets_for(pairs)
         # Most links of a large group follow from a few neighbours each: the others then lie within
         # one component and need no confirmation.
-        for rank in (0, 1, 2):
+        for rank in (0, 1, 2, 3):
             link(pairs.where(F.col("rank") == rank), sets)
         tested, again = pairs.select("a", "b"), 0
         while crowded.limit(1).count():
@@ -274,7 +279,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             rows = rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
             more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True)
             more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
-            if not more.limit(1).count() or not link(more, sets_for(more)):
+            if not more.limit(1).count():
+                break
+            sets = sets_for(more)
+            if not any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
                 break
             tested = tested.unionAll(more.select("a", "b"))
     home = classes.select("print", "cid", "best")
