@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
@@ -47,9 +47,11 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else df, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, or so much weight, the sum of a column
+    where rows are not all short; else df, for a shuffle join."""
+    size = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= rows else df
 
 
 def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,9 +72,14 @@ def steps(texts: Sequence[str | None], chars: int = STEP_CHARS) -> Iterator[tupl
         yield start, len(texts)
 
 
+def lower(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words as UTF-8, split at ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    return lower(text).split() if text else []
 
 
 def hash_words(words: Sequence[bytes]) -> np.ndarray:

@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, ascii_words, hash_words, mix, signed, small, steps, with_row
+from mooreflow.llm.common import Workspace, hash_words, lower, mix, signed, small, steps, with_row
 
 #: Shorter lines are left alone: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
-#: Units of a line below which a finer cut is taken too.
-FEW_UNITS = 4
+#: Units of a line below which a finer cut is taken too. With this many, something is left of both
+#: lines when one has two units deleted and the other one.
+FEW_UNITS = 3
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _THREE = np.uint64(3)
 
@@ -96,16 +97,23 @@ def variants(w: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tu
         active = active & few
 
 
-def second_keys(key: int, w: np.ndarray) -> np.ndarray:
-    """Keys of the deleted words w, with one of them left out, and whole with a gap at each place."""
-    q = len(w)
-    k = np.uint64(key)
-    j = np.arange(q, dtype=np.uint64)
-    a = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w + j * _K1 + _K2), dtype=np.uint64)])  # before a place
-    b = mix(w + (np.uint64(q) - np.uint64(1) - j) * _K2 + _K3)
-    rest = np.concatenate([np.cumsum(b[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])  # from a place on
-    gaps = mix(k + a * _THREE + mix(rest))
-    return np.concatenate([mix(k + a[:-1] * _THREE + mix(rest[1:])), gaps])
+def second_keys(key: np.ndarray, w: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, key) of the second step: the deleted words w[begin:end] of each variant with one of
+    them left out, and whole with a gap at each place."""
+    q = end - begin
+    first = np.cumsum(q) - q
+    of = np.repeat(np.arange(len(q)), q)
+    j = np.arange(int(q.sum())) - first[of]
+    own = w[begin[of] + j]
+    a = mix(own + j.astype(np.uint64) * _K1 + _K2)
+    b = mix(own + (q[of] - 1 - j).astype(np.uint64) * _K2 + _K3)
+    before = _before(a, first[of])
+    total_a, total_b = np.add.reduceat(a, first), np.add.reduceat(b, first)
+    rest = total_b[of] - _before(b, first[of])  # from a place on
+    out = mix(key[of] + before * _THREE + mix(rest - b))
+    gaps = mix(key[of] + before * _THREE + mix(rest))
+    last = mix(key + total_a * _THREE + mix(np.zeros(len(q), np.uint64)))
+    return np.concatenate([of, of, np.arange(len(q))]), np.concatenate([out, gaps, last])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -124,8 +132,8 @@ def _flat(texts: list[str | None], min_words: int):
     """Lines with enough words: text index, line number, and their word hashes laid end to end."""
     who, number, counts, words = [], [], [], []
     for i, t in enumerate(texts):
-        for k, x in enumerate(t.split("\n") if t else ()):
-            own = ascii_words(x)
+        for k, x in enumerate(lower(t).split(b"\n") if t else ()):
+            own = x.split()
             if len(own) >= min_words:
                 who.append(i)
                 number.append(k)
@@ -203,29 +211,47 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": k[give][keep], "h": v[give][keep]})
 
 
-def _second(min_words: int):
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Second-step keys of the marked lines, and once for each its words (sub null)."""
-        for batch in batches:
-            sub, h, text = [], [], []
-            for t, marks in zip(batch["text"], batch["marks"], strict=True):
-                lines = t.split("\n")
+def _needed(keys: list[int], groups: list[int], at: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the variants in `at` (line, key, begin, end, whether two units are deleted), those to go on
+    with: those with a key that other lines share, and of the longer deletions those whose group, known
+    by a hash of its lines, is not that of one of the two shorter deletions as well."""
+    group_of = dict(zip(keys, groups, strict=True))
+    singles: dict[tuple[int, int], int] = {}
+    for of, key, begin, end, two in at:
+        group = [group_of.get(k) for k in signed(key).tolist()]
+        take = np.array([i for i, g in enumerate(group) if g is not None], np.int64)
+        spans = list(zip(begin[take].tolist(), end[take].tolist(), (group[i] for i in take.tolist()), strict=True))
+        if not two:
+            singles = {k: g for x, y, g in spans for k in ((x, -1), (-1, y))}
+        else:
+            take = take[[singles.get((x, -1)) != g and singles.get((-1, y)) != g for x, y, g in spans]] if spans else take
+        if len(take):
+            yield of[take], key[take], begin[take], end[take]
+
+
+def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Second-step keys of the marked lines, and once for each its words (sub null)."""
+    for batch in batches:
+        for i, j in steps(batch["text"].tolist()):
+            part = batch.iloc[i:j]
+            lines, hashes, keys, groups = [], [], [], []
+            for t, marks in zip(part["text"], part["marks"], strict=True):
+                own = lower(t).split(b"\n")
                 for m in marks:
-                    own = ascii_words(lines[m["line"]])
-                    w = hash_words(own)
-                    count = np.array([len(w)])
-                    if int(signed(line_hash(w, np.zeros(1, np.int64), count))[0]) != m["h"]:
-                        raise ValueError("the input's rows changed between two reads; write them to a table first")
-                    wanted, found = set(m["keys"]), []
-                    for _, key, a, b in variants(w, np.zeros(1, np.int64), count):
-                        found += [second_keys(k, w[x:y]) for k, s, x, y in zip(key.tolist(), signed(key).tolist(), a, b, strict=True) if s in wanted]
-                    keys = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-                    sub += [None, *signed(keys).tolist()]
-                    h += [m["h"]] * (1 + len(keys))
-                    text += [b" ".join(own).decode("utf-8", "replace")] + [None] * len(keys)
-            yield pd.DataFrame({"sub": pd.array(sub, "Int64"), "h": pd.array(h, "Int64"), "words": text})
-
-    return second
+                    lines.append(own[m["line"]].split() if m["line"] < len(own) else [])
+                    hashes.append(m["h"])
+                    keys += [k["key"] for k in m["keys"]]
+                    groups += [k["lines"] for k in m["keys"]]
+            count = np.array([len(x) for x in lines], np.int64)
+            start = np.cumsum(count) - count
+            w, h = hash_words([x for own in lines for x in own]), np.array(hashes, np.int64)
+            if not count.all() or (signed(line_hash(w, start, count)) != h).any():
+                raise ValueError("the input's rows changed between two reads; write them to a table first")
+            yield pd.DataFrame({"h": h, "words": [b" ".join(x).decode("utf-8", "replace") for x in lines]}).assign(sub=pd.array([None] * len(h), "Int64"))[["sub", "h", "words"]]
+            at = [(*x, bool(k % 2)) for k, x in enumerate(variants(w, start, count))]
+            for of, key, begin, end in _needed(keys, groups, at):
+                who, sub = second_keys(key, w, begin, end)
+                yield pd.DataFrame({"sub": pd.array(signed(sub), "Int64"), "h": h[of[who]], "words": None})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,11 +277,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     keys = src.select("text").mapInPandas(_keys(min_words), "key long, h long")
     shared = work.stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInPandas(_shared, "key long, h long"), "shared")
-    marked = shared.groupBy("h").agg(F.collect_set("key").alias("keys")).join(firsts, "h")
+    whole = shared.groupBy("key").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines"))
+    marked = shared.join(whole, "key").groupBy("h").agg(F.collect_list(F.struct("key", "lines")).alias("keys")).join(firsts, "h")
     marked = marked.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "keys")).alias("marks"))
     marked = work.stage(marked, "marked")
-    texts = src.select("row", "text").join(small(marked), "row")
-    subs = work.stage(texts.select("text", "marks").mapInPandas(_second(min_words), "sub long, h long, words string"), "second")
+    weight = F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + 1 + F.size(m["keys"]))
+    texts = src.select("row", "text").join(small(marked, 1_000_000, weight), "row")
+    subs = work.stage(texts.select("text", "marks").mapInPandas(_second, "sub long, h long, words string"), "second")
     work.drop("shared")
     words = subs.where("sub is null").select("h", "words")
     own = subs.where("sub is not null").select("sub", "h").join(firsts.select("h", "first"), "h")
