@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooreflow.llm import exact_dedup, langid, line_dedup, near_dedup, packing, pii, secret_scan
+from mooreflow.llm import decontam, exact_dedup, langid, license_scan, line_dedup, lm_score, near_dedup, packing, pii, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("row")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.score(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -54,14 +64,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_documents(spark, sf_dir))
+    return found.drop("row")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_lm_score": op6_lm_score,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL = {"op8_exact_dedup": OP8_SQL}
