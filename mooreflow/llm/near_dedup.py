@@ -238,7 +238,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     made: list[DataFrame] = []
 
     def sets_for(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        need = pairs.select(F.col("a").alias("cid")).distinct().unionAll(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
         for old in made:
             need = need.join(old.select("cid"), "cid", "left_anti")
         need = need.join(classes.select("cid", "print"), "cid")
