@@ -86,6 +86,67 @@ def hash_words(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are hashed with one table of powers; a longer word is hashed piece by piece.
+_BLOCK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _powers:
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(_BLOCK, b, np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x, dtype=np.uint64))
+    return _powers
+
+
+def hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a text in UTF-8, words being runs without ASCII white space. A word
+    has the same hash wherever it stands: its polynomial in a fixed base, finalised with its length."""
+    up, down = _tables()
+    b = np.frombuffer(data, np.uint8)
+    word = ~_SPACE[b]
+    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    h = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = int(np.searchsorted(end, base + _BLOCK, "right"))
+        if j > i:
+            block = b[base : end[j - 1]]
+            total = np.concatenate([[np.uint64(0)], np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], dtype=np.uint64)])
+            h[i:j] = (total[end[i:j] - base] - total[start[i:j] - base]) * down[start[i:j] - base]
+            i = j
+            continue
+        value, shift = 0, 1  # one word longer than a block
+        for at in range(int(base), int(end[i]), _BLOCK):
+            block = b[at : min(at + _BLOCK, end[i])].astype(np.uint64) + np.uint64(1)
+            value += int(np.sum(block * up[: len(block)], dtype=np.uint64)) * shift
+            shift = shift * pow(_BASE, _BLOCK, 1 << 64) % (1 << 64)
+        h[i] = value % (1 << 64)
+        i += 1
+    return mix(h + (end - start).astype(np.uint64) * _M2), start
+
+
+def text_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts laid end to end, words of each text, and the line of each word."""
+    parts = [lower(t) if t else b"" for t in texts]
+    data = b" ".join(parts)
+    h, start = hash_bytes(data)
+    size = np.array([len(p) + 1 for p in parts], np.int64)
+    begin = np.cumsum(size) - size
+    first = np.searchsorted(start, begin)
+    count = np.diff(np.concatenate([first, [len(start)]]))
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(breaks, start) - np.repeat(np.searchsorted(breaks, begin), count)
+    return h, count, line
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits."""
     x = (x ^ (x >> _U30)) * _M1

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, hash_words, lower, mix, signed, small, steps, with_row
+from mooreflow.llm.common import Workspace, hash_bytes, lower, mix, signed, small, steps, text_hashes, with_row
 
 #: Shorter lines are left alone: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
@@ -85,7 +85,7 @@ def variants(w: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tu
         total_b = np.repeat(np.add.reduceat(b, head), per)
         post = total_b - _before(b, first)  # this unit and all after it
         after = post - b
-        salt = np.uint64(level + 1) * _K3
+        salt = np.uint64((level + 1) * int(_K3) % (1 << 64))
         begin, end = words[unit_start], words[unit_end] + 1
         one = n >= 2
         yield of[one], mix(pre * _THREE + mix(after + salt))[one], begin[one], end[one]
@@ -130,17 +130,15 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 def _flat(texts: list[str | None], min_words: int):
     """Lines with enough words: text index, line number, and their word hashes laid end to end."""
-    who, number, counts, words = [], [], [], []
-    for i, t in enumerate(texts):
-        for k, x in enumerate(lower(t).split(b"\n") if t else ()):
-            own = x.split()
-            if len(own) >= min_words:
-                who.append(i)
-                number.append(k)
-                counts.append(len(own))
-                words += own
-    count = np.array(counts, np.int64)
-    return np.array(who, np.int64), np.array(number, np.int64), hash_words(words), np.cumsum(count) - count, count
+    h, per, number = text_hashes(texts)
+    who = np.repeat(np.arange(len(texts)), per)
+    new = np.concatenate([[True], (who[1:] != who[:-1]) | (number[1:] != number[:-1])]) if len(h) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    count = np.diff(np.concatenate([start, [len(h)]]))
+    take = count >= min_words
+    words = np.repeat(take, count)
+    count = count[take]
+    return who[start[take]], number[start[take]], h[words], np.cumsum(count) - count, count
 
 
 def _lines(min_words: int):
@@ -244,7 +242,7 @@ def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     groups += [k["lines"] for k in m["keys"]]
             count = np.array([len(x) for x in lines], np.int64)
             start = np.cumsum(count) - count
-            w, h = hash_words([x for own in lines for x in own]), np.array(hashes, np.int64)
+            w, h = hash_bytes(b" ".join(x for own in lines for x in own))[0], np.array(hashes, np.int64)
             if not count.all() or (signed(line_hash(w, start, count)) != h).any():
                 raise ValueError("the input's rows changed between two reads; write them to a table first")
             yield pd.DataFrame({"h": h, "words": [b" ".join(x).decode("utf-8", "replace") for x in lines]}).assign(sub=pd.array([None] * len(h), "Int64"))[["sub", "h", "words"]]
