@@ -25,6 +25,8 @@ MIN_WORDS = 5
 #: Units of a line below which a finer cut is taken too. With this many, something is left of both
 #: lines when one has two units deleted and the other one.
 FEW_UNITS = 3
+#: Lines that share a key of the first step and are so few are paired at once, without a second step.
+FEW_LINES = 3
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _THREE = np.uint64(3)
 
@@ -275,18 +277,28 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     keys = src.select("text").mapInPandas(_keys(min_words), "key long, h long")
     shared = work.stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInPandas(_shared, "key long, h long"), "shared")
-    whole = shared.groupBy("key").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines"))
-    marked = shared.join(whole, "key").groupBy("h").agg(F.collect_list(F.struct("key", "lines")).alias("keys")).join(firsts, "h")
-    marked = marked.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "keys")).alias("marks"))
-    marked = work.stage(marked, "marked")
+    whole = shared.groupBy("key").agg(F.count("*").alias("n"), F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines"))
+    shared = work.stage(shared.join(whole, "key"), "groups")
+    work.drop("shared")
+    many = F.when(F.col("n") > FEW_LINES, F.struct("key", "lines"))
+    marked = work.stage(shared.groupBy("h").agg(F.collect_list(many).alias("keys")).join(firsts.select("h", "first"), "h"), "marked")
+    order = marked.select("h", "first")
+    by_row = marked.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "keys")).alias("marks"))
+    by_row = work.stage(by_row, "by-row")
     weight = F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + 1 + F.size(m["keys"]))
-    texts = src.select("row", "text").join(small(marked, 1_000_000, weight), "row")
+    texts = src.select("row", "text").join(small(by_row, 1_000_000, weight), "row")
     subs = work.stage(texts.select("text", "marks").mapInPandas(_second, "sub long, h long, words string"), "second")
-    work.drop("shared")
     words = subs.where("sub is null").select("h", "words")
-    own = subs.where("sub is not null").select("sub", "h").join(firsts.select("h", "first"), "h")
+    own = subs.where("sub is not null").select("sub", "h").join(order, "h")
     best = own.groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"))
-    pairs = own.join(best, "sub").select(F.col("h").alias("a"), F.col("best.h").alias("b")).where("a <> b").distinct()
+    pairs = own.join(best, "sub").select(F.col("h").alias("a"), F.col("best.h").alias("b"))
+    few = shared.where(F.col("n") <= FEW_LINES).groupBy("key").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    two = F.transform("hs", lambda x, i: F.transform(F.filter("hs", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    few = few.select(F.explode(F.flatten(two)).alias("p")).select("p.*").distinct()
+    for x in "xy":
+        few = few.join(order.select(F.col("h").alias(x), F.col("first").alias(f"at_{x}")), x)
+    few = few.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("at_x") > F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    pairs = pairs.unionAll(few).where("a <> b").distinct()
     for x in "ab":
         pairs = pairs.join(words.select(F.col("h").alias(x), F.col("words").alias(f"w{x}")), x)
     near = pairs.mapInPandas(_verified, "a long, b long").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
