@@ -44,12 +44,15 @@ def rows_of(machines: Sequence[Machine], first_id: int = 0) -> dict[str, list[tu
     return out
 
 
-def catalog(spark: SparkSession, machines: Sequence[Machine]) -> Catalog:
+def catalog(spark: SparkSession, machines: Sequence[Machine], separate: bool = False) -> Catalog:
+    """The machines as tables; one unit in which an output has one driver, or with separate each its own."""
     from decimal import Decimal
 
     rows = rows_of(machines)
     rows["assignments"] = [(*r[:4], Decimal(r[4]), *r[5:]) for r in rows["assignments"]]
-    return Catalog(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()})
+    tables = {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}
+    tables["machines"] = tables["machines"].withColumn("unit", F.col("machine_id") if separate else F.lit(0).cast("long"))
+    return Catalog(**tables)
 
 
 def _message(key: str, *parts: Column) -> Column:
@@ -90,9 +93,8 @@ def name_resolution(c: Catalog) -> DataFrame:
 
 
 def single_driver(c: Catalog, unit: str = "unit") -> DataFrame:
-    """Outputs that several machines of one unit declare, or that a machine assigns but another declares.
-    machines may have a column that names the unit; without one the catalog is one unit."""
-    machines = c.machines if unit in c.machines.columns else c.machines.withColumn(unit, F.lit(0))
+    """Outputs that several machines of one unit declare, or that a machine assigns but another declares."""
+    machines = c.machines
     own = c.ports.where("direction = 'out'").groupBy("machine_id", "name").agg(F.min_by(F.struct("ord", "line", "col"), "ord").alias("p"))
     own = own.select("machine_id", "name", "p.*").join(machines.select("machine_id", unit, F.col("name").alias("machine"), "source_file"), "machine_id")
     w = Window.partitionBy(unit, "name").orderBy("machine_id")
