@@ -21,12 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import ascii_words, grams, hash_words, mix, steps, with_row
+from mooreflow.llm.common import grams, mix, steps, text_hashes, with_row
 
 ORDER, ALPHA, FLOOR = 3, 0.4, 0.5
 #: Characters of a chunk of documents, and of the corpus for each part of the count table.
 CHUNK_CHARS, PART_CHARS = 8_000_000, 8_000_000
-#: The hash under which the number of words is counted.
+#: Keys of n-grams have 56 bits: one of 10**13 others has a given n-gram's key with a chance of 1 in 7000.
+BITS = 56
+_SPARE = np.uint64(64 - BITS)
+#: The key under which the number of words is counted.
 _TOTAL = np.uint64(0)
 
 
@@ -48,10 +51,17 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b), dtype=np.uint64)
 
 
-def ngrams(text: str | None, order: int) -> list[np.ndarray]:
-    """Hashes of the text's n-grams, for n from 1 to order."""
-    h = hash_words(ascii_words(text))
-    return [mix(grams(h, n) + np.uint64(n)) for n in range(1, order + 1)]
+def ngrams(h: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the n-grams of many texts and the places of their last words, for n from 1 to order. h:
+    word hashes laid end to end; text: the text of each word."""
+    out = []
+    for n in range(1, order + 1):
+        if len(h) < n:
+            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+            continue
+        at = np.flatnonzero(text[n - 1 :] == text[: len(text) - n + 1])
+        out.append(((mix(grams(h, n) + np.uint64(n)) >> _SPARE)[at], at + n - 1))
+    return out
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -67,19 +77,15 @@ def _counted(order: int, parts: int):
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Distinct n-grams of each chunk and their counts, by part of the table."""
         for number, rows in _chunks(batches):
-            words, found = 0, []
-            for t in rows["text"]:
-                own = ngrams(t, order)
-                words += len(own[0])
-                found += own
+            h, count, _ = text_hashes(rows["text"].tolist())
+            found = [g for g, _ in ngrams(h, np.repeat(np.arange(len(count)), count), order)]
             keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            part = part_of(keys, parts)
-            edges = np.searchsorted(part, np.arange(parts + 1))
+            edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
             out = []
             for p in range(parts):
                 k, c = keys[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
-                if p == 0:  # the number of words, under a hash that sorts first
-                    k, c = np.concatenate([[_TOTAL], k]), np.concatenate([[words], c])
+                if p == 0:  # the number of words, under a key that sorts first
+                    k, c = np.concatenate([[_TOTAL], k]), np.concatenate([[len(h)], c])
                 if len(k):
                     out.append((number, p, pack_sorted(k), pack(c)))
             yield pd.DataFrame(out, columns=["chunk", "part", "keys", "counts"])
@@ -88,20 +94,19 @@ def _counted(order: int, parts: int):
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Parts are ranges of the hash, so sorted keys have sorted parts. parts: a power of two."""
-    return (keys >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)
+    """Parts are ranges of the keys, so sorted keys have sorted parts. parts: a power of two."""
+    return keys >> np.uint64(BITS - parts.bit_length() + 1)
 
 
 def _totals(part: pd.DataFrame) -> pd.DataFrame:
     """One part of the count table: sums over chunks, sent back to each chunk in its own order."""
     sent = [unpack_sorted(k) for k in part["keys"]]
-    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+    keys = np.unique(np.concatenate(sent))
+    places = [np.searchsorted(keys, s) for s in sent]
     counts = np.zeros(len(keys), np.int64)
-    place = np.cumsum([0] + [len(s) for s in sent])
-    for i, c in enumerate(part["counts"]):
-        counts[at[place[i] : place[i + 1]]] += unpack(c).astype(np.int64)
-    back = [pack(counts[at[place[i] : place[i + 1]]].astype(np.uint64)) for i in range(len(sent))]
-    return pd.DataFrame({"chunk": part["chunk"], "part": part["part"], "body": back, "rows": None})
+    for at, c in zip(places, part["counts"], strict=True):
+        counts[at] += unpack(c).astype(np.int64)
+    return pd.DataFrame({"chunk": part["chunk"], "part": part["part"], "body": [pack(counts[at]) for at in places], "rows": None})
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,38 +118,34 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": [number], "part": [-1], "body": [body], "rows": [packed]})
 
 
-def scores(own: list[np.ndarray], keys: np.ndarray, totals: np.ndarray, all_words: int) -> tuple[int, float]:
-    """Words and summed log score of a text. own: its n-grams by order; keys, totals: corpus counts."""
-    n = len(own[0])
-    if not n:
-        return 0, 0.0
-    others = []  # by order: occurrences of each n-gram in other documents
-    for g in own:
-        _, at, counts = np.unique(g, return_inverse=True, return_counts=True)
-        others.append(totals[np.searchsorted(keys, g)] - counts[at])
-    score = np.log(np.maximum(others[0], FLOOR) / max(1, all_words - n))
-    for k in range(2, len(own) + 1):
-        # words k-1 and on have k-1 words before them
-        if len(own[k - 1]):
-            c, context = others[k - 1], others[k - 2][:-1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score[k - 1 :] = np.where(c > 0, np.log(c / context), np.log(ALPHA) + score[k - 1 :])
-    return n, float(score.sum())
+def others(g: np.ndarray, text: np.ndarray, order: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Occurrences of each n-gram in other texts than its own. order: a stable sort of g, texts being in
+    order; totals: the corpus counts of the distinct keys of g."""
+    k, t = g[order], text[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    run = np.flatnonzero(new | np.concatenate([[True], t[1:] != t[:-1]]))
+    own = np.repeat(np.diff(np.concatenate([run, [len(k)]])), np.diff(np.concatenate([run, [len(k)]])))
+    out = np.empty(len(g), np.int64)
+    out[order] = totals[np.cumsum(new) - 1] - own
+    return out
 
 
 def _scored(order: int, parts: int):
     def scored(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("part")
         head, back = chunk.iloc[0], chunk.iloc[1:]
-        data, at, own, rows = zstandard.decompress(head["body"]), 0, [], list(head["rows"])
+        data, at, texts, rows = zstandard.decompress(head["body"]), 0, [], list(head["rows"])
         for r in rows:
-            own.append(ngrams(data[at : at + r["size"]].decode("utf-8", "surrogatepass"), order))
+            texts.append(data[at : at + r["size"]].decode("utf-8", "surrogatepass"))
             at += r["size"]
-        keys = np.unique(np.concatenate([g for x in own for g in x]))
-        part = part_of(keys, parts)
+        h, count, _ = text_hashes(texts)
+        text = np.repeat(np.arange(len(count)), count)
+        found = [(g, ends, np.argsort(g, kind="stable")) for g, ends in ngrams(h, text, order)]
+        distinct = [s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s := g[o]) else g for g, _, o in found]
+        keys = np.unique(np.concatenate(distinct))
         if len(keys) and keys[0] == _TOTAL:
-            raise ValueError("an n-gram has the hash of the total")
-        totals, edges = np.zeros(len(keys), np.int64), np.searchsorted(part, np.arange(parts + 1))
+            raise ValueError("an n-gram has the key of the total")
+        totals, edges = np.zeros(len(keys), np.int64), np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
         words = 0
         for p, body in zip(back["part"], back["body"], strict=True):
             c = unpack(body).astype(np.int64)
@@ -153,8 +154,19 @@ def _scored(order: int, parts: int):
             if len(c) != edges[p + 1] - edges[p]:
                 raise ValueError("the input's rows changed between two reads; write them to a table first")
             totals[edges[p] : edges[p + 1]] = c
-        out = [(r["row"], r["doc_id"], *scores(g, keys, totals, words)) for r, g in zip(rows, own, strict=True)]
-        frame = pd.DataFrame(out, columns=["row", "doc_id", "n_words", "log_score"])
+        value, shorter = np.zeros(len(h)), np.zeros(len(h), np.int64)
+        for n, ((g, ends, o), own) in enumerate(zip(found, distinct, strict=True), 1):
+            if not len(g):
+                break
+            c = others(g, text[ends], o, totals[np.searchsorted(keys, own)])
+            if n == 1:
+                value = np.log(np.maximum(c, FLOOR) / np.maximum(1, words - count)[text])
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value[ends] = np.where(c > 0, np.log(c / shorter[ends - 1]), np.log(ALPHA) + value[ends])
+            shorter = np.zeros(len(h), np.int64)
+            shorter[ends] = c
+        frame = pd.DataFrame({"row": [r["row"] for r in rows], "doc_id": [r["doc_id"] for r in rows], "n_words": count, "log_score": np.bincount(text, value, len(count))})
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
