@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import steps, with_row
+from mooreflow.llm.common import mix, steps, with_row
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows for each label and in all, characters of a row, words of a segment.
-ROWS_PER_LABEL, ROWS, SAMPLE_CHARS, SEGMENT = 700, 6_000, 2_000, 16
+ROWS_PER_LABEL, ROWS, SAMPLE_CHARS, SEGMENT = 700, 6_000, 1_000, 16
 FEATURES = 1 << 17
 #: Words of the lexicon, taken from the training sample.
 LEXICON = 20_000
@@ -37,19 +38,48 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _slot(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature) & (FEATURES - 1)
-
-
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Slots of the word's affixes (1 to 3), character bigrams and trigrams, shape and lexicon entry.
-    A long run of letters counts by its first and last 16 letters."""
-    w = word if len(word) <= 32 else word[:16] + word[-16:]
-    x = f"<{w}>"
-    own = {f"p{w[:n]}" for n in (1, 2, 3)} | {f"s{w[-n:]}" for n in (1, 2, 3)}
-    own |= {x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)} | {f"#{min(len(w), 12)}"}
-    own |= {f"={w}" if w in lexicon else "=?"}
-    return sorted({_slot(f) for f in own})
+def _slots(kind: int, *codes: np.ndarray) -> np.ndarray:
+    h = np.full(len(codes[0]), kind, np.uint64)
+    for c in codes:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+    return (h & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, slot) of all features of the words, sorted by word: affixes of 1 to 3 letters, character
+    bigrams and trigrams with the word's ends, its length, and its entry in the lexicon, given as sorted
+    hashes. A run of over 32 letters counts by its first and last 16."""
+    cut = [w if len(w) <= 32 else w[:16] + w[-16:] for w in words]
+    codes = np.frombuffer("".join(f"<{w}>" for w in cut).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, cut), np.int64, len(cut)) + 2
+    end = np.cumsum(size)
+    start = end - size
+    of = np.repeat(np.arange(len(cut)), size)
+    found = []
+    for n in (2, 3):
+        at = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
+        found.append((of[at], _slots(n, *[codes[at + i] for i in range(n)])))
+    for n in (1, 2, 3):
+        long = np.flatnonzero(size >= n + 2)
+        found.append((long, _slots(10 + n, *[codes[start[long] + 1 + i] for i in range(n)])))
+        found.append((long, _slots(20 + n, *[codes[end[long] - 1 - n + i] for i in range(n)])))
+    all_ = np.arange(len(cut))
+    found.append((all_, _slots(30, np.minimum(size, 14))))
+    h = word_hashes(words)
+    known = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
+    found.append((all_, _slots(40, np.where(known, h, np.uint64(0)))))
+    word, slot = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(word, kind="stable")
+    return word[order], slot[order]
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _sums(weights: np.ndarray, word: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Summed weights of each word's features; every word has some."""
+    return np.add.reduceat(weights[slot], np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
 
 
 @dataclass(frozen=True)
@@ -57,7 +87,7 @@ class Model:
     labels: tuple[str, ...]
     weights: np.ndarray  # FEATURES x labels
     transitions: np.ndarray  # labels x labels
-    lexicon: frozenset[str]
+    lexicon: np.ndarray  # sorted hashes of words
 
 
 def _log_z(e: np.ndarray, a: np.ndarray):
@@ -93,7 +123,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
         if 0 < len(w) < SEGMENT // 2:  # a short text still counts, its words repeated to the length
             segments.append(((w * SEGMENT)[: SEGMENT // 2], labels.index(y)))
     segments = [segments[i] for i in rng.permutation(len(segments))]
-    lexicon = frozenset(w for w, c in Counter(w for s, _ in segments for w in s).most_common(LEXICON) if c > 1)
+    lexicon = np.sort(word_hashes([w for w, c in Counter(w for s, _ in segments for w in s).most_common(LEXICON) if c > 1]))
     # Most neighbours share their language: sort half of the pairs by it, leave the other half mixed.
     half = len(segments) // 2
     order = sorted(range(half), key=lambda i: segments[i][1]) + list(range(half, len(segments)))
@@ -103,9 +133,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
     types: dict[str, int] = {}
     x = np.array([[types.setdefault(w, len(types)) for w in segments[i][0]] for i in order]).reshape(-1, SEGMENT)
     y = np.repeat([segments[i][1] for i in order], SEGMENT // 2).reshape(-1, SEGMENT)
-    own = [features(w, lexicon) for w in types]
-    at, ids = np.repeat(np.arange(len(own)), [len(f) for f in own]), np.concatenate([np.array(f) for f in own])
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in own])[:-1]])
+    at, ids = features(list(types), lexicon)
     k, n = len(labels), x.size
     w, a = np.zeros((FEATURES, k)), np.zeros((k, k))
     gold = np.zeros((len(types), k))
@@ -114,7 +142,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
     np.add.at(gold_pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)]
     for step in range(1, epochs + 1):
-        score = np.add.reduceat(w[ids], starts, axis=0)
+        score = _sums(w, at, ids)
         score -= score.max(1, keepdims=True)
         _, m, pairs = _log_z(np.exp(np.maximum(score, -30))[x], np.exp(a))
         per_type = np.stack([np.bincount(x.ravel(), m[:, :, j].ravel(), len(types)) for j in range(k)], 1) - gold
@@ -194,10 +222,7 @@ class Tagger:
         known = self.known
         index = [known.setdefault(w, len(known)) for w in words]
         if (new := len(known) - len(self.table)) > 0:
-            fresh = list(known)[-new:]
-            own = [features(w, self.model.lexicon) for w in fresh]
-            starts = np.cumsum([0] + [len(f) for f in own])[:-1]
-            score = np.add.reduceat(self.model.weights[np.concatenate([np.array(f) for f in own])], starts, axis=0)
+            score = _sums(self.model.weights, *features(list(islice(reversed(known), new))[::-1], self.model.lexicon))
             score -= score.max(1, keepdims=True)
             self.table = np.concatenate([self.table, np.exp(np.maximum(score, -30))])
         return self.table[np.array(index)].astype(np.float64)
