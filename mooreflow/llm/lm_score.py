@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import grams, mix, steps, text_hashes, with_row
+from mooreflow.llm.common import distinct, grams, mix, steps, text_hashes, with_row
 
 ORDER, ALPHA, FLOOR = 3, 0.4, 0.5
 #: Characters of a chunk of documents, and of the corpus for each part of the count table.
@@ -101,7 +101,7 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 def _totals(part: pd.DataFrame) -> pd.DataFrame:
     """One part of the count table: sums over chunks, sent back to each chunk in its own order."""
     sent = [unpack_sorted(k) for k in part["keys"]]
-    keys = np.unique(np.concatenate(sent))
+    keys = distinct(np.concatenate(sent))
     places = [np.searchsorted(keys, s) for s in sent]
     counts = np.zeros(len(keys), np.int64)
     for at, c in zip(places, part["counts"], strict=True):
@@ -141,8 +141,8 @@ def _scored(order: int, parts: int):
         h, count, _ = text_hashes(texts)
         text = np.repeat(np.arange(len(count)), count)
         found = [(g, ends, np.argsort(g, kind="stable")) for g, ends in ngrams(h, text, order)]
-        distinct = [s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s := g[o]) else g for g, _, o in found]
-        keys = np.unique(np.concatenate(distinct))
+        single = [s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s := g[o]) else g for g, _, o in found]
+        keys = distinct(np.concatenate(single))
         if len(keys) and keys[0] == _TOTAL:
             raise ValueError("an n-gram has the key of the total")
         totals, edges = np.zeros(len(keys), np.int64), np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
@@ -155,7 +155,7 @@ def _scored(order: int, parts: int):
                 raise ValueError("the input's rows changed between two reads; write them to a table first")
             totals[edges[p] : edges[p + 1]] = c
         value, shorter = np.zeros(len(h)), np.zeros(len(h), np.int64)
-        for n, ((g, ends, o), own) in enumerate(zip(found, distinct, strict=True), 1):
+        for n, ((g, ends, o), own) in enumerate(zip(found, single, strict=True), 1):
             if not len(g):
                 break
             c = others(g, text[ends], o, totals[np.searchsorted(keys, own)])
