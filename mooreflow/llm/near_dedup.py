@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, ascii_words, components, grams, hash_words, mix, signed, small, with_row
+from mooreflow.llm.common import Workspace, ascii_words, components, distinct, grams, hash_words, mix, signed, small, with_row
 
 #: Words of a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -28,10 +28,10 @@ SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, OWN = 16, 16, 8
 HASHES = TREES * OWN
 #: Neighbours on each side in an order; prefix shared by a whole window from which a region is passed
-#: again, and neighbours on each side then.
-WINDOW, CROWDED, WINDOW_AGAIN = 4, 3, 32
+#: again, and neighbours on each side then, of all rows and of the ends of runs of one component.
+WINDOW, CROWDED, WINDOW_AGAIN, WINDOW_RUNS = 4, 3, 32, 8
 #: A candidate's sketches may agree in so many standard deviations fewer values than at the least similarity.
-DEVIATIONS = 4.5
+DEVIATIONS = 4.0
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -43,7 +43,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     h = hash_words(ascii_words(text))
     if not len(h):
         return h
-    return np.unique(grams(h, n)) if len(h) >= n else mix(grams(h, len(h)) + np.uint64(len(h)))
+    return distinct(grams(h, n)) if len(h) >= n else mix(grams(h, len(h)) + np.uint64(len(h)))
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -86,8 +86,9 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield own.assign(tree=t, key=[k.tobytes() for k in keys])
 
 
-def _neighbours(window: int, percent: int, again: bool, seam: bool):
-    """Candidates among the sorted rows of a partition, and the rows at its ends for the seams."""
+def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
+    """Candidates among the sorted rows of a partition, and the rows at its ends for the seams. again:
+    not the first pass; runs: only the ends of each run of one component are looked at."""
     columns = ["kind", "a", "b", "rank", "tree", "key", "cid", "n", "comp", "sketch", "part"]
 
     mean = HASHES * (percent / 100 + (1 - percent / 100) / 256)
@@ -149,10 +150,9 @@ def _neighbours(window: int, percent: int, again: bool, seam: bool):
         for batch in batches:
             if not seam:
                 batch = batch.assign(part=here)
-            if not again:
+            if not runs:
                 yield from step(batch)
                 continue
-            # Only the ends of each run of one component can meet another component.
             f = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
             comp, tree = f["comp"].to_numpy(), f["tree"].to_numpy()
             if not len(f):
@@ -173,14 +173,14 @@ def _neighbours(window: int, percent: int, again: bool, seam: bool):
 _NEIGHBOURS = "kind long, a long, b long, rank long, tree long, key binary, cid long, n long, comp long, sketch binary, part long"
 
 
-def _candidates(orders: DataFrame, work: Workspace, percent: int, tag: str, again: bool) -> tuple[DataFrame, DataFrame]:
+def _candidates(orders: DataFrame, work: Workspace, percent: int, tag: str, again: bool = False, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a < b, rank) of the orders, and the sets in crowded regions."""
-    order, window = ["tree", "key", "cid"], WINDOW_AGAIN if again else WINDOW
+    order, window = ["tree", "key", "cid"], WINDOW_RUNS if runs else WINDOW_AGAIN if again else WINDOW
     ranged = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = work.stage(ranged.mapInPandas(_neighbours(window, percent, again, False), _NEIGHBOURS), f"near-{tag}")
+    near = work.stage(ranged.mapInPandas(_neighbours(window, percent, again, runs, False), _NEIGHBOURS), f"near-{tag}")
     # The ends of partitions: a few rows for each partition, whatever the rows.
     ends = near.where("kind = 1").dropDuplicates(["tree", "cid", "part"]).select("tree", "key", "cid", "n", "comp", "sketch", "part")
-    seams = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(_neighbours(window, percent, again, True), _NEIGHBOURS)
+    seams = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(_neighbours(window, percent, again, runs, True), _NEIGHBOURS)
     both = work.stage(near.where("kind <> 1").unionAll(seams), f"both-{tag}")
     work.drop(f"near-{tag}")
     return both.where("kind = 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), both.where("kind = 2").select("cid").distinct()
@@ -230,7 +230,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     classes = features.where("n > 0").groupBy("print").agg(F.min("row").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig"), best.alias("best"))
     classes = work.stage(classes, "classes")
     orders = classes.select("cid", "n", "sig").mapInPandas(_spread, "cid long, n long, sketch binary, tree int, key binary")
-    pairs, crowded = _candidates(orders.withColumn("comp", F.col("cid")), work, percent, "0", False)
+    pairs, crowded = _candidates(orders.withColumn("comp", F.col("cid")), work, percent, "0")
     pairs = work.stage(pairs, "pairs-0")
     crowded = work.stage(crowded, "crowded")
     work.drop("both-0")
@@ -272,19 +272,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         # one component and need no confirmation.
         for rank in (0, 1, 2, 3):
             link(pairs.where(F.col("rank") == rank), sets)
-        tested, again = pairs.select("a", "b"), 0
-        while crowded.limit(1).count():
+        # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
+        # until neither finds a link.
+        tested, again, idle = pairs.select("a", "b"), 0, 0
+        while idle < 2 and crowded.limit(1).count():
             again += 1
             rows = orders.join(crowded, "cid", "left_semi")
             rows = rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
-            more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True)
+            more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True, again % 2 == 0)
             more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
-            if not more.limit(1).count():
-                break
-            sets = sets_for(more)
-            if not any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
-                break
-            tested = tested.unionAll(more.select("a", "b"))
+            idle += 1
+            if more.limit(1).count():
+                sets = sets_for(more)
+                if any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
+                    idle = 0
+                tested = tested.unionAll(more.select("a", "b"))
     home = classes.select("print", "cid", "best")
     if comps is not None:
         home = home.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("print", F.coalesce("comp", "cid").alias("comp"), "best")
