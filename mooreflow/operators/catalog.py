@@ -136,3 +136,27 @@ def state_widths(c: Catalog) -> DataFrame:
 
 def duplicate_states(c: Catalog) -> DataFrame:
     return c.states.groupBy("machine_id", "state").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def compiled(sources: DataFrame, strict: bool = False) -> DataFrame:
+    """Programs as a table (path, text) to their diagnostics: path, ok, and for each error rule (null for
+    one that isn't a safety rule), line, col, message and rendered. A sound program has one row."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from mooreflow.plans.language import MachineError, compile_text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    compile_text(text or "", path or "<input>", strict)
+                    out.append((path, True, None, None, None, None, None))
+                except MachineError as e:
+                    out += [(path, False, x.rule, x.line, x.column, x.message, str(x)) for x in (e, *getattr(e, "more", ()))]
+            frame = pd.DataFrame(out, columns=["path", "ok", "rule", "line", "col", "message", "rendered"])
+            yield frame.astype({"line": "Int64", "col": "Int64"})
+
+    return sources.select("path", "text").mapInPandas(run, "path string, ok boolean, rule string, line long, col long, message string, rendered string")

@@ -142,6 +142,25 @@ def cycled(pool: DataFrame, index: str, size: int, steps: int, batch: int) -> Da
     return grid.join(pool, index)
 
 
+def repeated(tasks: DataFrame, times: int) -> DataFrame:
+    """Each task so many times, numbered by rollout."""
+    return tasks.crossJoin(F.broadcast(tasks.sparkSession.range(times).withColumnRenamed("id", "rollout")))
+
+
+def every(steps: DataFrame, k: int, step: str = "step") -> DataFrame:
+    return steps.where(F.col(step) % k == 0)
+
+
+def random_task(tasks: DataFrame, seed: int = 0) -> DataFrame:
+    """One task, chosen by the seed."""
+    return tasks.orderBy(F.rand(seed)).limit(1)
+
+
+def running_mean(rewards: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """The series of a run's chart: mean reward of each step."""
+    return rewards.groupBy(run, step).agg(F.avg("reward").alias("mean"), F.count("*").alias("n"))
+
+
 GRADERS: dict[str, Callable[[str, str], dict]] = {}
 
 

@@ -126,3 +126,19 @@ def test_reports(spark):
     assert [r["id"] for r in one(spark, src.models(F.lit('[{"id":"a","trainable":true},{"id":"b","trainable":false}]')))] == ["a"]
     files = spark.createDataFrame([(2, "b"), (1, "a")], "ord int, text string")
     assert src.guide(files).first()[0] == "a\nb"
+
+
+def test_a_table_of_programs(spark):
+    from mooreflow.plans.fixtures import SEQ101
+
+    rows = [("a", SEQ101), ("b", SEQ101.replace("-> S3", "-> X").replace("y = 1", "")), ("c", "machine {"), ("d", None)]
+    got = cat.compiled(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert [(r["path"], r["ok"], r["rule"]) for r in sorted(got, key=lambda r: (r["path"], str(r["rule"])))] == [("a", True, None), ("b", False, "name_resolution"), ("b", False, "total_outputs"), ("c", False, None), ("d", False, None)]
+
+
+def test_task_pools(spark):
+    tasks = spark.createDataFrame([("a",), ("b",)], "task string")
+    assert grade.repeated(tasks, 3).count() == 6 and grade.random_task(tasks, 1).count() == 1
+    assert [r["id"] for r in grade.every(spark.range(7), 3, "id").collect()] == [0, 3, 6]
+    rewards = spark.createDataFrame([("r", 1, 0.5), ("r", 1, 1.0)], "run string, step int, reward double")
+    assert grade.running_mean(rewards).first()["mean"] == 0.75
