@@ -14,6 +14,7 @@ rest of the corpus says about it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -80,14 +81,10 @@ def _counted(order: int, parts: int):
             h, count, _ = text_hashes(rows["text"].tolist())
             found = [g for g, _ in ngrams(h, np.repeat(np.arange(len(count)), count), order)]
             keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-            out = []
-            for p in range(parts):
-                k, c = keys[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
-                if p == 0:  # the number of words, under a key that sorts first
-                    k, c = np.concatenate([[_TOTAL], k]), np.concatenate([[len(h)], c])
-                if len(k):
-                    out.append((number, p, pack_sorted(k), pack(c)))
+            keys, counts = np.concatenate([[_TOTAL], keys]), np.concatenate([[len(h)], counts])
+            part = part_of(keys, parts)
+            edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(keys)]
+            out = [(number, int(part[a]), pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in pairwise(edges)]
             yield pd.DataFrame(out, columns=["chunk", "part", "keys", "counts"])
 
     return counted
@@ -145,15 +142,18 @@ def _scored(order: int, parts: int):
         keys = distinct(np.concatenate(single))
         if len(keys) and keys[0] == _TOTAL:
             raise ValueError("an n-gram has the key of the total")
-        totals, edges = np.zeros(len(keys), np.int64), np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        words = 0
-        for p, body in zip(back["part"], back["body"], strict=True):
+        totals, part = np.zeros(len(keys), np.int64), part_of(keys, parts)
+        own = back["part"].to_numpy().astype(np.uint64)
+        words, covered = 0, 0
+        for p, a, b, body in zip(own.tolist(), np.searchsorted(part, own), np.searchsorted(part, own, "right"), back["body"], strict=True):
             c = unpack(body).astype(np.int64)
-            if p == 0:
+            if p == 0:  # this part begins with the number of words
                 words, c = int(c[0]), c[1:]
-            if len(c) != edges[p + 1] - edges[p]:
+            if len(c) != b - a:
                 raise ValueError("the input's rows changed between two reads; write them to a table first")
-            totals[edges[p] : edges[p + 1]] = c
+            totals[a:b], covered = c, covered + len(c)
+        if covered != len(keys):
+            raise ValueError("the input's rows changed between two reads; write them to a table first")
         value, shorter = np.zeros(len(h)), np.zeros(len(h), np.int64)
         for n, ((g, ends, o), own) in enumerate(zip(found, single, strict=True), 1):
             if not len(g):
