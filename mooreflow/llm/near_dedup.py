@@ -30,8 +30,12 @@ HASHES = TREES * OWN
 #: Neighbours on each side in an order; prefix shared by a whole window from which a region is passed
 #: again, and neighbours on each side then, of all rows and of the ends of runs of one component.
 WINDOW, CROWDED, WINDOW_AGAIN, WINDOW_RUNS = 4, 3, 32, 8
-#: A candidate's sketches may agree in so many standard deviations fewer values than at the least similarity.
-DEVIATIONS = 4.0
+#: A candidate's sketches may agree in so many standard deviations fewer values than at the least
+#: similarity, on the first pass and on later ones.
+DEVIATIONS, DEVIATIONS_AGAIN = 4.0, 3.0
+#: A pair is a candidate where its prefix is among its so many longest ones, on the first pass and on
+#: later ones; the other orders, in which it is nearer to chance, would mostly repeat it.
+LONGEST, LONGEST_AGAIN = 2, 3
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -92,7 +96,7 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
     columns = ["kind", "a", "b", "rank", "tree", "key", "cid", "n", "comp", "sketch", "part"]
 
     mean = HASHES * (percent / 100 + (1 - percent / 100) / 256)
-    least = mean - DEVIATIONS * (mean * (1 - mean / HASHES)) ** 0.5
+    least = mean - (DEVIATIONS_AGAIN if again else DEVIATIONS) * (mean * (1 - mean / HASHES)) ** 0.5
 
     def pairs_of(f: pd.DataFrame, fresh: int) -> Iterator[pd.DataFrame]:
         size = len(f)
@@ -109,7 +113,8 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
                 ok &= part[lo] != part[hi]
             lo, hi = lo[ok], hi[ok]
             if g == window and not again:
-                depth = (keys[lo] == keys[hi])[:, :CROWDED].all(1)
+                # A crowded set is so in most orders; half of them tell.
+                depth = (keys[lo] == keys[hi])[:, :CROWDED].all(1) & (tree[lo] % 2 == 0)
                 crowd = np.unique(np.concatenate([cid[lo[depth]], cid[hi[depth]]]))
                 if len(crowd):
                     yield pd.DataFrame({"kind": 2, "cid": crowd})
@@ -119,6 +124,11 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
             same = (sketch[lo] == sketch[hi]).sum(1)
             ok = same >= least
             lo, hi, same = lo[ok], hi[ok], same[ok]
+            if len(lo):
+                prefix = np.cumprod((sketch[lo] == sketch[hi]).reshape(-1, TREES, OWN), axis=2, dtype=np.uint8).sum(2)
+                here = np.take_along_axis(prefix, tree[lo, None].astype(np.int64), 1)
+                ok = ((prefix > here) | ((prefix == here) & (np.arange(TREES) < tree[lo, None]))).sum(1) < (LONGEST_AGAIN if again else LONGEST)
+                lo, hi, same = lo[ok], hi[ok], same[ok]
             if len(lo):
                 rank = np.where(same < mean, 3, 2)
                 if g == 1 and not again:
@@ -272,20 +282,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         # one component and need no confirmation.
         for rank in (0, 1, 2, 3):
             link(pairs.where(F.col("rank") == rank), sets)
-        # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
-        # until neither finds a link.
-        tested, again, idle = pairs.select("a", "b"), 0, 0
-        while idle < 2 and crowded.limit(1).count():
+        # Crowded regions once more: all their rows, then the ends of runs of one component, until these
+        # give no new link.
+        tested, again, found = pairs.select("a", "b"), 0, True
+        while (again < 2 or found) and crowded.limit(1).count():
             again += 1
             rows = orders.join(crowded, "cid", "left_semi")
             rows = rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
-            more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True, again % 2 == 0)
+            more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True, again > 1)
             more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
-            idle += 1
+            found = False
             if more.limit(1).count():
                 sets = sets_for(more)
-                if any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
-                    idle = 0
+                found = any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)])
                 tested = tested.unionAll(more.select("a", "b"))
     home = classes.select("print", "cid", "best")
     if comps is not None:
