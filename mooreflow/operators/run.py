@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mooreflow.plans.language import Machine
 from mooreflow.plans.lower import outputs, reads, state_name, step
+from mooreflow.session import staged
 
 #: Rows of a chunk, and chunks of a group of chunks.
 CHUNK = 64
@@ -73,6 +74,8 @@ def trace(m: Machine, s: Stimulus, keep: Sequence[str] = ()) -> DataFrame:
     Rows are spread by ranges of key and order, so one key may span any number of tasks. Each chunk of
     rows becomes a map from the state before it to the state after it; the maps are composed in order,
     first within groups of chunks, then over groups, and every chunk is replayed from its entry state.
+    The chunks are written to the shared folder when this is called: two steps read them, and must see
+    the same ranges.
     """
     states, first = len(m.states), m.ordinal(m.reset)
     own = s.table(m) if not keep else s.table(m).join(s.rows.select(*s.key, *s.order, *keep), [*s.key, *s.order])
@@ -82,6 +85,7 @@ def trace(m: Machine, s: Stimulus, keep: Sequence[str] = ()) -> DataFrame:
     chunks = rows.groupBy(*s.key, "part", "chunk").agg(F.array_sort(F.collect_list(F.struct("n", *s.order, *_fields(m, s), *keep))).alias("rows"))
     run = lambda start: F.aggregate("rows", start, lambda acc, row: _step(m, s, acc, row))
     chunks = chunks.withColumn("map", F.array(*[run(F.lit(i)) for i in range(states)])).withColumn("group", F.floor(F.col("chunk") / CHUNK))
+    chunks = staged(chunks, "chunks")
     groups = chunks.groupBy(*s.key, "part", "group").agg(_through(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "map"))), lambda x: x["map"]), states).alias("map"))
     parts = groups.groupBy(*s.key, "part").agg(F.array_sort(F.collect_list(F.struct("group", "map"))).alias("groups"))
     parts = parts.withColumn("map", _through(F.transform("groups", lambda x: x["map"]), states))

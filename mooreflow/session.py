@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +28,14 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent).as_posix())
         context.addPyFile(path)
     return spark
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share, and read again: what it says of
+    partitions is then the same for all that read it, and a lost executor costs no recomputation. The
+    folder is spark.checkpoint.dir, or where that is unset one below the warehouse."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
