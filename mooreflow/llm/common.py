@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep the number of files' splits from following the executors at hand: a lost one would else change
+    how rows are numbered between two reads of one input."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; each can be dropped once unneeded."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        pin_splits(spark)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -56,6 +64,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = Non
 
 def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns row (unique), doc_id and text of df, whatever else it has."""
+    pin_splits(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
