@@ -24,7 +24,7 @@ from mooreflow.llm.common import Workspace, with_row
 
 # Patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # from inside a run of digits none begins
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -47,11 +47,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, found from each @ outwards: in linear time, for long runs without an @ too."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _BEFORE_AT:
+            start -= 1
+        if start < at and (m := EMAIL.match(text, max(start, at - 1))):
+            end = m.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns by kind as listed, then start; offsets are code points."""
     found = []
     if "@" in text:
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [("email", s, e) for s, e in emails(text)]
     found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start() <= 64 and 16 <= len(d := _DIGITS.sub("", m[0])) <= 19 and luhn(d):

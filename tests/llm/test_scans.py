@@ -119,6 +119,12 @@ def test_personal_data(table):
     assert pii.sanitise(table([])).count() == 0
 
 
+def test_long_runs_take_linear_time():
+    for t in ("x" * 300_000 + " a@b.c", "1" * 300_000 + ".2", "a." * 150_000 + "@", "4-" * 100_000, "+1" * 100_000, "@" * 100_000, "a@" * 100_000, " " * 300_000, "f" * 300_000):
+        assert len(pii.base_spans(t)) <= 1
+        assert len(secret_scan.base_spans("password" + t)) <= 1
+
+
 def test_terms_that_disclose(table):
     """A word that stands only by one person's address discloses them; a common one doesn't."""
     filler = [(1000 + i, f"plain words number {'abcdefghij'[i % 10]}zz about contact nothing") for i in range(1500)]
