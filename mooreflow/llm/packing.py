@@ -37,7 +37,8 @@ def default_tokenizer() -> tuple[str, str]:
 def encoder(paths: tuple[str, str]):
     """A function from a text to its ids. Both files hold one vocabulary and give the same ids; the
     ranks are several times faster. A text that spells a special token goes to the other library,
-    which reads it as that token."""
+    which reads it as that token, and so does one on which the first gives up: its stack is too small
+    for very long runs of white space."""
     if paths not in _cache:
         import public_tokenizers
         import tiktoken
@@ -46,7 +47,17 @@ def encoder(paths: tuple[str, str]):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths[1], "rb"))}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = Tokenizer.from_file(paths[0])
-        _cache[paths] = lambda t: whole.encode(t, add_special_tokens=False).ids if _SPECIAL in t else fast.encode_ordinary(t)
+
+        def encode(t: str) -> list[int]:
+            if _SPECIAL not in t:
+                try:
+                    return fast.encode_ordinary(t)
+                except BaseException as e:  # a panic of the library is no Exception
+                    if type(e).__name__ != "PanicException":
+                        raise
+            return whole.encode(t, add_special_tokens=False).ids
+
+        _cache[paths] = encode
     return _cache[paths]
 
 

@@ -20,6 +20,13 @@ def test_both_files_give_the_same_ids():
         assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_very_long_runs():
+    whole = tokenizers.Tokenizer.from_file(packing.default_tokenizer()[0])
+    fast = packing.encoder(packing.default_tokenizer())
+    for t in (" " * 1_000_000, "x" * 300_000, "a" + "\n \t" * 300_000 + "b", "é" * 100_000):
+        assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_on_the_test_data(lspark, data):
     whole = tokenizers.Tokenizer.from_file(packing.default_tokenizer()[0])
     fast = packing.encoder(packing.default_tokenizer())
