@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of a batch that goes to Python, where the session doesn't say.
+BATCH_ROWS = 2_400
 #: Characters that one vectorised step works on in a Python worker.
 STEP_CHARS = 1_500_000
 
@@ -30,11 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Keep the number of files' splits from following the executors at hand: a lost one would else change
+def settle(spark: SparkSession) -> None:
+    """Bound the rows of a batch, and keep the number of files' splits from following the executors at hand: a lost one would else change
     how rows are numbered between two reads of one input."""
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:  # texts can be long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 class Workspace:
@@ -42,7 +50,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        pin_splits(spark)
+        settle(spark)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -55,6 +63,20 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f, with memory that it has freed given back to the system when it ends: workers live on, and what
+    one stage has held would else count against the next."""
+
+    @wraps(f)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, or so much weight, the sum of a column
     where rows are not all short; else df, for a shuffle join."""
@@ -64,7 +86,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = Non
 
 def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns row (unique), doc_id and text of df, whatever else it has."""
-    pin_splits(df.sparkSession)
+    settle(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, grams, small, steps, with_row
+from mooreflow.llm.common import Workspace, grams, lean, small, steps, with_row
 
 #: Tokens of a window; least literal tokens in it.
 WINDOW, LITERALS = 5, 3
@@ -184,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for k in range(passes):
         rows = [(r["item_id"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()]
         shared = spark.sparkContext.broadcast(prepared(rows, vocabulary_of([t for _, t in rows])))
-        found = src.mapInPandas(_leaks(shared, contained, consistent), "row long, doc_id long, item_id long, n_windows long, n_found long, contained double, consistency double, slots_changed long")
+        found = src.mapInPandas(lean(_leaks(shared, contained, consistent)), "row long, doc_id long, item_id long, n_windows long, n_found long, contained double, consistency double, slots_changed long")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import mix, steps, with_row
+from mooreflow.llm.common import lean, mix, steps, with_row
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows for each label and in all, characters of a row, words of a segment.
@@ -278,4 +278,4 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     is `und` with score 0, as is all text if the model has no labels."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInPandas(_predict(shared), "row long, doc_id long, lang_pred string, score double")
+    return src.mapInPandas(lean(_predict(shared)), "row long, doc_id long, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, hash_bytes, lower, mix, signed, small, steps, text_hashes, with_row
+from mooreflow.llm.common import Workspace, hash_bytes, lean, lower, mix, signed, small, steps, text_hashes, with_row
 
 #: Shorter lines are left alone: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
@@ -271,12 +271,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    lines = work.stage(src.mapInPandas(_lines(min_words), "row long, doc_id long, line int, h long"), "lines")
+    lines = work.stage(src.mapInPandas(lean(_lines(min_words)), "row long, doc_id long, line int, h long"), "lines")
     meta, lines = lines.where("line = -1").select("row", "doc_id", F.col("h").alias("n_lines")), lines.where("line >= 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    keys = src.select("text").mapInPandas(_keys(min_words), "key long, h long")
-    shared = work.stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInPandas(_shared, "key long, h long"), "shared")
+    keys = src.select("text").mapInPandas(lean(_keys(min_words)), "key long, h long")
+    shared = work.stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInPandas(lean(_shared), "key long, h long"), "shared")
     whole = shared.groupBy("key").agg(F.count("*").alias("n"), F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines"))
     shared = work.stage(shared.join(whole, "key"), "groups")
     work.drop("shared")
@@ -287,7 +287,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_row = work.stage(by_row, "by-row")
     weight = F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + 1 + F.size(m["keys"]))
     texts = src.select("row", "text").join(small(by_row, 1_000_000, weight), "row")
-    subs = work.stage(texts.select("text", "marks").mapInPandas(_second, "sub long, h long, words string"), "second")
+    subs = work.stage(texts.select("text", "marks").mapInPandas(lean(_second), "sub long, h long, words string"), "second")
     words = subs.where("sub is null").select("h", "words")
     own = subs.where("sub is not null").select("sub", "h").join(order, "h")
     best = own.groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"))
@@ -301,7 +301,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.unionAll(few).where("a <> b").distinct()
     for x in "ab":
         pairs = pairs.join(words.select(F.col("h").alias(x), F.col("words").alias(f"w{x}")), x)
-    near = pairs.mapInPandas(_verified, "a long, b long").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
+    near = pairs.mapInPandas(lean(_verified), "a long, b long").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
     gone = firsts.join(near, "h", "left").where("near or n > 1").select("h", F.coalesce("near", F.lit(False)).alias("near"), "first")
     gone = work.stage(gone, "gone")
     lost = lines.join(gone, "h").where(F.col("near") | (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))

@@ -26,7 +26,7 @@ from mooreflow.llm.common import distinct, grams, mix, steps, text_hashes, with_
 
 ORDER, ALPHA, FLOOR = 3, 0.4, 0.5
 #: Characters of a chunk of documents, and of the corpus for each part of the count table.
-CHUNK_CHARS, PART_CHARS = 8_000_000, 8_000_000
+CHUNK_CHARS, PART_CHARS = 10_000_000, 8_000_000
 #: Keys of n-grams have 56 bits: one of 10**13 others has a given n-gram's key with a chance of 1 in 7000.
 BITS = 56
 _SPARE = np.uint64(64 - BITS)

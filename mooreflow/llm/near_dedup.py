@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, ascii_words, components, distinct, grams, hash_words, mix, signed, small, with_row
+from mooreflow.llm.common import Workspace, ascii_words, components, distinct, grams, hash_words, lean, mix, signed, small, with_row
 
 #: Words of a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -187,10 +187,10 @@ def _candidates(orders: DataFrame, work: Workspace, percent: int, tag: str, agai
     """Distinct candidate pairs (a < b, rank) of the orders, and the sets in crowded regions."""
     order, window = ["tree", "key", "cid"], WINDOW_RUNS if runs else WINDOW_AGAIN if again else WINDOW
     ranged = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = work.stage(ranged.mapInPandas(_neighbours(window, percent, again, runs, False), _NEIGHBOURS), f"near-{tag}")
+    near = work.stage(ranged.mapInPandas(lean(_neighbours(window, percent, again, runs, False)), _NEIGHBOURS), f"near-{tag}")
     # The ends of partitions: a few rows for each partition, whatever the rows.
     ends = near.where("kind = 1").dropDuplicates(["tree", "cid", "part"]).select("tree", "key", "cid", "n", "comp", "sketch", "part")
-    seams = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(_neighbours(window, percent, again, runs, True), _NEIGHBOURS)
+    seams = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(lean(_neighbours(window, percent, again, runs, True)), _NEIGHBOURS)
     both = work.stage(near.where("kind <> 1").unionAll(seams), f"both-{tag}")
     work.drop(f"near-{tag}")
     return both.where("kind = 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), both.where("kind = 2").select("cid").distinct()
@@ -235,11 +235,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     spark = docs.sparkSession
     work = Workspace(spark, "near")
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    features = work.stage(src.mapInPandas(_featured(shingle), "row long, doc_id long, n long, print binary, sig binary"), "features")
+    features = work.stage(src.mapInPandas(lean(_featured(shingle)), "row long, doc_id long, n long, print binary, sig binary"), "features")
     best: Column = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = features.where("n > 0").groupBy("print").agg(F.min("row").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig"), best.alias("best"))
     classes = work.stage(classes, "classes")
-    orders = classes.select("cid", "n", "sig").mapInPandas(_spread, "cid long, n long, sketch binary, tree int, key binary")
+    orders = classes.select("cid", "n", "sig").mapInPandas(lean(_spread), "cid long, n long, sketch binary, tree int, key binary")
     pairs, crowded = _candidates(orders.withColumn("comp", F.col("cid")), work, percent, "0")
     pairs = work.stage(pairs, "pairs-0")
     crowded = work.stage(crowded, "crowded")
@@ -254,7 +254,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         need = need.join(classes.select("cid", "print"), "cid")
         need = work.stage(need, f"need-{len(made)}")
         texts = src.select(F.col("row").alias("cid"), "text").join(small(need), "cid")
-        made.append(work.stage(texts.select("cid", "print", "text").mapInPandas(_sets_of(shingle), "cid long, set array<long>"), f"sets-{len(made)}"))
+        made.append(work.stage(texts.select("cid", "print", "text").mapInPandas(lean(_sets_of(shingle)), "cid long, set array<long>"), f"sets-{len(made)}"))
         out = made[0]
         for x in made[1:]:
             out = out.unionAll(x)

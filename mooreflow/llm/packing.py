@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, with_row
+from mooreflow.llm.common import Workspace, lean, with_row
 
 CAPACITY = 1024
 END_ID = 2
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = src.mapInPandas(_pieces(tokenizer or default_tokenizer(), capacity), "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = src.mapInPandas(lean(_pieces(tokenizer or default_tokenizer(), capacity)), "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
     cut = work.stage(cut.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int")), "pieces")
     # At most capacity * SALTS rows, whatever the input: the sides of the two steps below are bounded.
     counts = cut.groupBy("length", "salt").count()
@@ -172,6 +172,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")) - 1
     ranked = cut.withColumn("own", rank).join(F.broadcast(starts), ["length", "salt"])
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank")).mapInPandas(
-        _placed(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank")).mapInPandas(lean(_placed(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
