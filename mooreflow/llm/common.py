@@ -32,7 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
