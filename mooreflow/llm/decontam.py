@@ -39,15 +39,20 @@ NUM, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<num>", "<u
 _IS_NUM, _IS_UNIT, _IS_CAP = 1, 2, 4
 
 
+#: A token's code is the hash of its lower case with flags in the last three bits.
+_FLAGS = np.uint64(7)
+_MEMO, _STEP = 120_000, 600_000
+
+
 class _Memo(dict):
-    """Token to (hash of its lower case, flags), worked out once for each token."""
+    """Token to its code, worked out once for each token."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         low = token.lower()
         flags = _IS_NUM if token[0].isdigit() else (_IS_UNIT * (low in UNITS)) | (_IS_CAP * token[0].isupper())
-        if len(self) > 500_000:
+        if len(self) > _MEMO:
             self.clear()
-        self[token] = found = (xxhash.xxh3_64_intdigest(low), flags)
+        self[token] = found = xxhash.xxh3_64_intdigest(low) & ~7 | flags
         return found
 
 
@@ -56,9 +61,8 @@ def template(tokens: list[list[str]], memo: _Memo, vocabulary: np.ndarray):
     capitalised token that the benchmark does not use in lower case is a name; names in a row are
     one. vocabulary: sorted hashes of the benchmark's lower-case tokens."""
     counts = np.array([len(t) for t in tokens], np.int64)
-    pairs = [memo[t] for own in tokens for t in own]
-    h = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
-    flags = np.fromiter((p[1] for p in pairs), np.uint8, len(pairs))
+    codes = np.fromiter((memo[t] for own in tokens for t in own), np.uint64, int(counts.sum()))
+    h, flags = codes & ~_FLAGS, (codes & _FLAGS).astype(np.uint8)
     text = np.repeat(np.arange(len(tokens)), counts)
     index = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
     num = (flags & _IS_NUM) > 0
@@ -112,7 +116,7 @@ def prepared(rows: list[tuple[int, str]], vocabulary: np.ndarray) -> Items:
 
 def vocabulary_of(texts: list[str]) -> np.ndarray:
     low = {t for x in texts for t in _TOKEN.findall(x or "") if t[0].islower()}
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in low], np.uint64))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(t) & ~7 for t in low], np.uint64))
 
 
 def consistency(pairs: Counter) -> float:
@@ -136,7 +140,7 @@ def _leaks(shared, contained: float, consistent: float):
         for batch in batches:
             out = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for i, j in steps(texts):
+            for i, j in steps(texts, _STEP):
                 tokens = [_TOKEN.findall(t) for t in texts[i:j]]
                 h, slot, text, index = template(tokens, memo, items.vocabulary)
                 w, at = windows(h, slot, text)

@@ -30,7 +30,7 @@ FEATURES = 1 << 17
 LEXICON = 20_000
 CHUNK = 64
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 400_000
+_MEMO = 200_000
 
 
 def words_of(text: str | None) -> list[str]:

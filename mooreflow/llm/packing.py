@@ -46,7 +46,8 @@ def encoder(paths: tuple[str, str]):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths[1], "rb"))}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(paths[0])
+
+        whole: list[Tokenizer] = []
 
         def encode(t: str) -> list[int]:
             if _SPECIAL not in t:
@@ -55,7 +56,9 @@ def encoder(paths: tuple[str, str]):
                 except BaseException as e:  # a panic of the library is no Exception
                     if type(e).__name__ != "PanicException":
                         raise
-            return whole.encode(t, add_special_tokens=False).ids
+            if not whole:  # seldom needed, and large
+                whole.append(Tokenizer.from_file(paths[0]))
+            return whole[0].encode(t, add_special_tokens=False).ids
 
         _cache[paths] = encode
     return _cache[paths]
