@@ -13,7 +13,7 @@ from mooreflow.streaming.machines import holds, next_state
 
 
 def walk(m, rows):
-    """The reference walk in plain Python: rows of (key, order, inputs, reset)."""
+    """A walk in plain Python: rows of (key, order, inputs, reset)."""
     out, now = {}, {}
     for key, order, ins, rst in sorted(rows, key=lambda r: r[:2]):
         pre = now.get(key, m.ordinal(m.reset))
