@@ -5,8 +5,9 @@ sorted by a sequence of signature values of their own. Sets next to each other i
 their longest prefixes, and the depth to which they agree adapts to the region: neighbours meet at
 depth 1 where sets are few, and deeper where many share a prefix. Neighbours become candidates, and
 a candidate is a link when the full sets confirm it. Regions in which more sets share a prefix than
-a window holds are passed again with each run of one component drawn together, until a pass over
-them finds no new link.
+a window holds are passed again with wider windows and with each run of one component drawn
+together, in turn, until neither finds a new link; what these may still miss there, an exact join of
+the sets by their rarest shingles finds.
 """
 
 from __future__ import annotations
@@ -30,12 +31,8 @@ HASHES = TREES * OWN
 #: Neighbours on each side in an order; prefix shared by a whole window from which a region is passed
 #: again, and neighbours on each side then, of all rows and of the ends of runs of one component.
 WINDOW, CROWDED, WINDOW_AGAIN, WINDOW_RUNS = 4, 3, 32, 8
-#: A candidate's sketches may agree in so many standard deviations fewer values than at the least
-#: similarity, on the first pass and on later ones.
-DEVIATIONS, DEVIATIONS_AGAIN = 4.0, 3.0
-#: A pair is a candidate where its prefix is among its so many longest ones, on the first pass and on
-#: later ones; the other orders, in which it is nearer to chance, would mostly repeat it.
-LONGEST, LONGEST_AGAIN = 2, 3
+#: A candidate's sketches may agree in so many standard deviations fewer values than at the least similarity.
+DEVIATIONS = 4.0
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -96,7 +93,7 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
     columns = ["kind", "a", "b", "rank", "tree", "key", "cid", "n", "comp", "sketch", "part"]
 
     mean = HASHES * (percent / 100 + (1 - percent / 100) / 256)
-    least = mean - (DEVIATIONS_AGAIN if again else DEVIATIONS) * (mean * (1 - mean / HASHES)) ** 0.5
+    least = mean - DEVIATIONS * (mean * (1 - mean / HASHES)) ** 0.5
 
     def pairs_of(f: pd.DataFrame, fresh: int) -> Iterator[pd.DataFrame]:
         size = len(f)
@@ -113,8 +110,7 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
                 ok &= part[lo] != part[hi]
             lo, hi = lo[ok], hi[ok]
             if g == window and not again:
-                # A crowded set is so in most orders; half of them tell.
-                depth = (keys[lo] == keys[hi])[:, :CROWDED].all(1) & (tree[lo] % 2 == 0)
+                depth = (keys[lo] == keys[hi])[:, :CROWDED].all(1)
                 crowd = np.unique(np.concatenate([cid[lo[depth]], cid[hi[depth]]]))
                 if len(crowd):
                     yield pd.DataFrame({"kind": 2, "cid": crowd})
@@ -124,11 +120,6 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
             same = (sketch[lo] == sketch[hi]).sum(1)
             ok = same >= least
             lo, hi, same = lo[ok], hi[ok], same[ok]
-            if len(lo):
-                prefix = np.cumprod((sketch[lo] == sketch[hi]).reshape(-1, TREES, OWN), axis=2, dtype=np.uint8).sum(2)
-                here = np.take_along_axis(prefix, tree[lo, None].astype(np.int64), 1)
-                ok = ((prefix > here) | ((prefix == here) & (np.arange(TREES) < tree[lo, None]))).sum(1) < (LONGEST_AGAIN if again else LONGEST)
-                lo, hi, same = lo[ok], hi[ok], same[ok]
             if len(lo):
                 rank = np.where(same < mean, 3, 2)
                 if g == 1 and not again:
@@ -224,6 +215,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b", "ca", "cb")
 
 
+def _exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets (cid, set, comp) of different components that can be similar enough, and surely
+    those that are: such sets share one of their first n - ceil(n * percent / 100) + 1 shingles in any
+    one order, here the rarest first; the first that they share leaves enough others after it."""
+    shingles = sets.select("cid", F.explode("set").alias("g"))
+    often = shingles.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
+    # A shingle of one set only comes first in its order and joins nothing: its number is enough.
+    shared = shingles.join(often, "g").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("order"))
+    n = F.size("set")
+    first = F.floor((F.lit(100 - percent) * n) / 100).cast("int") + 1 - (n - F.size("order"))
+    shared = shared.join(sets, "cid").withColumns({"n": n, "first": first}).where("first > 0")
+    keys = shared.select("cid", "comp", "n", (n - F.size("order")).alias("alone"), F.posexplode(F.slice("order", 1, F.col("first"))).alias("at", "x"))
+    keys = keys.select(F.col("x.g").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    other = keys.select("g", *[F.col(c).alias(f"{c}_") for c in ("cid", "comp", "n", "left")])
+    similar = (F.col("cid") < F.col("cid_")) & (F.col("comp") != F.col("comp_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
+    enough = (100 + percent) * F.least("left", "left_") >= percent * (F.col("n") + F.col("n_"))
+    return keys.join(other, "g").where(similar & enough).select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: row, doc_id, n_shingles, component_id, kept.
 
@@ -247,8 +257,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     comps: DataFrame | None = None
     made: list[DataFrame] = []
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("cid")).distinct().unionAll(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cid")).distinct().unionAll(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
+
+    def sets_for(need: DataFrame) -> DataFrame:
         for old in made:
             need = need.join(old.select("cid"), "cid", "left_anti")
         need = need.join(classes.select("cid", "print"), "cid")
@@ -276,26 +288,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         comps = work.stage(joined, f"comps-{count}")
         return True
 
+    def with_comp(rows: DataFrame) -> DataFrame:
+        if comps is None:
+            return rows.withColumn("comp", F.col("cid"))
+        return rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
     if pairs.limit(1).count():
-        sets = sets_for(pairs)
+        sets = sets_for(ends_of(pairs))
         # Most links of a large group follow from a few neighbours each: the others then lie within
         # one component and need no confirmation.
         for rank in (0, 1, 2, 3):
             link(pairs.where(F.col("rank") == rank), sets)
-        # Crowded regions once more: all their rows, then the ends of runs of one component, until these
-        # give no new link.
-        tested, again, found = pairs.select("a", "b"), 0, True
-        while (again < 2 or found) and crowded.limit(1).count():
+    if crowded.limit(1).count():
+        # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
+        # until neither finds a link.
+        tested, again, idle = pairs.select("a", "b"), 0, 0
+        while idle < 2:
             again += 1
-            rows = orders.join(crowded, "cid", "left_semi")
-            rows = rows.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
-            more, _ = _candidates(rows.withColumn("comp", F.coalesce("comp", "cid")), work, percent, str(again), True, again > 1)
+            more, _ = _candidates(with_comp(orders.join(crowded, "cid", "left_semi")), work, percent, str(again), True, again % 2 == 0)
             more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
-            found = False
+            idle += 1
             if more.limit(1).count():
-                sets = sets_for(more)
-                found = any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)])
+                sets = sets_for(ends_of(more))
+                if any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
+                    idle = 0
                 tested = tested.unionAll(more.select("a", "b"))
+        # Then all that is left between components there, without windows or sketches.
+        sets = sets_for(crowded).join(crowded, "cid", "left_semi")
+        rest = work.stage(_exact_pairs(with_comp(sets), percent).join(tested, ["a", "b"], "left_anti"), "pairs-exact")
+        if rest.limit(1).count():
+            link(rest, sets)
     home = classes.select("print", "cid", "best")
     if comps is not None:
         home = home.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("print", F.coalesce("comp", "cid").alias("comp"), "best")

@@ -193,6 +193,26 @@ def test_near(table, n, percent):
     assert got == near_brute(rows, n, percent)
 
 
+def test_near_pairs_in_a_crowded_region(table):
+    """Pairs just above the threshold among hundreds of sets just below it, all variants of one text."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for p in rng.sample(range(300), 6):
+            w[p] = f"n{i}x{p}"
+        rows.append((2 * i, " ".join(w)))
+        if i % 10 == 0:
+            for p in rng.sample(range(300), 7):
+                w[p] = f"m{i}x{p}"
+            rows.append((2 * i + 1, " ".join(w)))
+    want = near_brute(rows, 3, 85)
+    assert sum(not kept for _, _, kept in want.values()) == 68
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(table(rows), shingle=3, percent=85).collect()}
+    assert got == want
+
+
 def test_near_on_the_test_data(lspark, data):
     df = lspark.read.parquet(f"{data}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
