@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mooreflow.llm.common import Workspace, hash_bytes, lean, lower, mix, signed, small, steps, text_hashes, with_row
 
-#: Shorter lines are left alone: one edit in fewer than five words is a similarity below 0.8.
+#: Shorter lines have no near ones: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
 #: Units of a line below which a finer cut is taken too. With this many, something is left of both
 #: lines when one has two units deleted and the other one.
@@ -143,15 +143,15 @@ def _flat(texts: list[str | None], min_words: int):
     return who[start[take]], number[start[take]], h[words], np.cumsum(count) - count, count
 
 
-def _lines(min_words: int):
+def _lines(equal_words: int):
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each row its number of lines (line -1), and each line with enough words."""
+        """For each row its number of lines (line -1), and each line with enough words to be compared as a whole."""
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             row, doc = batch["row"].to_numpy(), batch["doc_id"].astype("Int64")
             yield pd.DataFrame({"row": row, "doc_id": doc, "line": -1, "h": [0 if t is None else t.count("\n") + 1 for t in texts]})
             for i, j in steps(texts):
-                who, number, w, start, count = _flat(texts[i:j], min_words)
+                who, number, w, start, count = _flat(texts[i:j], equal_words)
                 if len(who):
                     yield pd.DataFrame({"row": row[who + i], "doc_id": doc.iloc[who + i].to_numpy(), "line": number, "h": signed(line_hash(w, start, count))}).astype({"doc_id": "Int64"})
 
@@ -260,18 +260,19 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["a", "b"]]
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """One row per row of docs: row, doc_id, n_lines, dropped (sorted numbers of the lines that go).
 
     A line goes if an earlier line, by doc_id, then line number, is equal or one word edit away, case
-    and white space aside. Lines of fewer than min_words words stay. A null doc_id counts as the
-    largest; rows that share a doc_id come in their order. A null text has no lines, an empty text
+    and white space aside. A line of fewer than min_words words goes only if an earlier one is equal,
+    and stays if it has fewer than equal_words (min_words where that is null; 1: every line with a
+    word is compared). A null doc_id counts as the largest; rows that share a doc_id come in their order. A null text has no lines, an empty text
     one. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    lines = work.stage(src.mapInPandas(lean(_lines(min_words)), "row long, doc_id long, line int, h long"), "lines")
+    lines = work.stage(src.mapInPandas(lean(_lines(min_words if equal_words is None else min(min_words, equal_words))), "row long, doc_id long, line int, h long"), "lines")
     meta, lines = lines.where("line = -1").select("row", "doc_id", F.col("h").alias("n_lines")), lines.where("line >= 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
@@ -309,10 +310,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return meta.join(lost, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """docs without the lines that go; a row that loses lines and has no word left goes too. All other
     columns stay as they are. The rows must come in the same order each time docs is read."""
-    lost = dropped_lines(docs, id_col, text_col, min_words).where(F.size("dropped") > 0).select("row", "dropped")
+    lost = dropped_lines(docs, id_col, text_col, min_words, equal_words).where(F.size("dropped") > 0).select("row", "dropped")
     lost = Workspace(docs.sparkSession, "line-drops").stage(lost, "dropped")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     rows = rows.join(small(lost), "row", "left")

@@ -133,6 +133,15 @@ def test_lines_leave_all_else(table):
     assert line_dedup.dedup(table([])).count() == 0
 
 
+def test_short_lines_that_are_equal(table, lspark, tmp_path):
+    """Equal lines go however short they are, and lines without ASCII spaces; one edit away they stay."""
+    from mooreflow.llm.queries import op4_line_dedup
+
+    wide = "中文" * 40
+    table([(1, f"Read more\n\n{wide}\nRead"), (2, f"read  MORE\n\n{wide}\nread less\nRead more now"), (3, "Read\n" + wide + "x")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["dropped"] for r in op4_line_dedup(lspark, str(tmp_path)).collect()} == {1: "", 2: "0,2", 3: "0"}
+
+
 def test_edit_distance():
     rng = random.Random(5)
 
