@@ -2,8 +2,9 @@
 
 Numbers, units after numbers and names become typed placeholders; windows of the resulting template
 are hash-joined with the windows of the benchmark's templates. For an item of which enough windows
-are found, the values that stand in the slots are compared: if each value of the item always meets
-the same value of the document, the passage is the item, word for word or with other parameters.
+are found in a passage, the values that stand in the slots are compared: if each value of the item
+always meets the same value of the document, the passage is the item, word for word or with other
+parameters.
 """
 
 from __future__ import annotations
@@ -133,6 +134,41 @@ def consistency(pairs: Counter) -> float:
     return good / total
 
 
+def passages(hits: list[tuple[int, int, int]], span: int, least: float) -> Iterator[dict[int, tuple[int, int]]]:
+    """The ways to lay an item of span places over a document, each a place pair for each window found,
+    those that most hits agree on first. hits: (document place, item place, window), by document place;
+    least: windows that a passage must have. In each, a window stands where it is nearest to one
+    alignment (document place minus item place) and at most a span off. Last come the first places
+    in the whole document, for an item that is spread over it."""
+    by_shift = sorted((p - q, p, q, w) for p, q, w in hits)
+    shifts = [x[0] for x in by_shift]
+    lo = hi = 0
+    inside: Counter[int] = Counter()
+    centres = []
+    for c, same in sorted(Counter(shifts).items()):
+        while hi < len(by_shift) and shifts[hi] <= c + span:
+            inside[by_shift[hi][3]] += 1
+            hi += 1
+        while shifts[lo] < c - span:
+            w = by_shift[lo][3]
+            inside[w] -= 1
+            if not inside[w]:
+                del inside[w]
+            lo += 1
+        if len(inside) >= least:
+            centres.append((-same, c, lo, hi))
+    for _, c, i, j in sorted(centres):
+        own: dict[int, tuple[int, int, int]] = {}
+        for shift, p, q, w in by_shift[i:j]:
+            if w not in own or abs(shift - c) < own[w][0]:
+                own[w] = (abs(shift - c), p, q)
+        yield {w: (p, q) for w, (_, p, q) in own.items()}
+    first: dict[int, tuple[int, int]] = {}
+    for p, q, w in hits:
+        first.setdefault(w, (p, q))
+    yield first
+
+
 def _leaks(shared, contained: float, consistent: float):
     def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, memo = shared.value, _Memo()
@@ -148,23 +184,31 @@ def _leaks(shared, contained: float, consistent: float):
                     continue
                 hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
                 lo, hi = np.searchsorted(items.hashes, w[hit]), np.searchsorted(items.hashes, w[hit], "right")
-                found: dict[tuple[int, int], dict[int, tuple[int, int]]] = defaultdict(dict)
+                found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
                 for p, window, a, b in zip(at[hit].tolist(), w[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
                     for k in range(a, b):
-                        found[int(text[p]), int(items.item[k])].setdefault(window, (p, int(items.place[k])))
-                for (d, item), own in found.items():
-                    share = len(own) / items.total[item]
-                    if share < contained:
+                        found[int(text[p]), int(items.item[k])].append((p, int(items.place[k]), window))
+                for (d, item), hits in found.items():
+                    total = int(items.total[item])
+                    if len({x[2] for x in hits}) / total < contained:
                         continue
-                    pairs, seen = Counter(), set()
-                    for p, q in own.values():
-                        for g in range(WINDOW):
-                            if slot[p + g] and items.slots[item][q + g] and (p + g, q + g) not in seen:
-                                seen.add((p + g, q + g))
-                                pairs[items.tokens[item][q + g].lower(), tokens[d][index[p + g]].lower()] += 1
-                    if (c := consistency(pairs)) >= consistent:
-                        changed = sum(n for (a, b), n in pairs.items() if a != b)
-                        out.append((int(batch["row"].iloc[i + d]), batch["doc_id"].iloc[i + d], items.ids[item], int(items.total[item]), len(own), float(share), float(c), changed))
+                    best = None
+                    for own in passages(hits, len(items.slots[item]), contained * total):
+                        pairs, seen = Counter(), set()
+                        for p, q in own.values():
+                            for g in range(WINDOW):
+                                if slot[p + g] and items.slots[item][q + g] and (p + g, q + g) not in seen:
+                                    seen.add((p + g, q + g))
+                                    pairs[items.tokens[item][q + g].lower(), tokens[d][index[p + g]].lower()] += 1
+                        if (c := consistency(pairs)) >= consistent:
+                            changed = sum(n for (a, b), n in pairs.items() if a != b)
+                            if best is None or (len(own), c, -changed) > best:
+                                best = len(own), c, -changed
+                            if best == (total, 1.0, 0):
+                                break
+                    if best is not None:
+                        n, c, same = best
+                        out.append((int(batch["row"].iloc[i + d]), batch["doc_id"].iloc[i + d], items.ids[item], total, n, n / total, float(c), -same))
             frame = pd.DataFrame(out, columns=["row", "doc_id", "item_id", "n_windows", "n_found", "contained", "consistency", "slots_changed"])
             yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -210,6 +210,16 @@ def test_several_passes_find_the_same(table, lspark, monkeypatch):
     assert one == found() == {(i, i % 20) for i in range(60) if i % 3}
 
 
+def test_leak_after_a_similar_sentence(table, lspark):
+    """Windows that stand earlier in the document, near or far, do not hide a copy further on."""
+    item = "Tom has 12 apples and 30 pears in a basket"
+    ann = "Ann has 7 apples and 7 plums"
+    bench = lspark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(1, f"{ann} too. {item}"), (2, f"{ann} {'and so on ' * 200} {item}"), (3, f"{item} {ann}"), (4, ann)]
+    got = {r["doc_id"]: (r["contained"], r["consistency"], r["slots_changed"]) for r in decontam.leaks(table(rows), bench).collect()}
+    assert got == {i: (1.0, 1.0, 0) for i in (1, 2, 3)}
+
+
 def test_slots():
     assert decontam.consistency(Counter()) == 1
     assert decontam.consistency(Counter({("12", "40"): 2, ("5", "9"): 1})) == 1
