@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, grams, lean, small, steps, with_row
+from mooreflow.llm.common import Workspace, grams, lean, signed, small, steps, with_row
 
 #: Tokens of a window; least literal tokens in it.
 WINDOW, LITERALS = 5, 3
@@ -120,6 +120,11 @@ def vocabulary_of(texts: list[str]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(t) & ~7 for t in low], np.uint64))
 
 
+def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"h": signed(vocabulary_of(batch["text"].tolist()))})
+
+
 def consistency(pairs: Counter) -> float:
     """Share of slot pairs that agree with a one-to-one choice of partners; 1 without slots."""
     total = sum(pairs.values())
@@ -221,17 +226,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     An item with fewer tokens than a window, or without text, has no windows and is never found. A
     null text leaks nothing. The benchmark is read in passes of PASS_WINDOWS windows at most, so what
-    is broadcast is bounded whatever its size; documents are not shuffled.
+    is broadcast is bounded whatever its size, but for the hashes of its distinct lower-case words, 8
+    bytes each; documents are not shuffled.
     """
     spark = docs.sparkSession
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-chars // PASS_WINDOWS) or 1  # a window takes a character at least
+    # One for all passes: else what counts as a name in an item would depend on which others are in its pass.
+    words = bench.select("text").mapInPandas(lean(_vocabulary), "h long").distinct().toPandas()["h"].to_numpy(np.int64)
+    vocabulary = np.sort(words.view(np.uint64))
     out = None
     for k in range(passes):
         rows = [(r["item_id"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(prepared(rows, vocabulary_of([t for _, t in rows])))
+        shared = spark.sparkContext.broadcast(prepared(rows, vocabulary))
         found = src.mapInPandas(lean(_leaks(shared, contained, consistent)), "row long, doc_id long, item_id long, n_windows long, n_found long, contained double, consistency double, slots_changed long")
         out = found if out is None else out.unionAll(found)
     return out

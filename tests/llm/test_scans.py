@@ -220,6 +220,19 @@ def test_leak_after_a_similar_sentence(table, lspark):
     assert got == {i: (1.0, 1.0, 0) for i in (1, 2, 3)}
 
 
+def test_passes_share_a_vocabulary(table, lspark, monkeypatch):
+    """Whether a capitalised word is a name does not depend on the items that share a pass."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    items = [(i, f"Find {word()} Which {word()} Suppose {word()} Find {word()} Which {word()} and") for i in range(20)]
+    items += [(20, "find which suppose " + " ".join(word() for _ in range(20)))]
+    bench, docs = lspark.createDataFrame(items, "item_id long, text string"), table([(i, f"x {t.lower()} y") for i, t in items])
+    found = lambda: sorted(map(tuple, decontam.leaks(docs, bench).drop("row").collect()))
+    one = found()
+    monkeypatch.setattr(decontam, "PASS_WINDOWS", 200)
+    assert len(one) == 21 and one == found()
+
+
 def test_slots():
     assert decontam.consistency(Counter()) == 1
     assert decontam.consistency(Counter({("12", "40"): 2, ("5", "9"): 1})) == 1
