@@ -24,8 +24,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of hex digits is one match, so its first 32 decide
 KINDS = ("assign", "access", "hex")
 
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth|bearer)\b["']?(?:\x20{0,4}[:=]\x20{0,4}|\x20(?:is|was)\x20)["'`]?([^\s"'`<>,;]+)""",
+# An identifier and what separates it from a value. All repeats are possessive and an identifier begins
+# only where none goes on, so that long runs take linear time.
+CONTEXT = re.compile(r"""(?<![\w-])([\w-]++)["']?+(?:[\x20\t]*+[:=][\x20\t]*+|[\x20\t]++(?:is|was)[\x20\t]++)["'`]?+""", re.IGNORECASE | re.ASCII)
+VALUE = re.compile(r"""[^\s"'`<>,;]++""", re.ASCII)
+# Words in an identifier that make it a credential's. What follows begins a new word, and where the word is
+# part of common ones (compass), what stands before ends one.
+_END = r"(?:(?![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+_BEGIN = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+CREDENTIAL = re.compile(
+    rf"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credential)s?{_END}|{_BEGIN}(?:pass|auth|bearer){_END}(?!-)",
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
@@ -137,11 +145,15 @@ def costly_spans(text: str, digits: float = MIN_DIGITS) -> list[tuple[str, int,
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
+    found, at = [], 0
+    while m := CONTEXT.search(text, at):
+        at = m.end()
+        if not CREDENTIAL.search(m[1]) or not (v := VALUE.match(text, at)):
+            continue
+        at = v.end()
+        value = v[0].rstrip(".:!?)]}")
         if len(value) >= MIN_LENGTH and guess_digits(value)[0] >= digits:
-            found.append(("costly", m.start(1), m.start(1) + len(value)))
+            found.append(("costly", v.start(), v.start() + len(value)))
     return found
 
 

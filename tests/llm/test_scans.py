@@ -86,6 +86,17 @@ def test_only_costly_values_in_context():
     assert found("pwd: password123 auth=changeme") == [] and found("kV9#xQ27!mz alone") == []
 
 
+def test_context_in_identifiers():
+    found = lambda t: [t[s:e] for _, s, e in secret_scan.costly_spans(t)]
+    for name in ("AWS_SECRET_ACCESS_KEY=", "DB_PASSWORD=", "MY_PWD=", "password:\t", "password      = ", "dbPassword = ", "api_key_v2: ", "secretKey\t=\t", "PASSWORD_PROD=", "auth_token2 = ", "pwd \t is  "):
+        assert found(f"x = 1\n{name}k#9vX!2qLz@7Wm\n") == ["k#9vX!2qLz@7Wm"], name
+    assert found("a=DB_PASSWORD=k#9vX!2qLz@7Wm") == ["k#9vX!2qLz@7Wm"]
+    for name in ("secretary", "author", "compass", "passenger", "tokenizer", "authority", "pass-through"):
+        assert found(f"{name}: k#9vX!2qLz@7Wm {name.upper()}=k#9vX!2qLz@7Wm") == [], name
+    for t in ("password" * 40_000, "password_" * 40_000, "password" + " " * 300_000, "password\t " * 40_000, "password=" * 40_000, "is " * 100_000 + "pwd", "x=" * 100_000 + "pwd"):
+        assert len(secret_scan.costly_spans(t)) <= 1
+
+
 # personal data
 
 
