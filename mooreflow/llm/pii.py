@@ -1,8 +1,8 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the words around them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the words beside them.
 
 Each value that a pattern finds is a protected entity. Over the whole corpus, a term's disclosure of
-an entity is log2 P(entity near term) / P(entity), its pointwise mutual information, with P(entity
-given term) beside it. A term near the entity that has enough support and exceeds both thresholds
+an entity is log2 P(entity with term) / P(entity), its pointwise mutual information over documents, with
+P(entity given term) beside it. A term in a document of the entity that has enough support and exceeds both thresholds
 reveals the entity even when the value itself is masked: it is generalised, or removed where it
 all but determines the entity.
 """
@@ -29,7 +29,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-#: Words on either side of an entity that may disclose it; shortest term.
+#: Terms on either side of a term that are its context; shortest term.
 NEAR, TERM_CHARS = 6, 4
 #: Distinct contexts that a term and entity must share; P(entity | term); bits of mutual information.
 SUPPORT, SHARE, BITS = 3, 0.5, 8.0
@@ -83,22 +83,24 @@ def entity_key(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _DIGITS.sub('', value)}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within NEAR words of each span and outside all spans."""
-    out = []
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
+    """(term, start, end, context) of the terms of a text outside all spans. Copies of a passage are one
+    context: it is known by the terms around the term's first place."""
     taken = sorted((s, e) for _, s, e in spans)
-    for kind, s, e in spans:
-        key = entity_key(kind, text[s:e])
-        # Words of the language are short; a window of 32 characters a word holds NEAR of them.
-        lo, hi = max(0, s - 32 * NEAR), e + 32 * NEAR
-        left = [m.span() for m in re.finditer(r"\S+", text[lo:s])][-NEAR:]
-        right = [m.span() for m in re.finditer(r"\S+", text[e:hi])][:NEAR]
-        for at, words in ((lo, left), (e, right)):
-            for a, b in words:
-                for m in _TERM.finditer(text, at + a, at + b):
-                    if not any(x < m.end() and m.start() < y for x, y in taken):
-                        out.append((key, m[0].lower(), m.start(), m.end()))
-    return out
+    found, k = [], 0
+    end = 0
+    for m in _TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][1])
+            k += 1
+        if m.start() >= end:
+            found.append((m[0].lower(), m.start(), m.end()))
+    words = [w for w, _, _ in found]
+    context: dict[str, int] = {}
+    for n, w in enumerate(words):
+        if w not in context:
+            context[w] = xxhash.xxh64_intdigest("\0".join(words[max(0, n - NEAR) : n + NEAR + 1])) >> 1
+    return [(w, s, e, context[w]) for w, s, e in found]
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,11 +111,10 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = base_spans(t)
             n = Counter(k for k, _, _ in base)
             joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
-            near = near_terms(t, base)
-            # Copies of a passage are one context: it is known by what stands around the entity.
-            context = xxhash.xxh64_intdigest("\0".join(x[1] for x in near)) >> 1 if near else 0
-            out.append((row, doc_id, *(n[k] for k in KINDS), joined, hashlib.sha256(joined.encode()).hexdigest(), context, [{"entity": a, "term": b, "s": s, "e": e} for a, b, s, e in near]))
-        frame = pd.DataFrame(out, columns=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "context", "near"])
+            keys = sorted({entity_key(k, t[s:e]) for k, s, e in base})
+            own = terms_of(t, base) if keys else []
+            out.append((row, doc_id, *(n[k] for k in KINDS), joined, hashlib.sha256(joined.encode()).hexdigest(), keys, [{"term": w, "s": s, "e": e, "context": c} for w, s, e, c in own]))
+        frame = pd.DataFrame(out, columns=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "own"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         yield frame
 
@@ -145,28 +146,35 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     start, end and whether they are to be removed) and spans for each row of docs.
 
     A null text is empty. Counts are over all rows: entities by documents that hold them, terms by
-    documents, pairs by distinct contexts (so copies of one passage count once). An entity in a third
-    of the documents has low information by definition and its pairs are summed before they meet.
+    documents, pairs by distinct contexts of the term (so copies of one passage count once), wherever in
+    a document the two stand. An entity in a third of the documents has low information by definition.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "pii")
     src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = src.mapInPandas(_find, "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, context long, near array<struct<entity:string,term:string,s:int,e:int>>")
+    found = src.mapInPandas(_find, "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, own array<struct<term:string,s:int,e:int,context:long>>")
     found = work.stage(found, "found")
     total = found.count()
-    near = found.where("size(near) > 0").select("row", "context", F.explode("near").alias("x")).select("row", "context", "x.*")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("together")).where(F.col("contexts") >= support)
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    holds = found.where("size(entities) > 0").select("row", F.explode("entities").alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # The others reach neither the support nor, with any term, the bits.
+    entities = entities.where((F.col("with_entity") >= support) & (F.log2(F.lit(float(max(total, 1))) / F.col("with_entity")) >= bits))
+    holds = work.stage(holds.join(entities.select("entity"), "entity"), "holds")
+    own = found.join(holds.select("row").distinct(), "row", "left_semi").select("row", F.explode("own").alias("x")).select("row", "x.*")
+    once = own.select("row", "term", "context").distinct()
+    pairs = holds.join(once, "row").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count("*").alias("together")).where(F.col("contexts") >= support)
     terms = src.select("text").mapInPandas(_term_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("with_term"))
     hashed = F.pandas_udf(_hash, "long")
     strong = pairs.join(entities, "entity").withColumn("h", hashed("term")).join(terms, "h")
     p = F.col("together") / F.col("with_term")
     strong = strong.where((p >= share) & (F.log2(p * F.lit(float(max(total, 1))) / F.col("with_entity")) >= bits))
     strong = work.stage(strong.select("entity", "term", (p >= REMOVE_SHARE).alias("remove")), "strong")
-    marks = near.select("row", "entity", "term", "s", "e").join(strong, ["entity", "term"])
+    # Wherever the term stands in the documents that hold the entity.
+    named = holds.join(strong, "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
+    marks = own.select("row", "term", "s", "e").join(named, ["row", "term"])
     marks = marks.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e", "remove"))).alias("terms"))
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
-    out = found.drop("near", "context").join(marks, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    out = found.drop("own", "entities").join(marks, "row", "left").withColumn("terms", F.coalesce("terms", none))
     parts = F.transform("terms", lambda x: F.format_string("term:%d:%d", x["s"], x["e"]))
     return out.withColumn("spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.array_join(F.array_distinct(parts), ","))))
 

@@ -152,6 +152,15 @@ def test_terms_that_disclose(table):
     assert clean[1000] == filler[0][1]
 
 
+def test_terms_that_disclose_from_afar(table):
+    """In whatever place of the document they stand, and in all of them."""
+    rows = [(1000 + i, f"plain words number {'abcdefghij'[i % 10]}zz about nothing") for i in range(1500)]
+    far = [(i, f"some {'abcdefgh'[i]}words say the cosmonaut sings. {'plain words about nothing ' * 20} star.man@space.org {'more words ' * 40} cosmonaut") for i in range(5)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.sanitise(table(rows + far)).collect()}
+    for i, t in far:
+        assert all(f"term:{s}:{s + 9}" in got[i] for s in (t.index("cosmonaut"), t.rindex("cosmonaut")))
+
+
 def test_masking():
     assert pii.masked("a b@c.d e", "email:2:7", [{"s": 8, "e": 9, "remove": False}]) == "a <EMAIL> <TERM>"
     assert pii.masked(None, "", []) == ""
