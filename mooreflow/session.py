@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,12 +31,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and one machine
+    does all the work, a folder below the warehouse; on a cluster nothing else is known to be shared."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    return found.rstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read again: what it says of
-    partitions is then the same for all that read it, and a lost executor costs no recomputation. The
-    folder is spark.checkpoint.dir, or where that is unset one below the warehouse."""
+    """df written to the shared folder, and read again: what it says of partitions is then the same for all
+    that read it, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
