@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mooreflow.session import shared_dir
+
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to Python, where the session doesn't say.
@@ -26,15 +28,6 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _U30, _U27, _U31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a
-    folder below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
-    return found.rstrip("/")
-
-
 def settle(spark: SparkSession) -> None:
     """Bound the rows of a batch, and keep the number of files' splits from following the executors at hand: a lost one would else change
     how rows are numbered between two reads of one input."""
@@ -49,10 +42,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         settle(spark)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -60,6 +55,12 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which a result still reads."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -76,17 +77,41 @@ def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Calla
     return run
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
+    """Whether df has at most so many rows, or so much weight: the sum of a column, for rows that may be long."""
+    if weight is None:
+        return df.limit(rows + 1).count() <= rows
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, or so much weight, the sum of a column
-    where rows are not all short; else df, for a shuffle join."""
-    size = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if size <= rows else df
+    """df with a broadcast hint if it is small; else df, for a shuffle join."""
+    return F.broadcast(df) if is_small(df, rows, weight) else df
 
 
-def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns row (unique), doc_id and text of df, whatever else it has."""
+def with_row(df: DataFrame, id_col: str, text_col: str, check: bool = False) -> DataFrame:
+    """Columns row (unique), doc_id (long) and text of df, whatever else it has; with check, also the text's
+    hash, by which a row is known again."""
     settle(df.sparkSession)
-    return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    own = [F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")]
+    return df.select(*own, *([F.xxhash64(text).alias("check")] if check else []))
+
+
+def again(df: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """The rows of df, each whole in a struct `whole`, with what was found for their number when df was
+    read before; found: row, check and other columns, null where a row has none. The numbers follow the
+    order in which df is read: a row whose text has not the hash that its number had then raises."""
+    settle(df.sparkSession)
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
+    same = F.col("check").isNull() | (F.col("check") == F.xxhash64(F.col("whole").getField(text_col)))
+    said = F.raise_error(F.lit("the input's rows changed between two reads; write them to a table first")).cast("boolean")
+    return rows.join(found, "row", "left").where(F.when(same, F.lit(True)).otherwise(said))
+
+
+def without(df: DataFrame, bad: DataFrame, text_col: str) -> DataFrame:
+    """df without the rows of bad (row, check)."""
+    return again(df, small(bad.select("row", "check")), text_col).where("check is null").select("whole.*")
 
 
 def steps(texts: Sequence[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:

@@ -1,18 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers and names become typed placeholders; windows of the resulting template
-are hash-joined with the windows of the benchmark's templates. For an item of which enough windows
-are found in a passage, the values that stand in the slots are compared: if each value of the item
-always meets the same value of the document, the passage is the item, word for word or with other
+Numbers, units after numbers and names become typed placeholders. Windows of the resulting template
+are hash-joined, in one pass over the documents, with the table of the benchmark's template windows;
+items that differ only in the values of their slots are one class there, so a template with many
+instances is joined once. Where enough windows of a class stand in a passage, in order and at one
+alignment, the values in the slots are compared: if values that are equal in the item are equal in
+the passage, and different ones different, the passage is the item, word for word or with other
 parameters.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,14 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, grams, lean, signed, small, steps, with_row
+from mooreflow.llm.common import Workspace, distinct, grams, is_small, lean, mix, signed, small, steps, with_row, without
 
-#: Tokens of a window; least literal tokens in it.
+#: Tokens of a window; least literal tokens in it, and so most slots.
 WINDOW, LITERALS = 5, 3
-#: Least share of an item's windows; least share of its slots that are consistent.
+SLOTS = WINDOW - LITERALS
+#: Least share of an item's windows in a passage; least share of its slots that are consistent.
 CONTAINED, CONSISTENT = 0.6, 0.8
-#: Windows of the benchmark that are joined in one pass over the documents; more take more passes.
-PASS_WINDOWS = 400_000
+#: A window may stand off its passage's alignment by a token for each so many of the item's, and one.
+DRIFT = 4
+#: Bits of the two filters that are broadcast, whatever the size of the benchmark.
+FILTER_BITS = 1 << 26
+#: Shares into which the places of one window in the documents are dealt.
+SALTS = 16
 
 # Units that count as such after a number.
 UNITS = frozenset(
@@ -38,7 +45,8 @@ UNITS = frozenset(
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
 _IS_NUM, _IS_UNIT, _IS_CAP = 1, 2, 4
-
+#: Keys of windows of literal tokens and of whole short texts; these differ from those of templates.
+_RAW, _WHOLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: A token's code is the hash of its lower case with flags in the last three bits.
 _FLAGS = np.uint64(7)
@@ -57,81 +65,152 @@ class _Memo(dict):
         return found
 
 
-def template(tokens: list[list[str]], memo: _Memo, vocabulary: np.ndarray):
-    """The templates of many texts, laid end to end: hashes, is-a-slot, text, index of the token. A
-    capitalised token that the benchmark does not use in lower case is a name; names in a row are
-    one. vocabulary: sorted hashes of the benchmark's lower-case tokens."""
-    counts = np.array([len(t) for t in tokens], np.int64)
-    codes = np.fromiter((memo[t] for own in tokens for t in own), np.uint64, int(counts.sum()))
-    h, flags = codes & ~_FLAGS, (codes & _FLAGS).astype(np.uint8)
-    text = np.repeat(np.arange(len(tokens)), counts)
-    index = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-    num = (flags & _IS_NUM) > 0
-    after = np.concatenate([[False], num[:-1]]) & (index > 0)
-    unit = ((flags & _IS_UNIT) > 0) & after
-    cap = ((flags & _IS_CAP) > 0) & ~unit
-    if len(vocabulary) and cap.any():
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        cap &= vocabulary[at] != h
-    h = np.where(num, NUM, np.where(unit, UNIT, np.where(cap, NAME, h)))
-    again = cap & np.concatenate([[False], cap[:-1]]) & (index > 0)
-    keep = ~again
-    return h[keep], (num | unit | cap)[keep], text[keep], index[keep]
+class Filter:
+    """A set of hashes as a bitmap of fixed size: no member is missed, few others pass."""
 
+    def __init__(self, hashes: int, words: np.ndarray | None = None):
+        self.hashes, self.words = hashes, np.zeros(FILTER_BITS // 64, np.uint64) if words is None else words
 
-def windows(h: np.ndarray, slot: np.ndarray, text: np.ndarray, n: int = WINDOW, literals: int = LITERALS):
-    """Hashes and first places of the windows that lie in one text and have enough literal tokens."""
-    if len(h) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    g = grams(h, n)
-    total = np.concatenate([[0], np.cumsum(slot)])
-    ok = (text[: len(g)] == text[n - 1 :]) & (n - (total[n:] - total[:-n]) >= literals)
-    at = np.flatnonzero(ok)
-    return g[at], at
+    def places(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(self.hashes):
+            yield (mix(x + np.uint64(i * int(_RAW) % (1 << 64))) % np.uint64(FILTER_BITS)).astype(np.int64)
 
+    def bits(self, x: np.ndarray) -> pd.DataFrame:
+        """The bitmap's words with bits for x."""
+        at = np.concatenate(list(self.places(x))) if len(x) else np.empty(0, np.int64)
+        return pd.DataFrame({"word": at >> 6, "bit": signed(np.uint64(1) << (at & 63).astype(np.uint64))})
 
-@dataclass
-class Items:
-    """Part of the benchmark: sorted window hashes with the item and token place of each."""
+    def __contains__(self, x: object) -> bool:
+        return bool(self.holds(np.array([x], np.uint64))[0])
 
-    vocabulary: np.ndarray
-    ids: list[int]
-    tokens: list[list[str]]  # of each item, by template place
-    slots: list[np.ndarray]
-    total: np.ndarray  # distinct windows of each item
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for at in self.places(x):
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0
+        return out
 
 
-def prepared(rows: list[tuple[int, str]], vocabulary: np.ndarray) -> Items:
-    tokens = [_TOKEN.findall(t or "") for _, t in rows]
-    h, slot, text, index = template(tokens, _Memo(), vocabulary)
-    w, at = windows(h, slot, text)
-    first = np.searchsorted(text, np.arange(len(rows)))
-    order = np.argsort(w, kind="stable")
-    item = text[at]
-    total = np.array([len(np.unique(w[item == i])) for i in range(len(rows))], np.int64)
-    return Items(vocabulary, [i for i, _ in rows], [[tokens[i][k] for k in index[text == i]] for i in range(len(rows))], [slot[text == i] for i in range(len(rows))], total, w[order], item[order], (at - first[item])[order])
+def _filter(rows: DataFrame, hashes: int) -> Filter:
+    """The filter from rows (word, bit); at most FILTER_BITS / 64 rows reach the driver."""
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = Filter(hashes)
+    out.words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def vocabulary_of(texts: list[str]) -> np.ndarray:
-    low = {t for x in texts for t in _TOKEN.findall(x or "") if t[0].islower()}
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(t) & ~7 for t in low], np.uint64))
+def coded(tokens: list[list[str]], memo: _Memo):
+    """Tokens of many texts laid end to end: hashes of their lower case, flags, text, index in the text."""
+    counts = np.array([len(t) for t in tokens], np.int64)
+    codes = np.fromiter((memo[t] for own in tokens for t in own), np.uint64, int(counts.sum()))
+    index = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return codes & ~_FLAGS, (codes & _FLAGS).astype(np.uint8), np.repeat(np.arange(len(tokens)), counts), index
+
+
+def template(h: np.ndarray, flags: np.ndarray, text: np.ndarray, index: np.ndarray, vocabulary: Filter):
+    """The templates of coded texts: hashes, is-a-slot, value, text, and the slots among the tokens
+    themselves. A capitalised token that the benchmark does not use in lower case is a name; names in a
+    row are one, their value all of them."""
+    num = (flags & _IS_NUM) > 0
+    after = np.concatenate([[False], num[:-1]]) & (index > 0)
+    unit = ((flags & _IS_UNIT) > 0) & after
+    cap = ((flags & _IS_CAP) > 0) & ~unit
+    cap[cap] = ~vocabulary.holds(h[cap])
+    slot = num | unit | cap
+    kind = np.where(num, NUM, np.where(unit, UNIT, np.where(cap, NAME, h)))
+    again = cap & np.concatenate([[False], cap[:-1]]) & (index > 0)
+    keep = np.flatnonzero(~again)
+    run = np.arange(len(h)) - np.repeat(keep, np.diff(np.append(keep, len(h)))) if len(h) else keep
+    value = np.add.reduceat(mix(h + run.astype(np.uint64) * _RAW), keep) if len(h) else h
+    return kind[keep], slot[keep], value, text[keep], slot
 
 
-def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"h": signed(vocabulary_of(batch["text"].tolist()))})
+def _runs(h: np.ndarray, slot: np.ndarray, text: np.ndarray):
+    """Hashes of all windows that lie in one text, with their places and literal tokens."""
+    if len(h) < WINDOW:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(slot)])
+    at = np.flatnonzero(text[: len(h) - WINDOW + 1] == text[WINDOW - 1 :])
+    return grams(h, WINDOW)[at], at, WINDOW - (total[at + WINDOW] - total[at])
+
+
+def windows(tokens: list[list[str]], memo: _Memo, vocabulary: Filter, wanted: Filter | None = None) -> pd.DataFrame:
+    """The windows of many texts, only those in wanted where it is given: text, w (hash), at (place in the
+    text's template, or the token for literal ones), size (of the template, in tokens), two slots as offset
+    and value (o0, s0, o1, s1; offset -1: none) and literal. Three kinds: template windows with LITERALS
+    literal tokens or more; literal windows where the tokens have fewer; a text shorter than a window."""
+    h, flags, text, index = coded(tokens, memo)
+    kind, slot, value, of, raw_slot = template(h, flags, text, index, vocabulary)
+    counts, sizes = (np.bincount(x, minlength=len(tokens)) for x in (text, of))
+    begin, first = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+
+    def chosen(w: np.ndarray, at: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, at = w[ok], at[ok]
+        ok = np.ones(len(w), bool) if wanted is None else wanted.holds(w)
+        return w[ok], at[ok]
+
+    w, at, literals = _runs(kind, slot, of)
+    w, at = chosen(w, at, literals >= LITERALS)
+    inside = slot[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), bool)
+    who = of[at]
+    own = {"text": who, "w": w, "at": at - first[who], "size": sizes[who]}
+    for i in range(SLOTS):
+        has, o = inside.any(1), inside.argmax(1)
+        own |= {f"o{i}": np.where(has, o, -1), f"s{i}": np.where(has, value[at + o], np.uint64(0))}
+        inside[np.arange(len(at)), o] = False
+    w, at, literals = _runs(h, raw_slot, text)
+    w, at = chosen(mix(w + _RAW), at, literals < LITERALS)
+    short = np.flatnonzero((counts > 0) & (counts < WINDOW))
+    whole, short = chosen(np.array([mix(grams(h[begin[t] : begin[t] + counts[t]], int(counts[t])) + _WHOLE)[0] for t in short], np.uint64), short, np.ones(len(short), bool))
+    who, n = np.concatenate([text[at], short]), len(at) + len(short)
+    rest = {"text": who, "w": np.concatenate([w, whole]), "at": np.concatenate([index[at], np.zeros(len(short), np.int64)]), "size": counts[who]}
+    for i in range(SLOTS):
+        rest |= {f"o{i}": np.full(n, -1), f"s{i}": np.zeros(n, np.uint64)}
+    both = {c: np.concatenate([own[c], rest[c]]) for c in own}
+    return pd.DataFrame(both | {"literal": np.arange(len(both["w"])) >= len(own["w"])})
+
+
+def item_rows(ids: list, texts: list[str], vocabulary: Filter) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The items (item_id, cls, values) and the windows of their classes (w, cls, q, total, size and for
+    two slots offset o and name a). An item's literal windows, or it as a whole, count only if it has no
+    template windows. A window that an item has several times counts once, at its first place."""
+    tokens = [_TOKEN.findall(t or "") for t in texts]
+    all_ = windows(tokens, _Memo(), vocabulary)
+    templated = np.zeros(len(texts), bool)
+    templated[all_.loc[~all_["literal"], "text"]] = True
+    all_ = all_[all_["literal"].to_numpy() != templated[all_["text"]]]
+    items, found = [], []
+    for t, own in all_.sort_values(["text", "at"], kind="stable").groupby("text"):
+        own = own.drop_duplicates("w")
+        names: dict[int, int] = {}
+        filled: dict[int, int] = {}  # place of a slot to its value
+        out = []
+        for r in own.itertuples(index=False):
+            named = []
+            for o, s in ((r.o0, r.s0), (r.o1, r.s1)):
+                if o >= 0:
+                    filled[r.at + o] = int(s)
+                named.append(names.setdefault(int(s), len(names)) if o >= 0 else -1)
+            out.append((r.w - (r.w >> 63 << 64), r.at, r.o0, named[0], r.o1, named[1]))
+        size, total = int(own["size"].iloc[0]), len(own)
+        cls = xxhash.xxh3_64_intdigest(repr((size, out)).encode()) - (1 << 63)
+        items.append((ids[t], cls, values_hash(filled)))
+        found += [(w, cls, q, total, size, o0, a0, o1, a1) for w, q, o0, a0, o1, a1 in out]
+    return pd.DataFrame(items, columns=["item_id", "cls", "values"]), pd.DataFrame(found, columns=["w", "cls", "q", "total", "size", "o0", "a0", "o1", "a1"])
+
+
+def values_hash(filled: dict[int, int]) -> int:
+    """One number for the values in an item's slots."""
+    return xxhash.xxh3_64_intdigest(repr(sorted(filled.items())).encode()) - (1 << 63)
 
 
 def consistency(pairs: Counter) -> float:
-    """Share of slot pairs that agree with a one-to-one choice of partners; 1 without slots."""
+    """Share of slot pairs that agree with a one-to-one choice of partners, the most frequent pairs first and
+    of equally frequent ones the first counted; 1 without slots."""
     total = sum(pairs.values())
     if not total:
         return 1.0
     good, left, right = 0, set(), set()
-    for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+    for (a, b), n in sorted(pairs.items(), key=lambda x: -x[1]):
         if a not in left and b not in right:
             left.add(a)
             right.add(b)
@@ -139,117 +218,151 @@ def consistency(pairs: Counter) -> float:
     return good / total
 
 
-def passages(hits: list[tuple[int, int, int]], span: int, least: float) -> Iterator[dict[int, tuple[int, int]]]:
-    """The ways to lay an item of span places over a document, each a place pair for each window found,
-    those that most hits agree on first. hits: (document place, item place, window), by document place;
-    least: windows that a passage must have. In each, a window stands where it is nearest to one
-    alignment (document place minus item place) and at most a span off. Last come the first places
-    in the whole document, for an item that is spread over it."""
-    by_shift = sorted((p - q, p, q, w) for p, q, w in hits)
-    shifts = [x[0] for x in by_shift]
+def ordered(places: list[int]) -> list[int]:
+    """Indices of a longest strictly increasing subsequence."""
+    ends: list[int] = []
+    tails: list[int] = []
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        k = bisect_left(ends, p)
+        before[i] = tails[k - 1] if k else -1
+        ends[k : k + 1], tails[k : k + 1] = [p], [i]
+    out, i = [], tails[-1] if tails else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def passages(hits: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
+    """For each alignment (place in the document less place in the item) that a hit has, the hits that lie
+    along it: of each of the item's places the nearest, at most size / DRIFT + 1 off, in order."""
+    drift = size // DRIFT + 1
+    by_shift = sorted((p - q, p, q) for p, q in hits)
     lo = hi = 0
-    inside: Counter[int] = Counter()
-    centres = []
-    for c, same in sorted(Counter(shifts).items()):
-        while hi < len(by_shift) and shifts[hi] <= c + span:
-            inside[by_shift[hi][3]] += 1
+    done = None
+    for shift, _, _ in by_shift:
+        if shift == done:
+            continue
+        done = shift
+        while hi < len(by_shift) and by_shift[hi][0] <= shift + drift:
             hi += 1
-        while shifts[lo] < c - span:
-            w = by_shift[lo][3]
-            inside[w] -= 1
-            if not inside[w]:
-                del inside[w]
+        while by_shift[lo][0] < shift - drift:
             lo += 1
-        if len(inside) >= least:
-            centres.append((-same, c, lo, hi))
-    for _, c, i, j in sorted(centres):
-        own: dict[int, tuple[int, int, int]] = {}
-        for shift, p, q, w in by_shift[i:j]:
-            if w not in own or abs(shift - c) < own[w][0]:
-                own[w] = (abs(shift - c), p, q)
-        yield {w: (p, q) for w, (_, p, q) in own.items()}
-    first: dict[int, tuple[int, int]] = {}
-    for p, q, w in hits:
-        first.setdefault(w, (p, q))
-    yield first
-
-
-def _leaks(shared, contained: float, consistent: float):
-    def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, memo = shared.value, _Memo()
-        known = np.unique(items.hashes)
+        own: dict[int, tuple[int, int]] = {}
+        for other, p, q in by_shift[lo:hi]:
+            if q not in own or (abs(other - shift), p) < own[q]:
+                own[q] = abs(other - shift), p
+        along = [(own[q][1], q) for q in sorted(own)]
+        yield [along[i] for i in ordered([p for p, _ in along])]
+
+
+def _hits(shared, wanted):
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, known, memo = shared.value, wanted.value, _Memo()
         for batch in batches:
-            out = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for i, j in steps(texts, _STEP):
-                tokens = [_TOKEN.findall(t) for t in texts[i:j]]
-                h, slot, text, index = template(tokens, memo, items.vocabulary)
-                w, at = windows(h, slot, text)
-                if not len(w) or not len(known):
-                    continue
-                hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
-                lo, hi = np.searchsorted(items.hashes, w[hit]), np.searchsorted(items.hashes, w[hit], "right")
-                found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-                for p, window, a, b in zip(at[hit].tolist(), w[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    for k in range(a, b):
-                        found[int(text[p]), int(items.item[k])].append((p, int(items.place[k]), window))
-                for (d, item), hits in found.items():
-                    total = int(items.total[item])
-                    if len({x[2] for x in hits}) / total < contained:
+                all_ = windows([_TOKEN.findall(t) for t in texts[i:j]], memo, vocabulary, known)
+                if len(all_):
+                    own = batch[["row", "doc_id", "check"]].iloc[i:j].iloc[all_["text"]].reset_index(drop=True)
+                    own["doc_id"] = own["doc_id"].astype("Int64")
+                    rest = {c: signed(all_[c].to_numpy()) for c in ("w", "s0", "s1")}
+                    yield own.assign(p=all_["at"].to_numpy(), **rest)
+
+    return hits
+
+
+def _verified(contained: float, consistent: float):
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, doc_id, check, cls, total, size, hits in zip(*(batch[c] for c in ("row", "doc_id", "check", "cls", "total", "size", "hits")), strict=True):
+                at = {(h["p"], h["q"]): h for h in hits}
+                for own in passages(list(at), size):
+                    if len(own) < contained * total:
                         continue
-                    best = None
-                    for own in passages(hits, len(items.slots[item]), contained * total):
-                        pairs, seen = Counter(), set()
-                        for p, q in own.values():
-                            for g in range(WINDOW):
-                                if slot[p + g] and items.slots[item][q + g] and (p + g, q + g) not in seen:
-                                    seen.add((p + g, q + g))
-                                    pairs[items.tokens[item][q + g].lower(), tokens[d][index[p + g]].lower()] += 1
-                        if (c := consistency(pairs)) >= consistent:
-                            changed = sum(n for (a, b), n in pairs.items() if a != b)
-                            if best is None or (len(own), c, -changed) > best:
-                                best = len(own), c, -changed
-                            if best == (total, 1.0, 0):
-                                break
-                    if best is not None:
-                        n, c, same = best
-                        out.append((int(batch["row"].iloc[i + d]), batch["doc_id"].iloc[i + d], items.ids[item], total, n, n / total, float(c), -same))
-            frame = pd.DataFrame(out, columns=["row", "doc_id", "item_id", "n_windows", "n_found", "contained", "consistency", "slots_changed"])
-            yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-    return leaks
+                    filled: dict[tuple[int, int], tuple[int, int]] = {}
+                    for place in own:
+                        h = at[place]
+                        for o, a, s in ((h["o0"], h["a0"], h["s0"]), (h["o1"], h["a1"], h["s1"])):
+                            if o >= 0:
+                                filled[h["p"] + o, h["q"] + o] = a, s
+                    c = consistency(Counter(filled.values()))
+                    if c >= consistent:
+                        values = values_hash({q: s % (1 << 64) for (_, q), (_, s) in filled.items()})
+                        out.append((row, doc_id, check, cls, total, len(own), c, own[0][0], values))
+            frame = pd.DataFrame(out, columns=["row", "doc_id", "check", "cls", "n_windows", "n_found", "consistency", "place", "values"])
+            yield frame.astype({"doc_id": "Int64"})
+
+    return verified
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", contained: float = CONTAINED, consistent: float = CONSISTENT) -> DataFrame:
-    """One row per document and benchmark item that it leaks: row, doc_id, item_id, n_windows, n_found,
-    contained, consistency, slots_changed (slots whose value differs: a re-parameterised item).
-
-    An item with fewer tokens than a window, or without text, has no windows and is never found. A
-    null text leaks nothing. The benchmark is read in passes of PASS_WINDOWS windows at most, so what
-    is broadcast is bounded whatever its size, but for the hashes of its distinct lower-case words, 8
-    bytes each; documents are not shuffled.
+    """One row per document and class of benchmark items that it leaks: row, check, doc_id, item_id, n_items,
+    n_windows, n_found, contained, consistency, verbatim.
+
+    A class is the items that are one question with other values; item_id is the item whose very values
+    the passage has (verbatim), else the smallest of the class, n_items their number. n_found is of the
+    document's best passage: verbatim first, then the most windows. An item in which no window has
+    LITERALS literal tokens is matched by its literal tokens instead, and one shorter than a window only
+    by a document that says nothing else. Items without a token are never found; a null or empty text
+    leaks nothing. Repeated rows each give their rows; items repeated under one id count once; of null
+    item ids the class takes another where it has one. Empty tables give an empty result. What is broadcast
+    has a fixed size, or is small by count; documents are read once, and only the windows that a fixed
+    filter takes for the benchmark's are joined, dealt by window and a salt.
     """
     spark = docs.sparkSession
-    src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = -(-chars // PASS_WINDOWS) or 1  # a window takes a character at least
-    # One for all passes: else what counts as a name in an item would depend on which others are in its pass.
-    words = bench.select("text").mapInPandas(lean(_vocabulary), "h long").distinct().toPandas()["h"].to_numpy(np.int64)
-    vocabulary = np.sort(words.view(np.uint64))
-    out = None
-    for k in range(passes):
-        rows = [(r["item_id"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(prepared(rows, vocabulary))
-        found = src.mapInPandas(lean(_leaks(shared, contained, consistent)), "row long, doc_id long, item_id long, n_windows long, n_found long, contained double, consistency double, slots_changed long")
-        out = found if out is None else out.unionAll(found)
-    return out
+    work = Workspace(spark, "leaks")
+    src = with_row(docs, id_col, text_col, check=True)
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            low = {t for x in batch["text"] for t in _TOKEN.findall(x) if t[0].islower()}
+            yield Filter(3).bits(np.array([xxhash.xxh3_64_intdigest(t) & ~7 for t in low], np.uint64))
+
+    vocabulary = spark.sparkContext.broadcast(_filter(bench.mapInPandas(lean(words), "word long, bit long"), 3))
+
+    def itemised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [None if pd.isna(x) else int(x) for x in batch["item_id"]]
+            items, found = item_rows(ids, batch["text"].tolist(), vocabulary.value)
+            yield pd.concat([items.assign(w=None), found.assign(item_id=None, values=None)]).astype("Int64")
+
+    columns = "item_id long, cls long, values long, w long, q int, total int, size int, o0 int, a0 int, o1 int, a1 int"
+    both = work.stage(bench.mapInPandas(lean(lambda batches: (f.reindex(columns=[c.split()[0] for c in columns.split(", ")]) for f in itemised(batches))), columns), "items")
+    items = both.where("w is null").select("item_id", "cls", "values")
+    table = both.where("w is not null").select("w", "cls", "q", "total", "size", "o0", "a0", "o1", "a1").distinct()
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield Filter(1).bits(distinct(batch["w"].to_numpy(np.int64).view(np.uint64)))
+
+    wanted = spark.sparkContext.broadcast(_filter(table.select("w").mapInPandas(lean(keys), "word long, bit long"), 1))
+    hits = src.mapInPandas(lean(_hits(vocabulary, wanted)), "row long, doc_id long, check long, p int, w long, s0 long, s1 long")
+    if is_small(table):
+        joined = hits.join(F.broadcast(table), "w")
+    else:  # a window that many documents have is dealt by a salt, the benchmark's side repeated for each
+        dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hits.withColumn("salt", F.pmod(F.xxhash64("row", "p"), F.lit(SALTS)).cast("int")).join(dealt, ["w", "salt"])
+    by_class = joined.groupBy("row", "cls").agg(
+        F.first("doc_id").alias("doc_id"), F.first("check").alias("check"), F.first("total").alias("total"), F.first("size").alias("size"), F.collect_list(F.struct("p", "q", "o0", "a0", "s0", "o1", "a1", "s1")).alias("hits")
+    )
+    enough = by_class.where(F.size(F.array_distinct("hits.q")) >= F.lit(contained) * F.col("total"))
+    found = enough.mapInPandas(lean(_verified(contained, consistent)), "row long, doc_id long, check long, cls long, n_windows long, n_found long, consistency double, place long, values long")
+    classes = items.groupBy("cls").agg(F.min("item_id").alias("least"), F.count("*").alias("n_items"))
+    exact = items.groupBy("cls", "values").agg(F.min("item_id").alias("same"), F.lit(True).alias("is_same"))
+    found = found.join(small(classes), "cls").join(small(exact), ["cls", "values"], "left")
+    verbatim = F.coalesce("is_same", F.lit(False)) & (F.col("n_found") == F.col("n_windows"))
+    found = found.withColumns({"verbatim": verbatim, "item_id": F.when(verbatim, F.coalesce("same", "least")).otherwise(F.col("least"))})
+    best = F.max_by(F.struct("doc_id", "check", "item_id", "n_items", "n_windows", "n_found", "consistency", "verbatim"), F.struct("verbatim", "n_found", "consistency", -F.col("place"))).alias("x")
+    out = found.groupBy("row", "cls").agg(best).select("row", "x.*")
+    return out.select("row", "check", "doc_id", "item_id", "n_items", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("contained"), "consistency", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs without the rows that leak an item, all columns as they are. The rows must come in the same
-    order each time docs is read."""
-    bad = leaks(docs, benchmark, id_col, text_col, **thresholds).select("row").distinct()
-    bad = Workspace(docs.sparkSession, "leaks").stage(bad, "rows")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    return rows.join(small(bad), "row", "left_anti").select("whole.*")
+    order each time docs is read; a change is noticed and raises."""
+    bad = leaks(docs, benchmark, id_col, text_col, **thresholds).select("row", "check").distinct()
+    return without(docs, Workspace(docs.sparkSession, "leaks").stage(bad, "rows"), text_col)

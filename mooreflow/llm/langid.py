@@ -29,13 +29,22 @@ FEATURES = 1 << 17
 #: Words of the lexicon, taken from the training sample.
 LEXICON = 20_000
 CHUNK = 64
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
+_PIECE = 32
 _MEMO = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; a run of over _PIECE letters, as scripts without spaces have, in pieces."""
+    if not text:
+        return []
+    low = text.lower()
+    found = _RUN.findall(low)
+    if not low.isascii():  # numerals such as fractions and circled digits are in the pattern, but no letters
+        found = [w for r in found for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+    if any(len(w) > _PIECE for w in found):
+        found = [w[i : i + _PIECE] for w in found for i in range(0, len(w), _PIECE)]
+    return found
 
 
 def _slots(kind: int, *codes: np.ndarray) -> np.ndarray:
@@ -48,13 +57,12 @@ def _slots(kind: int, *codes: np.ndarray) -> np.ndarray:
 def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, slot) of all features of the words, sorted by word: affixes of 1 to 3 letters, character
     bigrams and trigrams with the word's ends, its length, and its entry in the lexicon, given as sorted
-    hashes. A run of over 32 letters counts by its first and last 16."""
-    cut = [w if len(w) <= 32 else w[:16] + w[-16:] for w in words]
-    codes = np.frombuffer("".join(f"<{w}>" for w in cut).encode("utf-32-le", "surrogatepass"), "<u4")
-    size = np.fromiter(map(len, cut), np.int64, len(cut)) + 2
+    hashes."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     end = np.cumsum(size)
     start = end - size
-    of = np.repeat(np.arange(len(cut)), size)
+    of = np.repeat(np.arange(len(words)), size)
     found = []
     for n in (2, 3):
         at = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
@@ -63,7 +71,7 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
         long = np.flatnonzero(size >= n + 2)
         found.append((long, _slots(10 + n, *[codes[start[long] + 1 + i] for i in range(n)])))
         found.append((long, _slots(20 + n, *[codes[end[long] - 1 - n + i] for i in range(n)])))
-    all_ = np.arange(len(cut))
+    all_ = np.arange(len(words))
     found.append((all_, _slots(30, np.minimum(size, 14))))
     h = word_hashes(words)
     known = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
@@ -274,8 +282,8 @@ def _predict(shared):
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, lang_pred and score for each row of docs. A text that is null or has no letter
+    """row, check, doc_id, lang_pred and score for each row of docs. A text that is null or has no letter
     is `und` with score 0, as is all text if the model has no labels."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInPandas(lean(_predict(shared)), "row long, doc_id long, lang_pred string, score double")
+    src = with_row(docs, id_col, text_col, check=True)
+    return src.mapInPandas(lean(_predict(shared)), "row long, doc_id long, check long, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, hash_bytes, lean, lower, mix, signed, small, steps, text_hashes, with_row
+from mooreflow.llm.common import Workspace, again, hash_bytes, lean, lower, mix, signed, small, steps, text_hashes, with_row
 
 #: Shorter lines have no near ones: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
@@ -149,11 +149,11 @@ def _lines(equal_words: int):
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             row, doc = batch["row"].to_numpy(), batch["doc_id"].astype("Int64")
-            yield pd.DataFrame({"row": row, "doc_id": doc, "line": -1, "h": [0 if t is None else t.count("\n") + 1 for t in texts]})
+            yield pd.DataFrame({"row": row, "doc_id": doc, "line": -1, "h": [0 if t is None else t.count("\n") + 1 for t in texts], "check": batch["check"].astype("Int64")})
             for i, j in steps(texts):
                 who, number, w, start, count = _flat(texts[i:j], equal_words)
                 if len(who):
-                    yield pd.DataFrame({"row": row[who + i], "doc_id": doc.iloc[who + i].to_numpy(), "line": number, "h": signed(line_hash(w, start, count))}).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame({"row": row[who + i], "doc_id": doc.iloc[who + i].to_numpy(), "line": number, "h": signed(line_hash(w, start, count)), "check": pd.array([None] * len(who), "Int64")}).astype({"doc_id": "Int64"})
 
     return lines
 
@@ -261,7 +261,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
-    """One row per row of docs: row, doc_id, n_lines, dropped (sorted numbers of the lines that go).
+    """One row per row of docs: row, check, doc_id, n_lines, dropped (sorted numbers of the lines that go).
 
     A line goes if an earlier line, by doc_id, then line number, is equal or one word edit away, case
     and white space aside. A line of fewer than min_words words goes only if an earlier one is equal,
@@ -271,9 +271,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
-    src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    lines = work.stage(src.mapInPandas(lean(_lines(min_words if equal_words is None else min(min_words, equal_words))), "row long, doc_id long, line int, h long"), "lines")
-    meta, lines = lines.where("line = -1").select("row", "doc_id", F.col("h").alias("n_lines")), lines.where("line >= 0")
+    src = with_row(docs, id_col, text_col, check=True)
+    lines = work.stage(src.mapInPandas(lean(_lines(min_words if equal_words is None else min(min_words, equal_words))), "row long, doc_id long, line int, h long, check long"), "lines")
+    meta, lines = lines.where("line = -1").select("row", "check", "doc_id", F.col("h").alias("n_lines")), lines.where("line >= 0").drop("check")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     keys = src.select("text").mapInPandas(lean(_keys(min_words)), "key long, h long")
@@ -313,10 +313,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """docs without the lines that go; a row that loses lines and has no word left goes too. All other
     columns stay as they are. The rows must come in the same order each time docs is read."""
-    lost = dropped_lines(docs, id_col, text_col, min_words, equal_words).where(F.size("dropped") > 0).select("row", "dropped")
+    lost = dropped_lines(docs, id_col, text_col, min_words, equal_words).where(F.size("dropped") > 0).select("row", "check", "dropped")
     lost = Workspace(docs.sparkSession, "line-drops").stage(lost, "dropped")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    rows = rows.join(small(lost), "row", "left")
+    rows = again(docs, small(lost, 1_000_000, F.size("dropped") + 3), text_col)
     left = F.filter(F.split(F.col("whole").getField(text_col), "\n"), lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("whole").getField(text_col)).otherwise(F.array_join(left, "\n"))
     kept = rows.withColumn("text", text).where(F.col("dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -235,7 +235,7 @@ def _exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: row, doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: row, check, doc_id, n_shingles, component_id, kept.
 
     Rows with equal shingle sets are one class; classes are linked when their sets have a Jaccard
     similarity of percent / 100 or more, and component_id is the smallest doc_id reachable. A null or
@@ -244,8 +244,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near")
-    src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    features = work.stage(src.mapInPandas(lean(_featured(shingle)), "row long, doc_id long, n long, print binary, sig binary"), "features")
+    src = with_row(docs, id_col, text_col, check=True)
+    features = work.stage(src.mapInPandas(lean(_featured(shingle)), "row long, doc_id long, check long, n long, print binary, sig binary"), "features")
     best: Column = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = features.where("n > 0").groupBy("print").agg(F.min("row").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig"), best.alias("best"))
     classes = work.stage(classes, "classes")
@@ -327,5 +327,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         home = home.select("print", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stays"))
     home = work.stage(home, "home")
     full, empty = features.where("n > 0").join(home, "print"), features.where("n = 0")
-    full = full.select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("stays")).alias("kept"))
-    return full.unionAll(empty.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+    full = full.select("row", "check", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("stays")).alias("kept"))
+    return full.unionAll(empty.select("row", "check", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, with_row
+from mooreflow.llm.common import Workspace, again, small, with_row
 
 # Patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -29,13 +29,13 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-#: Terms on either side of a term that are its context; shortest term.
-NEAR, TERM_CHARS = 6, 4
+#: Terms on either side of a term that are its context; letters and digits of the shortest term.
+NEAR, TERM_CHARS = 6, 2
 #: Distinct contexts that a term and entity must share; P(entity | term); bits of mutual information.
 SUPPORT, SHARE, BITS = 3, 0.5, 8.0
 #: From this share on a term is removed, below it generalised.
 REMOVE_SHARE = 0.9
-_TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_CHARS)
+_TERM = re.compile(r"[^\W_]{%d,}" % TERM_CHARS)
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -106,15 +106,15 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, in
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
+        for row, doc_id, check, text in zip(batch["row"], batch["doc_id"], batch["check"], batch["text"], strict=True):
             t = text if isinstance(text, str) else ""
             base = base_spans(t)
             n = Counter(k for k, _, _ in base)
             joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
             keys = sorted({entity_key(k, t[s:e]) for k, s, e in base})
             own = terms_of(t, base) if keys else []
-            out.append((row, doc_id, *(n[k] for k in KINDS), joined, hashlib.sha256(joined.encode()).hexdigest(), keys, [{"term": w, "s": s, "e": e, "context": c} for w, s, e, c in own]))
-        frame = pd.DataFrame(out, columns=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "own"])
+            out.append((row, doc_id, check, *(n[k] for k in KINDS), joined, hashlib.sha256(joined.encode()).hexdigest(), keys, [{"term": w, "s": s, "e": e, "context": c} for w, s, e, c in own]))
+        frame = pd.DataFrame(out, columns=["row", "doc_id", "check", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "own"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         yield frame
 
@@ -142,7 +142,7 @@ def _hash(term: pd.Series) -> pd.Series:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, terms (the disclosing terms'
+    """row, check, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, terms (the disclosing terms'
     start, end and whether they are to be removed) and spans for each row of docs.
 
     A null text is empty. Counts are over all rows: entities by documents that hold them, terms by
@@ -151,15 +151,17 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """
     spark = docs.sparkSession
     work = Workspace(spark, "pii")
-    src = with_row(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = src.mapInPandas(_find, "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, own array<struct<term:string,s:int,e:int,context:long>>")
+    src = with_row(docs, id_col, text_col, check=True)
+    found = src.mapInPandas(_find, "row long, doc_id long, check long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, own array<struct<term:string,s:int,e:int,context:long>>")
     found = work.stage(found, "found")
     total = found.count()
     holds = found.where("size(entities) > 0").select("row", F.explode("entities").alias("entity"))
-    entities = holds.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # The others reach neither the support nor, with any term, the bits.
-    entities = entities.where((F.col("with_entity") >= support) & (F.log2(F.lit(float(max(total, 1))) / F.col("with_entity")) >= bits))
-    holds = work.stage(holds.join(entities.select("entity"), "entity"), "holds")
+    entities = work.stage(holds.groupBy("entity").agg(F.count("*").alias("with_entity")), "entities")
+    # Entities of so many documents reach the bits with no term: at most 2 ** bits for each that a document
+    # holds on average. They go first, so that no entity that is dealt by its key is in a large share of rows.
+    often = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity")) < bits
+    entities, hot = entities.where(~often & (F.col("with_entity") >= support)), entities.where(often).select("entity")
+    holds = work.stage(holds.join(F.broadcast(hot), "entity", "left_anti").join(small(entities.select("entity")), "entity"), "holds")
     own = found.join(holds.select("row").distinct(), "row", "left_semi").select("row", F.explode("own").alias("x")).select("row", "x.*")
     once = own.select("row", "term", "context").distinct()
     pairs = holds.join(once, "row").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count("*").alias("together")).where(F.col("contexts") >= support)
@@ -169,8 +171,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     p = F.col("together") / F.col("with_term")
     strong = strong.where((p >= share) & (F.log2(p * F.lit(float(max(total, 1))) / F.col("with_entity")) >= bits))
     strong = work.stage(strong.select("entity", "term", (p >= REMOVE_SHARE).alias("remove")), "strong")
+    work.keep("found", "holds", "strong")
     # Wherever the term stands in the documents that hold the entity.
-    named = holds.join(strong, "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
+    named = holds.join(small(strong), "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
     marks = own.select("row", "term", "s", "e").join(named, ["row", "term"])
     marks = marks.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e", "remove"))).alias("terms"))
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
@@ -193,8 +196,7 @@ def masked(text: str | None, base: str, terms: list) -> str:
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs with the sanitised text as clean_text beside all other columns; a null text becomes empty.
-    The rows must come in the same order each time docs is read, as they do from files."""
-    found = sanitise(docs, id_col, text_col, **thresholds).select("row", "base", "terms")
+    The rows must come in the same order each time docs is read; a change is noticed and raises."""
+    found = sanitise(docs, id_col, text_col, **thresholds).select("row", "check", "base", "terms")
     mask = F.udf(masked, "string")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    return rows.join(found, "row").select("whole.*", mask(F.col(f"whole.`{text_col}`"), "base", "terms").alias("clean_text"))
+    return again(docs, found, text_col).select("whole.*", mask(F.col(f"whole.`{text_col}`"), "base", "terms").alias("clean_text"))

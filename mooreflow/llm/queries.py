@@ -35,7 +35,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.drop("row")
+    return found.drop("row", "check")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,4 +199,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     repeat each give their row; an empty table gives an empty result. One pass, no shuffle."""
     schema = "row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_costly long"
     src = with_row(docs, id_col, text_col)
-    return src.withColumn("doc_id", src["doc_id"].cast("long")).mapInPandas(_scan(with_text), schema + (", clean_text string" if with_text else ""))
+    return src.mapInPandas(_scan(with_text), schema + (", clean_text string" if with_text else ""))

@@ -201,56 +201,185 @@ def test_licenses(table):
 # benchmark leaks
 
 
+def leaks_brute(rows, items, contained=0.6, consistent=0.8):
+    """(doc_id, item_id, n_items, n_windows, n_found, verbatim), worked out with plain lists."""
+    items = sorted({(i, t) for i, t in items if t is not None})
+    lower = {w for _, t in items for w in decontam._TOKEN.findall(t) if w[0].islower()}
+
+    def forms(text):
+        tokens, out, raw = decontam._TOKEN.findall(text or ""), [], []
+        for k, w in enumerate(tokens):
+            kind = "<num>" if w[0].isdigit() else None
+            if not kind and w.lower() in decontam.UNITS and k and tokens[k - 1][0].isdigit():
+                kind = "<unit>"
+            if not kind and w[0].isupper() and w.lower() not in lower:
+                kind = "<name>"
+            raw.append((w.lower(), kind is not None))
+            if kind == "<name>" and out and out[-1][0] == "<name>" and k and raw[-2][1] and out[-1][2] == k - 1:
+                out[-1] = ("<name>", out[-1][1] + " " + w.lower(), k)
+            else:
+                out.append((kind or w.lower(), w.lower() if kind else None, k))
+        cut = [tuple(x[0] for x in out[i : i + 5]) for i in range(len(out) - 4)]
+        slots = [{i + g: out[i + g][1] for g in range(5) if out[i + g][1] is not None} for i in range(len(cut))]
+        template = [(("t", w), i, slots[i]) for i, w in enumerate(cut) if len(slots[i]) <= 2]
+        literal = [(("l", *(w for w, _ in raw[i : i + 5])), i, {}) for i in range(len(raw) - 4) if sum(s for _, s in raw[i : i + 5]) > 2]
+        if 0 < len(raw) < 5:
+            literal = [(("w", *(w for w, _ in raw)), 0, {})]
+        return template, literal, len(out), len(raw)
+
+    classes = {}
+    for i, t in items:
+        template, literal, n, n_raw = forms(t)
+        own, size = (template, n) if template else (literal, n_raw)
+        once = {}
+        for w, q, slots in own:
+            once.setdefault(w, (q, slots))
+        if once:
+            filled = {k: v for _, s in once.values() for k, v in s.items()}
+            ids = {}
+            pattern = tuple((k, ids.setdefault(filled[k], len(ids))) for k in sorted(filled))
+            classes.setdefault((tuple((w, q) for w, (q, _) in once.items()), size, pattern), []).append((i, filled))
+    out = set()
+    for d, text in rows:
+        template, literal, _, _ = forms(text)
+        for (own, size, pattern), members in classes.items():
+            place, names = dict(own), dict(pattern)
+            hits = [(p, place[w], slots) for w, p, slots in template + literal if w in place]
+            best = None
+            for a in sorted({p - q for p, q, _ in hits}):
+                near = {}
+                for p, q, slots in hits:
+                    off = abs(p - q - a)
+                    if off <= size // 4 + 1 and (q not in near or (off, p) < near[q][:2]):
+                        near[q] = off, p, slots
+                seq = [(q, near[q][1], near[q][2]) for q in sorted(near)]
+                seq = [seq[i] for i in decontam.ordered([p for _, p, _ in seq])]
+                n = len(seq)
+                if n < contained * len(own):
+                    continue
+                pairs = {(k, k - p + q): (names[k - p + q], v) for q, p, slots in seq for k, v in slots.items()}
+                share = decontam.consistency(Counter((x, y) for x, y in pairs.values()))
+                if share >= consistent:
+                    values = {q: v for (_, q), (_, v) in pairs.items()}
+                    same = [i for i, filled in members if n == len(own) and filled == values]
+                    found = (bool(same), n, share, -seq[0][1], min(same) if same else min(i for i, _ in members))
+                    best = found if best is None else max(best, found)
+            if best:
+                out.add((d, best[4], len(members), len(own), best[1], best[0]))
+    return out
+
+
+def leak_rows(table, lspark, rows, items):
+    bench = lspark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = decontam.leaks(table(rows), bench).collect()
+    return {(r["doc_id"], r["item_id"], r["n_items"], r["n_windows"], r["n_found"], r["verbatim"]) for r in got}
+
+
 def test_leaks(table, lspark):
     items = [
         (0, "A farmer has 12 red apples and sells 5 kg of them to Anna Miller for 30 dollars each morning before noon."),
         (1, "compute the total area of a garden whose longer side measures exactly two times the shorter side"),
-        (2, "too short"), (3, None), (4, ""),
+        (2, "too short"), (3, None), (4, ""), (5, "12 + 30 = 42, 17 + 4 = 21, 9 + 9 = 18"),
     ]
     other = "A farmer has 40 red apples and sells 9 lb of them to Bob Stone for 77 dollars each morning before noon."
     mixed = "A farmer has 40 red apples and sells 9 kg of them to Bob for 77 dollars each morning before noon. " + items[1][1][:30]
     rows = [(1, None), (2, ""), (3, "x " * 400 + items[0][1] + " y" * 400), (4, other), (5, items[1][1].upper().replace(" ", "\n")), (6, "a farmer has a garden"), (7, mixed), (8, items[0][1] + items[1][1])]
+    rows += [(9, "Too short!"), (10, "much too short"), (11, "see 12 + 30 = 42, 17 + 4 = 21, 9 + 9 = 18"), (12, "see 12 + 31 = 43, 17 + 5 = 22, 9 + 8 = 17"), (None, other), (4, other)]
     bench = lspark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(table(rows), bench).collect()}
-    assert set(got) == {(3, 0), (4, 0), (5, 1), (7, 0), (8, 0), (8, 1)}
-    assert got[3, 0]["slots_changed"] == 0 and got[3, 0]["contained"] == 1 and got[4, 0]["slots_changed"] > 3
+    got = decontam.leaks(table(rows), bench).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted([(3, 0), (4, 0), (4, 0), (None, 0), (5, 1), (7, 0), (8, 0), (8, 1), (9, 2), (11, 5)], key=str)
+    got = {(r["doc_id"], r["item_id"]): r for r in got}
+    assert got[3, 0]["verbatim"] and got[3, 0]["contained"] == 1 and not got[4, 0]["verbatim"] and got[11, 5]["verbatim"]
     kept = decontam.clean(table(rows), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6] and "whole" in kept.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6, 10, 12] and "whole" in kept.columns
     assert decontam.leaks(table([]), bench).count() == 0 and decontam.leaks(table(rows), bench.limit(0)).count() == 0
+    assert decontam.clean(table(rows), bench.limit(0)).count() == len(rows)
 
 
-def test_several_passes_find_the_same(table, lspark, monkeypatch):
-    rng = random.Random(6)
-    items = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(25))) for i in range(20)]
-    rows = [(i, f"before it {items[i % 20][1]} after") if i % 3 else (i, "nothing to see here at all") for i in range(60)]
-    bench, docs = lspark.createDataFrame(items, "item_id long, text string"), table(rows)
-    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()}
-    one = found()
-    monkeypatch.setattr(decontam, "PASS_WINDOWS", 500)
-    assert one == found() == {(i, i % 20) for i in range(60) if i % 3}
+@pytest.mark.parametrize("seed, broadcast", [(1, 200_000), (2, 200_000), (2, 0)])
+def test_leaks_by_brute_force(table, lspark, monkeypatch, seed, broadcast):
+    """Items with slots, of one template and of many; documents with copies, other values, edits, scraps."""
+    monkeypatch.setattr("mooreflow.llm.common.is_small.__defaults__", (broadcast, None))
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    names, units = ["Tom", "Ann", "Bob", "Zoe Hill", "Max Bo Lee"], ["kg", "miles", "hours"]
+
+    def shape():
+        return [rng.choice(["N", "P", "U"]) if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randint(3, 18))]
+
+    def fill(shape):
+        made = {"N": lambda: str(rng.randint(1, 9)), "P": lambda: rng.choice(names), "U": lambda: f"{rng.randint(1, 9)} {rng.choice(units)}"}
+        return " ".join(made[x]() if x in made else x for x in shape)
+
+    shapes = [shape() for _ in range(12)]
+    items = list(enumerate(fill(s) for s in shapes for _ in range(rng.randint(1, 5))))
+    items += [(i + 1000, t) for i, t in items[:3]] + items[:2]
+
+    def passage():
+        t = rng.choice(items)[1] if rng.random() < 0.5 else fill(rng.choice(shapes))
+        own = t.split()
+        kind = rng.random()
+        if kind < 0.3:
+            k = rng.randrange(len(own))
+            own[k : k + 1] = [rng.choice(words)] * rng.randint(0, 2)
+        elif kind < 0.5:
+            own = own[: rng.randint(1, len(own))]
+        return " ".join(own)
+
+    rows = [(d, " ".join(passage() if rng.random() < 0.5 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6)))) for d in range(150)]
+    got, want = leak_rows(table, lspark, rows, items), leaks_brute(rows, items)
+    assert len(want) > 80
+    assert got == want
 
 
 def test_leak_after_a_similar_sentence(table, lspark):
     """Windows that stand earlier in the document, near or far, do not hide a copy further on."""
     item = "Tom has 12 apples and 30 pears in a basket"
     ann = "Ann has 7 apples and 7 plums"
-    bench = lspark.createDataFrame([(0, item)], "item_id long, text string")
     rows = [(1, f"{ann} too. {item}"), (2, f"{ann} {'and so on ' * 200} {item}"), (3, f"{item} {ann}"), (4, ann)]
-    got = {r["doc_id"]: (r["contained"], r["consistency"], r["slots_changed"]) for r in decontam.leaks(table(rows), bench).collect()}
-    assert got == {i: (1.0, 1.0, 0) for i in (1, 2, 3)}
+    got = leak_rows(table, lspark, rows, [(0, item)])
+    assert {x[0] for x in got} == {1, 2, 3} and all(x[5] and x[3] == x[4] for x in got)
 
 
-def test_passes_share_a_vocabulary(table, lspark, monkeypatch):
-    """Whether a capitalised word is a name does not depend on the items that share a pass."""
+def test_scattered_scraps_are_no_leak(table, lspark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    own = [word() for _ in range(84)]
+    scraps = " ".join(" ".join(own[i : i + 6]) + " " + " ".join(word() for _ in range(500)) for i in range(0, 84, 6))
+    backwards = " ".join(" ".join(own[i : i + 6]) for i in range(78, -1, -6))
+    assert {x[0] for x in leak_rows(table, lspark, [(1, scraps), (2, backwards), (3, " ".join(own))], [(0, " ".join(own))])} == {3}
+
+
+def test_items_of_one_template_are_one_row(table, lspark):
+    """A template with many instances gives a row for each document, and repeated passages one row too."""
+    text = lambda a, b: f"a shop sells {a} red apples and then {b} green pears to every guest"
+    items = [(i, text(i + 10, 2 * i + 5000)) for i in range(1500)]
+    rows = [(d, text(d + 10, 2 * d + 5000)) for d in range(100)] + [(d, text(70_000 + d, 1)) for d in range(100, 200)] + [(200, " ".join(text(k, 9_999_999) for k in range(700)))]
+    bench = lspark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.leaks(table(rows), bench).collect()}
+    assert len(got) == 201 and all(r["n_items"] == 1500 for r in got.values())
+    assert all(r["verbatim"] == (d < 100) and r["item_id"] == (d if d < 100 else 0) for d, r in got.items())
+
+
+def test_one_vocabulary_for_the_benchmark(table, lspark):
+    """Whether a capitalised word is a name does not depend on the items that share a task."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
     items = [(i, f"Find {word()} Which {word()} Suppose {word()} Find {word()} Which {word()} and") for i in range(20)]
     items += [(20, "find which suppose " + " ".join(word() for _ in range(20)))]
-    bench, docs = lspark.createDataFrame(items, "item_id long, text string"), table([(i, f"x {t.lower()} y") for i, t in items])
-    found = lambda: sorted(map(tuple, decontam.leaks(docs, bench).drop("row").collect()))
-    one = found()
-    monkeypatch.setattr(decontam, "PASS_WINDOWS", 200)
-    assert len(one) == 21 and one == found()
+    got = leak_rows(table, lspark, [(i, f"x {t.lower()} y") for i, t in items], items)
+    assert {x[:2] for x in got} == {(i, i) for i in range(21)}
+
+
+def test_longest_increasing():
+    rng = random.Random(4)
+    for _ in range(200):
+        x = [rng.randint(0, 9) for _ in range(rng.randint(0, 12))]
+        longest = []
+        for i, v in enumerate(x):
+            longest.append(1 + max((longest[j] for j in range(i) if x[j] < v), default=0))
+        got = decontam.ordered(x)
+        assert len(got) == max(longest, default=0) and all(i < j and x[i] < x[j] for i, j in itertools.pairwise(got))
 
 
 def test_slots():
