@@ -6,47 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooreflow.llm import decontam, langid, line_dedup, near_dedup, packing
-from mooreflow.llm.common import Workspace, small
+from mooreflow.llm.common import Workspace, without
 from mooreflow.session import ship
 
 #: Mean marginal of a document's language below which it is rejected: no language fits it.
 LEAST_SCORE = 0.35
 
 
-def _keep_rows(docs: DataFrame, keep_or_drop: DataFrame, how: str) -> DataFrame:
-    """docs, whole rows, by the numbers of the rows to keep (left_semi) or drop (left_anti)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    return rows.join(small(keep_or_drop), "row", how).select("whole.*")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is none of the learned ones, go."""
+    """Documents without a letter, or whose language is none of the learned ones, go; null and empty texts
+    have no letter. Where no row has a label nothing is learned, so nothing is rejected: all rows stay."""
     ship(spark)
     model = langid.fit(langid.training_sample(docs, F.lit(True)))
+    if not model.labels:
+        return docs
     found = langid.detect(docs, model)
-    rejected = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("row")
-    return _keep_rows(docs, Workspace(spark, "language").stage(rejected, "rejected"), "left_anti")
+    rejected = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("row", "check")
+    return without(docs, Workspace(spark, "language").stage(rejected, "rejected"), "text")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats go; a document that loses all its words goes too."""
+    """Lines that an earlier line repeats go; a document that loses all its words goes too. Documents that
+    lose no line stay as they are, null and empty ones too."""
     return line_dedup.dedup(docs, equal_words=1)
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the one with the smallest doc_id, and of rows that
+    share it one. Documents without words are no group and stay."""
     found = near_dedup.groups(docs)
-    dropped = Workspace(spark, "near-drops").stage(found.where(~F.col("kept")).select("row"), "dropped")
-    return _keep_rows(docs, dropped, "left_anti")
+    dropped = Workspace(spark, "near-drops").stage(found.where(~F.col("kept")).select("row", "check"), "dropped")
+    return without(docs, dropped, "text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row that does; a null or empty text holds none."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in sequences."""
+    """Places of the documents' pieces in sequences; a null or empty text is the end token alone."""
     return packing.pack(docs)
 
 
@@ -63,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result but the last is written to the shared folder."""
+    """The stages over documents; each result but the last is written to the shared folder. An empty table
+    gives an empty result. Rows that share a doc_id are documents of their own, and other columns than
+    doc_id and text, whatever their names, go along unread but for lang, from which languages are learned."""
     ship(spark)
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
