@@ -98,20 +98,30 @@ def with_row(df: DataFrame, id_col: str, text_col: str, check: bool = False) ->
     return df.select(*own, *([F.xxhash64(text).alias("check")] if check else []))
 
 
+def _changed() -> Column:
+    return F.raise_error(F.lit("the input's rows changed between two reads; write them to a table first")).cast("boolean")
+
+
+def _numbered(df: DataFrame, text_col: str) -> DataFrame:
+    settle(df.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole"), F.xxhash64(F.col(f"`{text_col}`")).alias("now"))
+
+
 def again(df: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     """The rows of df, each whole in a struct `whole`, with what was found for their number when df was
     read before; found: row, check and other columns, null where a row has none. The numbers follow the
     order in which df is read: a row whose text has not the hash that its number had then raises."""
-    settle(df.sparkSession)
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
-    same = F.col("check").isNull() | (F.col("check") == F.xxhash64(F.col("whole").getField(text_col)))
-    said = F.raise_error(F.lit("the input's rows changed between two reads; write them to a table first")).cast("boolean")
-    return rows.join(found, "row", "left").where(F.when(same, F.lit(True)).otherwise(said))
+    same = F.col("check").isNull() | (F.col("check") == F.col("now"))
+    return _numbered(df, text_col).join(found, "row", "left").where(F.when(same, F.lit(True)).otherwise(_changed())).drop("now", "check")
 
 
 def without(df: DataFrame, bad: DataFrame, text_col: str) -> DataFrame:
-    """df without the rows of bad (row, check)."""
-    return again(df, small(bad.select("row", "check")), text_col).where("check is null").select("whole.*")
+    """df without the rows of bad (row, check), found again as by `again`."""
+    rows = _numbered(df, text_col).join(small(bad.select("row", "check")), "row", "left")
+    # One condition: split in two, rows to be dropped could go before their hash is looked at.
+    stays = F.when(F.col("check").isNull(), F.lit(True)).when(F.col("check") == F.col("now"), F.lit(False)).otherwise(_changed())
+    return rows.where(stays).select("whole.*")
 
 
 def steps(texts: Sequence[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:

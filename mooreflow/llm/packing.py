@@ -3,12 +3,15 @@
 The plan works on the histogram of piece lengths, which has at most `capacity` entries however many
 pieces there are. For each bin the longest length left is the seed, and a bitset subset-sum over the
 other available lengths finds the fullest bin that holds it; the combination is taken as often as
-the counts allow. Pieces are then given their places by their rank among the pieces of one length.
+the counts allow. As a fullest bin may spend short pieces that later bins would need, the search is run
+for several slacks: within a slack, a bin of longer pieces is preferred to a fuller one. The plan with
+the fewest bins counts. Pieces are then given their places by their rank among those of one length.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, lean, with_row
+from mooreflow.llm.common import Workspace, lean, small, with_row
 
 CAPACITY = 1024
 END_ID = 2
-SALTS = 64
-_SPECIAL = "<|endoftext|>"
+#: Slacks that are tried, in tokens.
+SLACKS = (0, 1, 2, 4, 8, 12, 16, 24, 32, 48, 64)
+#: Pieces of one length that are ranked in one task, about.
+RANKED = 500_000
 _cache: dict[tuple[str, str], object] = {}
 
 
@@ -44,13 +49,14 @@ def encoder(paths: tuple[str, str]):
         import tiktoken
         from tokenizers import Tokenizer
 
+        special = [t["content"] for t in json.load(open(paths[0], encoding="utf-8"))["added_tokens"]]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths[1], "rb"))}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         whole: list[Tokenizer] = []
 
         def encode(t: str) -> list[int]:
-            if _SPECIAL not in t:
+            if not any(x in t for x in special):
                 try:
                     return fast.encode_ordinary(t)
                 except BaseException as e:  # a panic of the library is no Exception
@@ -82,9 +88,10 @@ def _pieces(paths: tuple[str, str], capacity: int):
     return pieces
 
 
-def fullest(counts: dict[int, int], seed: int, capacity: int) -> list[int]:
-    """The lengths, seed first, of a fullest bin that holds seed. counts: length to how many are left,
-    the seed included. Larger lengths are preferred."""
+def fullest(counts: dict[int, int], seed: int, capacity: int, slack: int = 0) -> list[int]:
+    """The lengths, seed first, of a fullest bin that holds seed, or if the longest lengths alone can leave
+    no more than slack, of the fullest one of these. counts: length to how many are left, the seed
+    included. Larger lengths are preferred."""
     room = capacity - seed
     if not room:
         return [seed]
@@ -96,7 +103,7 @@ def fullest(counts: dict[int, int], seed: int, capacity: int) -> list[int]:
             states.append((reach, size, take))
             reach |= (reach << (size * take)) & mask
             left, step = left - take, step * 2
-        if reach >> room:
+        if reach >> max(0, room - slack):
             break
     total, chosen = reach.bit_length() - 1, [seed]
     for before, size, take in reversed(states):
@@ -106,12 +113,10 @@ def fullest(counts: dict[int, int], seed: int, capacity: int) -> list[int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Bins as (lengths, how many bins are filled so). Each step uses up some length or halves
-    what it can, so the plan has few entries next to the histogram, whatever the counts."""
+def _plan(histogram: dict[int, int], capacity: int, slack: int) -> list[tuple[list[int], int]]:
     left, out = {k: v for k, v in histogram.items() if v}, []
     while left:
-        chosen = fullest(left, max(left), capacity)
+        chosen = fullest(left, max(left), capacity, slack)
         need = {s: chosen.count(s) for s in chosen}
         times = min(left[s] // n for s, n in need.items())
         out.append((chosen, times))
@@ -122,6 +127,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Bins as (lengths, how many bins are filled so), the fewest that one of SLACKS gives. Each step uses
+    up some length or halves what it can, so the plan has few entries next to the histogram, whatever
+    the counts."""
+    fewest, best = None, []
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    for slack in SLACKS:
+        found = _plan(histogram, capacity, slack)
+        n = sum(times for _, times in found)
+        if fewest is None or n < fewest:
+            fewest, best = n, found
+        if fewest == least:
+            break
+    return best
+
+
 def _places(bins: list[tuple[list[int], int]]) -> dict[int, tuple[list[int], list[tuple[int, int, int, int]]]]:
     """By length: first ranks, and (first rank, first sequence, per bin, index in plan) of each entry."""
     out: dict[int, tuple[list[int], list]] = {}
@@ -166,14 +187,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     work = Workspace(spark, "packing")
     src = with_row(docs, id_col, text_col)
     cut = src.mapInPandas(lean(_pieces(tokenizer or default_tokenizer(), capacity)), "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
-    cut = work.stage(cut.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    # At most capacity * SALTS rows, whatever the input: the sides of the two steps below are bounded.
-    counts = cut.groupBy("length", "salt").count()
+    cut = work.stage(cut, "pieces")
+    # A piece as long as a sequence is one by itself; the others are planned by their lengths.
+    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = cut.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
+    # Lengths are ranked in shares of RANKED pieces: a row for each share, fewer than the pieces by that factor.
+    shares = F.broadcast(spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, shares long"))
+    salted = rest.join(shares, "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("shares"))).drop("shares")
+    counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")) - 1
-    ranked = cut.withColumn("own", rank).join(F.broadcast(starts), ["length", "salt"])
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank")).mapInPandas(lean(_placed(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    ranked = salted.withColumn("own", rank).join(small(starts), ["length", "salt"])
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = ranked.select(*columns, (F.col("own") + F.col("before")).alias("rank")).mapInPandas(lean(_placed(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.unionAll(full.select(*columns, "sequence_id", "offset"))

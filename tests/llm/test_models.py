@@ -80,6 +80,11 @@ def test_nothing_to_learn_from(table):
     assert short.labels == ("en", "es")
 
 
+def test_letters_only():
+    assert langid.words_of("½ ① Ⅷ ² 12 _ !") == [] and langid.words_of("a½b Été 漢字") == ["a", "b", "été", "漢字"]
+    assert langid.words_of("x" * 70) == ["x" * 32, "x" * 32, "x" * 6]
+
+
 def test_held_out_accuracy(lspark):
     from mooreflow.llm.queries import op2_language_id
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -30,10 +31,52 @@ def test_very_long_runs():
 def test_on_the_test_data(lspark, data):
     whole = tokenizers.Tokenizer.from_file(packing.default_tokenizer()[0])
     fast = packing.encoder(packing.default_tokenizer())
-    for r in lspark.read.parquet(f"{data}/documents.parquet").limit(100).collect():
+    for r in lspark.read.parquet(f"{data}/documents.parquet").collect():
         assert list(fast(r["text"])) == whole.encode(r["text"], add_special_tokens=False).ids
 
 
+def test_random_code_points_and_added_tokens():
+    path = packing.default_tokenizer()[0]
+    whole, fast = tokenizers.Tokenizer.from_file(path), packing.encoder(packing.default_tokenizer())
+    added = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+    rng = random.Random(5)
+    points = [c for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for k in range(2000):
+        t = "".join(chr(rng.choice(points) if rng.random() < 0.5 else rng.randrange(0xE000, 0x1FFFF) if rng.random() < 0.2 else rng.randrange(128)) for _ in range(40))
+        if k % 10 == 0 and added:
+            t = t[:20] + rng.choice(added) + t[20:]
+        assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def best_fit(histogram, capacity):
+    """Bins that best-fit decreasing takes."""
+    rooms, n = Counter(), 0
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            room = min((r for r, k in rooms.items() if k and r >= size), default=None)
+            if room is None:
+                n, room = n + 1, capacity
+            else:
+                rooms[room] -= 1
+            rooms[room - size] += 1
+    return n
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_more_sequences_than_best_fit(lspark, data, sf):
+    docs = lspark.read.parquet(f"{data}/../{sf}/documents.parquet")
+    packed = packing.pack(docs).groupBy("length").count().collect()
+    histogram = {r["length"]: r["count"] for r in packed}
+    assert sum(n for _, n in packing.plan(histogram)) <= best_fit(histogram, 1024)
+
+
+def test_no_more_bins_than_best_fit_on_random_lengths():
+    rng = random.Random(7)
+    for k in range(12):
+        histogram = Counter(min(1024, int(rng.expovariate(1 / (150 + 60 * k))) + 1) for _ in range(2000))
+        assert sum(n for _, n in packing.plan(histogram)) <= best_fit(histogram, 1024)
+
+
 def best_sum(counts, seed, capacity):
     sums = {seed}
     left = Counter(counts)
@@ -116,6 +159,59 @@ def test_pipeline(lspark, data):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def pipeline_input(lspark, folder, rows):
+    """documents and benchmark as the pipeline reads them, with columns whose names the stages use."""
+    docs = lspark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("row", "check", "whole", "dropped", "kept", "h", "n", "w"):
+        docs = docs.selectExpr("*", f"'x' as `{name}`")
+    docs.repartition(3, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    lspark.createDataFrame([(0, "what is the sum of the first twelve prime numbers below ninety"), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_rows(lspark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    words = {y: ["".join(rng.choice(a) for _ in range(rng.randint(3, 7))) for _ in range(300)] for y, a in (("en", "abcdefgh"), ("xx", "rstuvwz"))}
+    text = lambda y: " ".join(rng.choice(words[y]) for _ in range(40))
+    rows = [(i, text(y), y, "s") for i in range(60) for y in [("en", "xx")[i % 2]]]
+    rows += [(100, None, "en", "s"), (101, "", "en", "s"), (102, "12 ½ 34 !?", "en", None), (None, text("en"), None, None), (None, text("xx"), "xx", "s")]
+    rows += [rows[0], rows[0], (200, rows[2][1], "en", "s"), (201, "so what is the sum of the first twelve prime numbers below ninety then", "en", "s"), (202, "\n".join([rows[4][1], text("en")]), "en", "s")]
+    folder = pipeline_input(lspark, tmp_path / "a", rows)
+    docs = lspark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in p.STAGES[:-1]:
+        docs = p.Workspace(lspark, "t").stage(stage(lspark, docs, folder), name)
+        assert docs.columns == columns
+        seen.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
+    assert not {100, 101, 102} & set(seen[0]) and len(seen[0]) == len(rows) - 3
+    assert 200 not in seen[1] and seen[1].count(0) == 1 and 202 in seen[1] and seen[1].count(None) == 2
+    assert seen[2] == seen[1] and 201 in seen[2] and set(seen[2]) - set(seen[3]) == {201}
+    packed = p.run(lspark, folder)
+    assert sorted((r["doc_id"] for r in packed.where("piece = 0").collect()), key=str) == seen[3]
+
+
+def test_pipeline_without_rows_or_labels(lspark, tmp_path):
+    import corpus_pipeline as p
+
+    assert p.run(lspark, pipeline_input(lspark, tmp_path / "a", [])).count() == 0
+    rows = [(i, f"some text about {i} and nothing else than {i * i} here", None, "s") for i in range(20)] + [(30, None, None, None)]
+    folder = pipeline_input(lspark, tmp_path / "b", rows)
+    assert p.language_id(lspark, lspark.read.parquet(f"{folder}/documents.parquet"), folder).count() == 21
+
+
+def test_a_changed_input_raises(lspark, tmp_path):
+    """Rows that are found again by number must have the text that they had."""
+    from mooreflow.llm.common import with_row, without
+
+    docs = lspark.createDataFrame([(i, f"t{i}") for i in range(9)], "doc_id long, text string").coalesce(1)
+    bad = with_row(docs, "doc_id", "text", check=True).where("doc_id % 2 = 0").select("row", "check")
+    assert sorted(r["doc_id"] for r in without(docs, bad, "text").collect()) == [1, 3, 5, 7]
+    with pytest.raises(Exception, match="changed between two reads"):
+        without(docs.orderBy(F.desc("doc_id")).coalesce(1), bad.where("row = 0"), "text").collect()
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
