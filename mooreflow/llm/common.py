@@ -20,6 +20,10 @@ from mooreflow.session import shared_dir
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to Python, where the session doesn't say.
 BATCH_ROWS = 2_400
+#: A key with more rows than the first, and than one of so many shares of all rows, is joined apart.
+HOT_ROWS, HOT_KEYS = 256, 10_000
+#: Rows of a sample that only decides how work is dealt, never what comes out.
+SAMPLE_ROWS = 5_000
 #: Characters that one vectorised step works on in a Python worker.
 STEP_CHARS = 1_500_000
 
@@ -98,6 +102,25 @@ def with_row(df: DataFrame, id_col: str, text_col: str, check: bool = False) ->
     return df.select(*own, *([F.xxhash64(text).alias("check")] if check else []))
 
 
+def join_counted(rows: DataFrame, one: DataFrame, on: list[str], n: str, others: Sequence[str] = (), text: bool = False) -> DataFrame:
+    """rows joined with the row that `one` has for their key. n: column of `one` that is at least the number
+    of rows with the key; it and the columns `others` of `one` are added. Keys that hold more than one of HOT_KEYS
+    shares of all rows, fewer than HOT_KEYS, are joined apart, by broadcast, or with text, whose size nothing
+    bounds, with their row repeated for each of many salts: no task gets all rows of such a key."""
+    one = one.select(*on, n, *others)
+    least = max(HOT_ROWS, (one.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot, cold = one.where(F.col(n) > least), one.where(F.col(n) <= least)
+    names = [F.col(c) for c in (*rows.columns, n, *others)]
+    common = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    if text:
+        salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salted = rows.join(F.broadcast(hot.select(*on)), on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+        apart = salted.join(hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"])
+    else:
+        apart = rows.join(F.broadcast(hot), on)
+    return common.select(*names).unionAll(apart.select(*names))
+
+
 def _changed() -> Column:
     return F.raise_error(F.lit("the input's rows changed between two reads; write them to a table first")).cast("boolean")
 
@@ -124,6 +147,11 @@ def without(df: DataFrame, bad: DataFrame, text_col: str) -> DataFrame:
     return rows.where(stays).select("whole.*")
 
 
+def sampled(df: DataFrame) -> DataFrame:
+    """About SAMPLE_ROWS rows of df, to see which keys are frequent: for how work is dealt, not for results."""
+    return df.sample(min(1.0, SAMPLE_ROWS / max(1, df.count())), seed=1)
+
+
 def steps(texts: Sequence[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters each, at least one row."""
     start = total = 0

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, again, hash_bytes, lean, lower, mix, signed, small, steps, text_hashes, with_row
+from mooreflow.llm.common import Workspace, again, hash_bytes, join_counted, lean, lower, mix, sampled, signed, small, steps, text_hashes, with_row
 
 #: Shorter lines have no near ones: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
@@ -27,6 +27,8 @@ MIN_WORDS = 5
 FEW_UNITS = 3
 #: Lines that share a key of the first step and are so few are paired at once, without a second step.
 FEW_LINES = 3
+#: A key that so many lines of a sample share is dealt by line, too; of such keys the most frequent.
+OFTEN, OFTEN_KEYS = 64, 10_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _THREE = np.uint64(3)
 
@@ -179,8 +181,12 @@ def _keys(min_words: int):
     return keys
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key and h, those whose key has another h, each once."""
+def _shared(hot):
+    return lambda batches: _others(batches, hot.value)
+
+
+def _others(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by key and h, those whose key has another h, here or as one of the hot keys, each once."""
     key = h = None  # the last row so far, and whether it was given out
     out = True
     for batch in batches:
@@ -195,6 +201,8 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a row is out if the next or previous row has its key and another line, and it is not a repeat
         mark[1:] |= other
         mark[:-1] |= other
+        if len(hot):
+            mark |= hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k
         repeat = np.concatenate([[False], same & (v[1:] == v[:-1])])
         # a repeat's first row may see its other line only after the repeats: carry the mark back
         group = np.cumsum(~repeat) - 1
@@ -277,9 +285,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     keys = src.select("text").mapInPandas(lean(_keys(min_words)), "key long, h long")
-    shared = work.stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInPandas(lean(_shared), "key long, h long"), "shared")
-    whole = shared.groupBy("key").agg(F.count("*").alias("n"), F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines"))
-    shared = work.stage(shared.join(whole, "key"), "groups")
+    # Keys that a sample shows to be in many lines are dealt by line as well: that others share them is known.
+    often = sampled(src.select("text")).mapInPandas(lean(_keys(min_words)), "key long, h long").groupBy("key").agg(F.count_distinct("h").alias("n")).where(F.col("n") >= OFTEN)
+    found = sorted(r["key"] for r in often.orderBy(F.desc("n"), "key").limit(OFTEN_KEYS).collect())
+    hot = spark.sparkContext.broadcast(np.array(found, np.int64))
+    dealt = keys.repartition("key", F.when(F.col("key").isin(found), F.pmod("h", F.lit(1 << 16))).otherwise(0)) if found else keys.repartition("key")
+    shared = work.stage(dealt.sortWithinPartitions("key", "h").mapInPandas(lean(_shared(hot)), "key long, h long"), "shared")
+    whole = work.stage(shared.groupBy("key").agg(F.count("*").alias("n"), F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines")), "whole")
+    shared = work.stage(join_counted(shared, whole, ["key"], "n", ["lines"]), "groups")
     work.drop("shared")
     many = F.when(F.col("n") > FEW_LINES, F.struct("key", "lines"))
     marked = work.stage(shared.groupBy("h").agg(F.collect_list(many).alias("keys")).join(firsts.select("h", "first"), "h"), "marked")
@@ -291,21 +304,23 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     subs = work.stage(texts.select("text", "marks").mapInPandas(lean(_second), "sub long, h long, words string"), "second")
     words = subs.where("sub is null").select("h", "words")
     own = subs.where("sub is not null").select("sub", "h").join(order, "h")
-    best = own.groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"))
-    pairs = own.join(best, "sub").select(F.col("h").alias("a"), F.col("best.h").alias("b"))
+    best = work.stage(own.groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("n")).select("sub", "n", F.col("best.h").alias("b")).where("n > 1"), "best")
+    pairs = join_counted(subs.where("sub is not null").select("sub", "h"), best, ["sub"], "n", ["b"]).select(F.col("h").alias("a"), "b")
     few = shared.where(F.col("n") <= FEW_LINES).groupBy("key").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     two = F.transform("hs", lambda x, i: F.transform(F.filter("hs", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y"))))
     few = few.select(F.explode(F.flatten(two)).alias("p")).select("p.*").distinct()
     for x in "xy":
         few = few.join(order.select(F.col("h").alias(x), F.col("first").alias(f"at_{x}")), x)
     few = few.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("at_x") > F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    pairs = pairs.unionAll(few).where("a <> b").distinct()
-    for x in "ab":
-        pairs = pairs.join(words.select(F.col("h").alias(x), F.col("words").alias(f"w{x}")), x)
+    pairs = work.stage(pairs.unionAll(few).where("a <> b").distinct(), "pairs")
+    per = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    pairs = join_counted(pairs, words.select(F.col("h").alias("b"), F.col("words").alias("wb")).join(per, "b"), ["b"], "n", ["wb"], text=True).drop("n")
+    pairs = pairs.join(words.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a")
     near = pairs.mapInPandas(lean(_verified), "a long, b long").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
-    gone = firsts.join(near, "h", "left").where("near or n > 1").select("h", F.coalesce("near", F.lit(False)).alias("near"), "first")
+    gone = firsts.join(near, "h", "left").where("near or n > 1").select("h", "n", F.coalesce("near", F.lit(False)).alias("near"), "first")
     gone = work.stage(gone, "gone")
-    lost = lines.join(gone, "h").where(F.col("near") | (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
+    work.keep("lines", "gone")
+    lost = join_counted(lines.select("row", "line", "h"), gone, ["h"], "n", ["near", "first"]).where(F.col("near") | (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
     lost = lost.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
     return meta.join(lost, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
