@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooreflow.operators.run import Stimulus, trace
+from mooreflow.operators.run import Stimulus, traces
 from mooreflow.plans.language import Machine
-from mooreflow.plans.lower import output_values, step
+from mooreflow.plans.lower import output_values, outputs, step
 
 
 def stimulus(spark: SparkSession, m: Machine, cycles: int = 200, keys: int = 1, seed: int = 0) -> Stimulus:
@@ -34,15 +34,13 @@ def is_sequential(port_names: Column) -> Column:
 
 def compare(golden: Machine, candidate: Machine, s: Stimulus) -> DataFrame:
     """key, order, port, port_ord, gold, dut, mismatch for each row and output of the golden machine; an
-    output that the candidate lacks is null there and mismatches."""
+    output that the candidate lacks is null there and mismatches. Both run in one pass over the rows."""
     at = [*s.key, *s.order]
-    gold, dut = trace(golden, s), trace(candidate, s)
-    names = [p.name for p in golden.outputs]
     have = {p.name for p in candidate.outputs}
-    side = dut.select(*at, *[(F.col(n) if n in have else F.lit(None).cast("long")).alias(f"dut_{n}") for n in names])
-    both = gold.join(side, at)
-    rows = F.array(*[F.struct(F.lit(n).alias("port"), F.lit(i).alias("port_ord"), F.col(n).alias("gold"), F.col(f"dut_{n}").alias("dut")) for i, n in enumerate(names)])
-    return both.select(*at, F.explode(rows).alias("x")).select(*at, "x.*").withColumn("mismatch", ~F.col("gold").eqNullSafe(F.col("dut")))
+    gold, dut = outputs(golden, F.col("post0")), outputs(candidate, F.col("post1"))
+    side = lambda n: dut[n] if n in have else F.lit(None).cast("long")
+    rows = F.array(*[F.struct(F.lit(p.name).alias("port"), F.lit(i).alias("port_ord"), gold[p.name].alias("gold"), side(p.name).alias("dut")) for i, p in enumerate(golden.outputs)])
+    return traces([golden, candidate], s).select(*at, F.inline(rows)).withColumn("mismatch", ~F.col("gold").eqNullSafe(F.col("dut")))
 
 
 def mismatch_counts(compared: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -139,18 +139,24 @@ def with_before(traced: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 
 
 def kills(rows: DataFrame, key: Sequence[str], order: Sequence[str], depth: int = 8, faults: Sequence[str] = MUTANTS) -> DataFrame:
-    """One row per faulty variant: mismatching cycles against the sound queue, and whether it is killed."""
-    at, seen = [*key, *order], ("ready0", "ready1", "selected", "valid", "data", "count")
-    gold = trace(rows, key, order, depth)
-    out = None
-    for fault in faults:
-        other = trace(rows, key, order, depth, fault).select(*at, *[F.col(c).alias(f"x_{c}") for c in seen])
-        differ = ~F.lit(True)
-        for c in seen:
-            differ = differ | ~F.col(c).eqNullSafe(F.col(f"x_{c}"))
-        n = gold.join(other, at).agg(F.count_if(differ).alias("mismatches")).select(F.lit(fault).alias("mutant"), "mismatches", (F.col("mismatches") > 0).alias("killed"))
-        out = n if out is None else out.unionAll(n)
-    return out
+    """One row per faulty variant: mismatching cycles against the sound queue, and whether it is killed. A task
+    runs all variants beside the sound queue in one pass over its sorted keys and gives one row for each."""
+    own = rows.select(*key, *order, *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in _INPUTS])
+    names, places, variants = list(key), list(_INPUTS), list(faults)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, gold, others, n = None, Queue(depth), [], [0] * len(variants)
+        for batch in batches:
+            for k, x in zip(batch[names].itertuples(index=False, name=None), batch[places].itertuples(index=False, name=None), strict=True):
+                if k != now:
+                    now, gold, others = k, Queue(depth), [Queue(depth, f) for f in variants]
+                seen = gold.cycle(*x)
+                for i, q in enumerate(others):
+                    n[i] += q.cycle(*x) != seen
+        yield pd.DataFrame({"mutant": variants, "mismatches": n})
+
+    found = own.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, "mutant string, mismatches long")
+    return found.groupBy("mutant").agg(F.sum("mismatches").alias("mismatches")).withColumn("killed", F.col("mismatches") > 0)
 
 
 _POP = (0, 0, 0, 0, 0, 1)

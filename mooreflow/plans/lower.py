@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,22 +11,17 @@ from pyspark.sql import functions as F
 from mooreflow.plans.language import Guard, Machine, Port, subguards
 
 Signals = Callable[[str], Column]
-_OPS = {"==": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
-_FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+_OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
-def _always(op: str, value: int, width: int) -> bool | None:
-    """What `signal op value` is for every signal of the width, if it is the same for all."""
-    top = (1 << width) - 1
-    if op == "<":
-        return False if value == 0 else True if value > top else None
-    if op == "<=":
-        return True if value >= top else None
-    if op == ">":
-        return False if value >= top else None
-    if op == ">=":
-        return True if value == 0 else False if value > top else None
-    return (op == "!=") if value > top else None
+def _constant(compare: Callable[[int], bool], value: int, equality: bool, width: int) -> bool | None:
+    """What a comparison of a signal of the width with value is, if it is the same whatever the signal. An order
+    holds for all signals or none just when it does for the least and the greatest; an equality is
+    open only for a value that the signal can take."""
+    least, greatest = 0, (1 << width) - 1
+    if equality and value in range(least, greatest + 1):
+        return None
+    return compare(least) if compare(least) == compare(greatest) else None
 
 
 def _value(g: Guard, ports: dict[str, Port], read: Signals) -> Column:
@@ -45,6 +41,16 @@ def _width(g: Guard, ports: dict[str, Port]) -> int | None:
     return ports[g.name].width if g.kind == "signal" else 1
 
 
+def decided(g: Guard, ports: dict[str, Port]) -> bool | None:
+    """What a comparison with a number is, if it is the same whatever the other side."""
+    compare, (left, right) = _OPS[g.kind], g.parts
+    for number, other, told in ((right, left, lambda x: compare(x, right.value)), (left, right, lambda x: compare(left.value, x))):
+        width = _width(other, ports)
+        if number.kind == "number" and width is not None:
+            return _constant(told, number.value, g.kind in ("==", "!="), width)
+    return None
+
+
 def guard(g: Guard, ports: dict[str, Port], read: Signals) -> Column:
     """The guard as a condition; a signal of any width holds when it isn't zero."""
     if g.kind == "number":
@@ -56,12 +62,10 @@ def guard(g: Guard, ports: dict[str, Port], read: Signals) -> Column:
     if g.kind in ("and", "or"):
         a, b = (guard(p, ports, read) for p in g.parts)
         return a & b if g.kind == "and" else a | b
-    left, right, op = *g.parts, g.kind
-    if left.kind == "number" and right.kind != "number":
-        left, right, op = right, left, _FLIP.get(op, op)
-    if right.kind == "number" and (w := _width(left, ports)) is not None and (known := _always(op, right.value, w)) is not None:
+    if (known := decided(g, ports)) is not None:
         return F.lit(known)
-    return getattr(_value(left, ports, read), _OPS[op])(_value(right, ports, read))
+    left, right = (_value(p, ports, read) for p in g.parts)
+    return _OPS[g.kind](left, right)
 
 
 def reads(m: Machine) -> list[str]:
