@@ -12,9 +12,10 @@ _SPACE = " \t\n\r\x0b\x0c"
 FSM_FENCE = r"(?s)```(?:fsm|dsl)?\s*(.*?)```"
 VERILOG_FENCE = r"(?s)```(?:systemverilog|verilog|sv)?\s*(.*?)```"
 PORT = r"(input|output)\s+logic\s*(?:\[(\d+):(\d+)\])?\s*(\w+)"
-SCENARIO = r"SCENARIO\s+(\w+)\s+(PASS|FAIL)"
+SCENARIO = r"^\s*SCENARIO\s+(\S+)\s+(PASS|FAIL)"
 REWARD = r"'reward': ([0-9.]+)"
 STEP = r"([0-9]+)/200"
+EVALUATION = r"EVAL"
 HYGIENE = {
     "testbench": {"forbidden": ("/donotaccess", "donotaccess", "stream_arb_fifo_golden", "run_cocotb_hidden"), "all": (("@cocotb.test",), ("RisingEdge", "FallingEdge")), "unsupported": (), "helper": r"\bmark_coverage\s*\("},
     "formal": {
@@ -131,12 +132,32 @@ def module_name(file: Column) -> Column:
     return F.regexp_replace(file, r"\.sv$", "")
 
 
+def _first(df: DataFrame, log: str, pattern: str, name: str, kind: str, first: int) -> DataFrame:
+    found = F.slice(F.regexp_extract_all(F.col(log), F.lit(pattern), F.lit(1)), 1, first)
+    return df.select(*[c for c in df.columns if c != log], F.posexplode(found).alias("n", name)).withColumn(name, F.col(name).cast(kind))
+
+
 def log_rewards(df: DataFrame, log: str = "log", first: int = 40) -> DataFrame:
     """The first rewards of each log, in order: all columns but the log, n, reward."""
-    found = F.slice(F.regexp_extract_all(F.col(log), F.lit(REWARD), F.lit(1)), 1, first)
-    return df.select(*[c for c in df.columns if c != log], F.posexplode(found).alias("n", "reward")).withColumn("reward", F.col("reward").cast("double"))
+    return _first(df, log, REWARD, "reward", "double", first)
+
+
+def log_steps(df: DataFrame, log: str = "log", first: int = 40) -> DataFrame:
+    """The first step markers (`N/200`) of each log, in order: all columns but the log, n, step."""
+    return _first(df, log, STEP, "step", "long", first)
 
 
 def evaluation_lines(df: DataFrame, log: str = "log") -> DataFrame:
-    lines = df.select(*[c for c in df.columns if c != log], F.explode(F.split(log, "\n")).alias("text"))
-    return lines.where(F.contains("text", F.lit("EVAL")))
+    """Lines of logs that tell an evaluation: all columns but the log, line, text, and the line's name=value
+    numbers as a map (the last of a name counts)."""
+    lines = df.select(*[c for c in df.columns if c != log], F.posexplode(F.split(log, "\n")).alias("line", "text"))
+    pairs = lambda i: F.regexp_extract_all("text", F.lit(r"(\w+)[=:]\s*(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(i))
+    numbers = F.aggregate(
+        F.arrays_zip(pairs(1).alias("k"), pairs(2).alias("v")), F.create_map().cast("map<string,double>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"].cast("double")))
+    )
+    return lines.where(F.contains("text", F.lit(EVALUATION))).withColumn("numbers", numbers)
+
+
+def names(c: Column, name: Column) -> Column:
+    """Whether the text has the name as a whole word."""
+    return F.rlike(c, F.concat(F.lit(r"\b"), F.regexp_replace(name, F.lit(r"([^\w])"), F.lit(r"\\$1")), F.lit(r"\b")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mooreflow.plans.language import MESSAGES, Machine, guard_text, subguards
+from mooreflow.session import staged
 
 _AT = "line int, col int"
 SCHEMAS = {
@@ -55,6 +56,44 @@ def catalog(spark: SparkSession, machines: Sequence[Machine], separate: bool = F
     return Catalog(**tables)
 
 
+def catalog_of(programs: DataFrame) -> Catalog:
+    """A catalog from a table of programs (machine_id, unit, path, text), read on the executors: each is one
+    machine, and the machines of a unit must drive outputs once. Programs that cannot be parsed are left
+    out; `compiled` tells why. The parts go to the shared folder once, whatever their number."""
+    from collections.abc import Iterator
+    from decimal import Decimal
+
+    import pandas as pd
+
+    from mooreflow.plans.language import MachineError, parse
+
+    kinds = [(k, [f.split()[0] for f in v.split(", ")]) for k, v in SCHEMAS.items()]
+    fields = {f.split()[0]: f.split()[1] for v in SCHEMAS.values() for f in v.split(", ")} | {"unit": "long"}
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, list] = {"part": [], **{f: [] for f in fields}}
+            for i, unit, path, text in zip(batch["machine_id"], batch["unit"], batch["path"], batch["text"], strict=True):
+                try:
+                    rows = rows_of([parse(text or "", path or "<input>")], int(i))
+                except MachineError:
+                    continue
+                for k, columns in kinds:
+                    for row in rows[k]:
+                        own = dict(zip(columns, row, strict=True)) | {"unit": int(unit)}
+                        if k == "assignments":
+                            own["value"] = Decimal(own["value"])
+                        out["part"].append(k)
+                        for f in fields:
+                            out[f].append(own.get(f))
+            frame = pd.DataFrame(out)
+            yield frame.astype({f: "Int64" for f, t in fields.items() if t in ("int", "long")})
+
+    schema = ", ".join(f"`{f}` {t}" for f, t in {"part": "string", **fields}.items())
+    whole = staged(programs.select("machine_id", "unit", "path", "text").mapInPandas(parts, schema), "catalog")
+    return Catalog(**{k: whole.where(F.col("part") == k).select(*columns, *(["unit"] if k == "machines" else [])) for k, columns in kinds})
+
+
 def _message(key: str, *parts: Column) -> Column:
     text = MESSAGES[key]
     for i in range(len(parts)):

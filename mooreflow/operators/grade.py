@@ -114,9 +114,10 @@ def histogram(rewards: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rewards.groupBy(*keys, F.round("reward", 2).alias("reward")).agg(F.count("*").alias("n"))
 
 
-def answers_with_goldens(answers: DataFrame, goldens: DataFrame, on: str = "task") -> DataFrame:
-    """Answers whose task has a golden; of goldens that share a task, the last by text counts."""
-    return answers.join(goldens.groupBy(on).agg(F.max("golden").alias("golden")), on)
+def answers_with_goldens(answers: DataFrame, goldens: DataFrame, on: str = "task", order: str | None = None) -> DataFrame:
+    """Answers whose task has a golden; of goldens that share a task, the last by the order column counts
+    (by their text, where none is given)."""
+    return answers.join(goldens.groupBy(on).agg(F.max_by("golden", order or "golden").alias("golden")), on)
 
 
 def per_arm(records: DataFrame, value: str = "reward", arms: Sequence[str] = ("dsl", "verilog")) -> DataFrame:
@@ -124,6 +125,29 @@ def per_arm(records: DataFrame, value: str = "reward", arms: Sequence[str] = ("d
     return records.groupBy("task").pivot("arm", list(arms)).agg(F.first(value, ignorenulls=True))
 
 
+def arm_records(records: DataFrame, arms: Sequence[str] = ("dsl", "verilog")) -> DataFrame:
+    """One row per task with a record of each arm: code, reward, passed (a reward of CLEAN or more), tokens,
+    latency, tokens per second (0 without a latency) and note; null for an arm without one."""
+    c = F.col
+    rate = F.when(c("latency") != 0, c("tokens") / c("latency")).otherwise(0.0)
+    whole = F.struct("code", "reward", (c("reward") >= CLEAN).alias("passed"), "tokens", "latency", rate.alias("tokens_per_s"), "note")
+    return records.select("task", "arm", whole.alias("record")).groupBy("task").pivot("arm", list(arms)).agg(F.first("record", ignorenulls=True))
+
+
+def latest_batch(runs: DataFrame, keys: Sequence[str] = (), batch: str = "batch") -> DataFrame:
+    """Rows of the last batch, of each key where keys are given."""
+    last = runs.groupBy(*keys).agg(F.max(batch).alias(batch))
+    return runs.join(F.broadcast(last) if not keys else last, [*keys, batch], "left_semi")
+
+
+def with_specs(rows: DataFrame, specs: DataFrame, on: str = "task_id") -> DataFrame:
+    """rows with the specification of their task; a task that the catalog lacks raises, as one listed twice does."""
+    once = specs.groupBy(on).agg(F.count("*").alias("listed"), *[F.first(c).alias(c) for c in specs.columns if c != on])
+    found = rows.join(once, on, "left")
+    fine = F.when(F.col("listed") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no single specification of task "), F.col(on).cast("string"))).cast("boolean"))
+    return found.where(fine).drop("listed")
+
+
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
@@ -161,6 +185,12 @@ def running_mean(rewards: DataFrame, run: str = "run", step: str = "step") -> Da
     return rewards.groupBy(run, step).agg(F.avg("reward").alias("mean"), F.count("*").alias("n"))
 
 
+def gap(scores: DataFrame, arm: str, arms: tuple[str, str], keys: Sequence[str] = (), value: str = "score") -> DataFrame:
+    """The series of a chart that sets two arms side by side: both means and the difference."""
+    means = scores.groupBy(*keys).pivot(arm, list(arms)).agg(F.avg(value))
+    return means.withColumn("gap", F.col(f"`{arms[1]}`") - F.col(f"`{arms[0]}`"))
+
+
 GRADERS: dict[str, Callable[[str, str], dict]] = {}
 
 

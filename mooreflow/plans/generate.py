@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 from mooreflow.plans.language import Assignment, Guard, Machine, Port, State, Transition, check
 
@@ -60,3 +61,30 @@ def describe(m: Machine) -> str:
         lines.append(f"In {s.name}: " + ", ".join(f"{a.output} is {a.value}" for a in s.assignments) + ".")
         lines += [f"  If {guard_text(t.guard)}, go to {t.target}." if t.guard else f"  Otherwise go to {t.target}." for t in s.transitions]
     return "\n".join(lines)
+
+
+#: What `perturbed` can do to a machine, and the rule that it then breaks.
+FAULTS = {"drop_assignment": "total_outputs", "drop_else": "total_transitions", "wrong_target": "name_resolution", "wrong_reset": "name_resolution", "second_driver": "single_driver", "foreign_assignment": "single_driver"}
+
+
+def perturbed(m: Machine, fault: str, rng: random.Random) -> tuple[Machine, ...]:
+    """The machine with one fault of a kind in FAULTS; two machines where a fault takes two."""
+    k = rng.randrange(len(m.states))
+    s = m.states[k]
+    put = lambda **x: replace(m, states=(*m.states[:k], replace(s, **x), *m.states[k + 1 :]))
+    if fault == "drop_assignment":
+        name = rng.choice(s.assignments).output
+        return (put(assignments=tuple(a for a in s.assignments if a.output != name)),)
+    if fault == "drop_else":
+        return (put(transitions=s.transitions[:-1]),)
+    if fault == "wrong_target":
+        i = rng.randrange(len(s.transitions))
+        return (put(transitions=(*s.transitions[:i], replace(s.transitions[i], target="NOWHERE"), *s.transitions[i + 1 :])),)
+    if fault == "wrong_reset":
+        return (replace(m, reset="NOWHERE"),)
+    if fault == "second_driver":
+        return m, replace(m, name=f"{m.name}_again")
+    if fault == "foreign_assignment":
+        other = Machine("other", (Port("only_here", "out", 0, 0),), "S", (State("S", (Assignment("only_here", 0),), (Transition(None, "S"),)),))
+        return put(assignments=(*s.assignments, Assignment("only_here", 1))), other
+    raise ValueError(f"unknown fault {fault!r}")

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooreflow.functions import text as tx
-from mooreflow.operators import catalog as cat
 from mooreflow.operators import cosim, fifo, grade
 from mooreflow.operators.run import Stimulus, fold, trace
 from mooreflow.plans import fixtures
-from mooreflow.plans.generate import random_machines
-from mooreflow.plans.language import parse_program
 from mooreflow.sources import tasks as src
 
 QUERIES: dict = {}
@@ -173,79 +170,6 @@ def product_reachability(spark, d):
     return pairs.select("a_state", "b_state")
 
 
-# A catalog with one fault of each kind.
-FAULTY = """
-machine a { in bit i  in bit[3:0] v  in bit idle  out bit y  out bit z  reset = S
-  state S { y = 0  z = 1  when i && v[2] -> T  else -> S }
-  state T { y = 1  when v > 3 -> S  else -> T } }
-machine b { in bit i  out bit y  reset = P
-  state P { y = 0  z = 1  when i -> Q }
-  state R { y = 1  else -> P } }
-machine c { in bit i  out bit w  reset = NONE
-  state A { w = 0  when i -> A  else -> A }
-  state B { w = 1  else -> GONE }
-  state C { w = 1 } }
-"""
-
-
-def _catalog(spark: SparkSession) -> cat.Catalog:
-    return cat.catalog(spark, parse_program(FAULTY, "f.fsm"))
-
-
-# The catalog as SQL, written out independently of the parser.
-_FAULTY_SQL = """WITH m(id, name, reset) AS (VALUES (0, 'a', 'S'), (1, 'b', 'P'), (2, 'c', 'NONE')),
-o(id, ord, name) AS (VALUES (0, 3, 'y'), (0, 4, 'z'), (1, 1, 'y'), (2, 1, 'w')),
-i(id, ord, name) AS (VALUES (0, 0, 'i'), (0, 1, 'v'), (0, 2, 'idle'), (1, 0, 'i'), (2, 0, 'i')),
-s(id, ord, name) AS (VALUES (0, 0, 'S'), (0, 1, 'T'), (1, 0, 'P'), (1, 1, 'R'), (2, 0, 'A'), (2, 1, 'B'), (2, 2, 'C')),
-a(id, s, o) AS (VALUES (0, 'S', 'y'), (0, 'S', 'z'), (0, 'T', 'y'), (1, 'P', 'y'), (1, 'P', 'z'), (1, 'R', 'y'), (2, 'A', 'w'), (2, 'B', 'w'), (2, 'C', 'w')),
-t(id, s, ord, kind, target) AS (VALUES (0, 'S', 0, 'when', 'T'), (0, 'S', 1, 'else', 'S'), (0, 'T', 0, 'when', 'S'), (0, 'T', 1, 'else', 'T'), (1, 'P', 0, 'when', 'Q'), (1, 'R', 0, 'else', 'P'), (2, 'A', 0, 'when', 'A'), (2, 'A', 1, 'else', 'A'), (2, 'B', 0, 'else', 'GONE')),
-r(id, name) AS (VALUES (0, 'i'), (0, 'v'), (1, 'i'), (2, 'i')) """
-
-
-@query(_FAULTY_SQL + "SELECT CAST(s.id AS BIGINT) AS machine_id, 'state ' || s.name || ' does not assign output ''' || o.name || '''' AS message FROM s JOIN o ON o.id = s.id WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = s.id AND a.s = s.name AND a.o = o.name)")
-def safety_total_outputs(spark, d):
-    return cat.total_outputs(_catalog(spark)).select("machine_id", "message")
-
-
-@query(_FAULTY_SQL + "SELECT CAST(s.id AS BIGINT) AS machine_id, 'state ' || s.name || ' does not end with a final ''else -> STATE'' transition' AS message FROM s WHERE coalesce((SELECT max_by(kind, t.ord) FROM t WHERE t.id = s.id AND t.s = s.name), 'when') <> 'else'")
-def safety_total_transitions(spark, d):
-    return cat.total_transitions(_catalog(spark)).select("machine_id", "message")
-
-
-@query(_FAULTY_SQL + """SELECT CAST(t.id AS BIGINT) AS machine_id, 'transition in state ' || t.s || ' targets undeclared state ''' || t.target || '''' AS message FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = t.id AND s.name = t.target)
-UNION ALL SELECT CAST(m.id AS BIGINT), 'reset target ''' || m.reset || ''' is not a declared state' FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = m.id AND s.name = m.reset)""")
-def safety_name_resolution(spark, d):
-    return cat.name_resolution(_catalog(spark)).select("machine_id", "message")
-
-
-@query(_FAULTY_SQL + """, n AS (SELECT o.*, m.name AS machine, row_number() OVER (PARTITION BY o.name ORDER BY o.id) AS rn FROM o JOIN m ON m.id = o.id)
-SELECT CAST(id AS BIGINT) AS machine_id, 'output ''' || name || ''' is declared by more than one machine: a (f.fsm:2), b (f.fsm:5)' AS message FROM n WHERE rn > 1
-UNION ALL SELECT CAST(a.id AS BIGINT), 'output ''' || a.o || ''' is assigned in state ' || a.s || ' of machine ' || m.name || ' but is declared by machine ' || n.machine FROM a JOIN m ON m.id = a.id JOIN n ON n.name = a.o AND n.rn = 1 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = a.id AND o.name = a.o)""")
-def safety_single_driver(spark, d):
-    return cat.single_driver(_catalog(spark)).select("machine_id", "message")
-
-
-@query(_FAULTY_SQL + "SELECT CAST(i.id AS BIGINT) AS machine_id, i.name FROM i WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = i.id AND r.name = i.name)")
-def unused_inputs(spark, d):
-    return cat.unused_inputs(_catalog(spark)).select("machine_id", "name")
-
-
-@query(_FAULTY_SQL + "SELECT CAST(id AS BIGINT) AS machine_id, count(*) AS states, CAST(greatest(1, ceil(log2(count(*)))) AS INT) AS width FROM s GROUP BY id")
-def state_width(spark, d):
-    return cat.state_widths(_catalog(spark))
-
-
-@query()
-def catalog_diagnostics(spark, d):
-    return cat.diagnostics(_catalog(spark))
-
-
-@query()
-def valid_generated_machines(spark, d):
-    """Random machines through the checks of the catalog."""
-    return cat.valid_machines(cat.catalog(spark, random_machines(60, seed=5, rich=True), separate=True))
-
-
 _SCORES = "SELECT d.doc_id, d.source, CAST(l.quality AS DOUBLE) AS q, CAST(1 - l.toxic AS DOUBLE) AS c, CASE WHEN d.n_chars % 5 < 3 THEN 1.0 ELSE 0.0 END AS b FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
 
 
@@ -402,32 +326,3 @@ def fifo_trace(spark, d):
 @query(_QUEUE_SQL + "SELECT e.user_id, CAST(sum((seen[1] + seen[2]) * (1 - e.rst)) AS BIGINT) AS accepted, CAST(sum(CASE WHEN e.y AND e.rst = 0 THEN seen[4] ELSE 0 END) AS BIGINT) AS popped, CAST(max_by(len(q), t.rn) AS BIGINT) AS \"count\" FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn GROUP BY e.user_id")
 def fifo_totals(spark, d):
     return fifo.fold(_queue_rows(spark, d), ["user_id"], ["ts", "event_id"]).drop("checksum")
-
-
-@query()
-def fifo_mutant_kill(spark, d):
-    return fifo.kills(_queue_rows(spark, d), ["user_id"], ["ts", "event_id"])
-
-
-@query()
-def fifo_invariants(spark, d):
-    """One row: each invariant holds, and which coverage points are reached."""
-    key, order = ["user_id"], ["ts", "event_id"]
-    traced = fifo.with_before(fifo.trace(_queue_rows(spark, d), key, order), key, order)
-    return cosim.properties(traced, fifo.asserts(), fifo.covers())
-
-
-@query("SELECT * FROM (VALUES ('lane1_only_order', 'PASS'), ('round_robin_contention', 'FAIL'), ('full_accepts_after_pop', 'PASS'), ('reset_flushes_and_restarts', 'PASS')) v(scenario, status)")
-def fifo_scenarios(spark, d):
-    """The directed scenarios against a queue that always grants lane 0."""
-    return fifo.scenario_results(spark, "rr_stuck_lane0")
-
-
-@query()
-def graded_machines(spark, d):
-    """Answers graded against goldens: a third right, a third from another machine, a third no program."""
-    from mooreflow.plans.language import machine_text
-
-    golds = random_machines(30, seed=9)
-    rows = [(f"task_{i:04d}", [f"```fsm\n{machine_text(m)}```", machine_text(golds[i - 1]), "no idea"][i % 3], machine_text(m)) for i, m in enumerate(golds)]
-    return grade.graded(spark.createDataFrame(rows, "task string, answer string, golden string").repartition(4))

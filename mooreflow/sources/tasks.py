@@ -60,9 +60,23 @@ def file_list(df: DataFrame, text: str = "text") -> DataFrame:
     return lines.select(*[c for c in lines.columns if c not in ("raw", "entry")], F.when(include, "include").otherwise("source").alias("kind"), F.regexp_replace("entry", r"^(\+incdir\+|-I)", "").alias("entry"))
 
 
-def models(c: Column) -> Column:
-    """Trainable entries of a JSON list of models."""
-    return F.filter(F.from_json(c, "array<struct<id:string,trainable:boolean>>"), lambda x: F.coalesce(x["trainable"], F.lit(False)))
+MODEL = "struct<name:string,model_name:string,provider:string,id:string,trainable:boolean,is_trainable:boolean>"
+
+
+def models(c: Column, named: str | None = None) -> Column:
+    """Trainable entries of a JSON list of models, by either of two names for that; with named, instead
+    the entries in whose text the name occurs, whatever its case."""
+    found = F.transform(F.from_json(c, "array<string>"), lambda raw: F.struct(F.from_json(raw, MODEL).alias("m"), raw.alias("raw")))
+    if named is not None:
+        kept = F.filter(found, lambda x: F.contains(F.lower(x["raw"]), F.lit(named.lower())))
+    else:
+        kept = F.filter(found, lambda x: F.coalesce(x["m"]["trainable"], F.lit(False)) | F.coalesce(x["m"]["is_trainable"], F.lit(False)))
+    return F.transform(kept, lambda x: x["m"])
+
+
+def series(spark: SparkSession, recorded: dict[str, list[float]]) -> DataFrame:
+    """Recorded series as a table: run, step (from 1), value."""
+    return spark.createDataFrame([(run, i, float(v)) for run, values in recorded.items() for i, v in enumerate(values, 1)], "run string, step long, value double")
 
 
 def write_tasks(df: DataFrame, path: str, column: str) -> None:

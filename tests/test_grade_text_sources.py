@@ -6,9 +6,22 @@ from mooreflow.operators import catalog as cat
 from mooreflow.operators import grade
 from mooreflow.plans.language import diagnostics, machine_text, parse_program
 from mooreflow.plans.generate import random_machines
-from mooreflow.queries import FAULTY
 from mooreflow.sources import tasks as src
 
+# A catalog with one fault of each kind.
+FAULTY = """
+machine a { in bit i  in bit[3:0] v  in bit idle  out bit y  out bit z  reset = S
+  state S { y = 0  z = 1  when i && v[2] -> T  else -> S }
+  state T { y = 1  when v > 3 -> S  else -> T } }
+machine b { in bit i  out bit y  reset = P
+  state P { y = 0  z = 1  when i -> Q }
+  state R { y = 1  else -> P } }
+machine c { in bit i  out bit w  reset = NONE
+  state A { w = 0  when i -> A  else -> A }
+  state B { w = 1  else -> GONE }
+  state C { w = 1 } }
+"""
+
 
 def one(spark, c):
     return spark.range(1).select(c).first()[0]
@@ -142,3 +155,18 @@ def test_task_pools(spark):
     assert [r["id"] for r in grade.every(spark.range(7), 3, "id").collect()] == [0, 3, 6]
     rewards = spark.createDataFrame([("r", 1, 0.5), ("r", 1, 1.0)], "run string, step int, reward double")
     assert grade.running_mean(rewards).first()["mean"] == 0.75
+
+
+def test_specifications_must_be_single(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n long, task_id string")
+    specs = [("a", "x"), ("b", "y")]
+    make = lambda s: spark.createDataFrame(s, "task_id string, track string")
+    assert {(r["n"], r["track"]) for r in grade.with_specs(rows, make(specs)).collect()} == {(1, "x"), (2, "y")}
+    for bad in (specs[:1], [*specs, ("a", "z")]):
+        with pytest.raises(Exception, match="no single specification"):
+            grade.with_specs(rows, make(bad)).collect()
+
+
+def test_scenario_lines_begin_their_line(spark):
+    log = spark.createDataFrame([("  SCENARIO lane1-only PASS ok\nnote: SCENARIO a PASS\nSCENARIO b FAIL\nSCENARIO c MAYBE",)], "log string")
+    assert [(r["scenario"], r["status"]) for r in tx.scenarios(log).collect()] == [("lane1-only", "PASS"), ("b", "FAIL")]

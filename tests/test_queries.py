@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from mooreflow.queries import QUERIES, SQL
+from mooreflow.table_queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
