@@ -22,6 +22,8 @@ BROADCAST_ROWS = 200_000
 BATCH_ROWS = 2_400
 #: A key with more rows than the first, and than one of so many shares of all rows, is joined apart.
 HOT_ROWS, HOT_KEYS = 256, 10_000
+#: Edges that one task may unite.
+LOCAL_EDGES = 1_000_000
 #: Rows of a sample that only decides how work is dealt, never what comes out.
 SAMPLE_ROWS = 5_000
 #: Characters that one vectorised step works on in a Python worker.
@@ -267,14 +269,36 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of the edges of one task."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if root(x) != x]  # as below, without the smallest nodes themselves
+    for i in range(0, len(nodes), 100_000):
+        yield pd.DataFrame({"node": nodes[i : i + 100_000], "comp": [root(x) for x in nodes[i : i + 100_000]]})
+
+
 def components(edges: DataFrame, work: Workspace, tag: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps, each one shuffle with
     partial minima. edges: a, b (long). Returns node, comp: comp is the smallest node reachable.
-    Nodes without an edge to another node are absent. No row of a group meets another; a node's
-    whole neighbourhood is never gathered."""
+    Those smallest nodes themselves and nodes without an edge to another are absent. No row of a group meets another; a node's
+    whole neighbourhood is never gathered. LOCAL_EDGES edges or fewer are united in one task instead."""
     spark = work.spark
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = work.stage(e, f"{tag}-0")
+    if is_small(e, LOCAL_EDGES):
+        found = work.stage(e.coalesce(1).mapInPandas(lean(_united), "node long, comp long"), f"{tag}-1")
+        work.drop(f"{tag}-0")
+        return found
     k = 0
     while True:
         # large star: every larger neighbour of u goes to u's smallest neighbour or u itself

@@ -13,6 +13,7 @@ the sets by their rarest shingles finds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, ascii_words, components, distinct, grams, hash_words, lean, mix, signed, small, with_row
+from mooreflow.llm.common import HOT_ROWS, Workspace, ascii_words, components, distinct, grams, hash_words, join_counted, lean, mix, signed, small, with_row
 
 #: Words of a shingle; least Jaccard similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -31,6 +32,10 @@ HASHES = TREES * OWN
 #: Neighbours on each side in an order; prefix shared by a whole window from which a region is passed
 #: again, and neighbours on each side then, of all rows and of the ends of runs of one component.
 WINDOW, CROWDED, WINDOW_AGAIN, WINDOW_RUNS = 4, 3, 32, 8
+#: Rows at the ends of partitions that one task may look through.
+SEAM_ROWS = 200_000
+#: Shares into which the sets with a frequent shingle are dealt.
+SALTS = 64
 #: A candidate's sketches may agree in so many standard deviations fewer values than at the least similarity.
 DEVIATIONS = 4.0
 _rng = np.random.default_rng(20)
@@ -87,9 +92,10 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield own.assign(tree=t, key=[k.tobytes() for k in keys])
 
 
-def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
+def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool, last: bool = False):
     """Candidates among the sorted rows of a partition, and the rows at its ends for the seams. again:
-    not the first pass; runs: only the ends of each run of one component are looked at."""
+    not the first pass; runs: only the ends of each run of one component are looked at; seam: the rows
+    are ends of earlier partitions, those of one of which have met; last: there are no more seams."""
     columns = ["kind", "a", "b", "rank", "tree", "key", "cid", "n", "comp", "sketch", "part"]
 
     mean = HASHES * (percent / 100 + (1 - percent / 100) / 256)
@@ -139,7 +145,7 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
 
         def step(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
             nonlocal kept, tail, ends
-            if not seam and ends < window:
+            if not last and ends < window:
                 yield whole(f.iloc[: window - ends].assign(kind=1))
                 ends += min(len(f), window - ends)
             fresh = 0 if kept is None else len(kept)
@@ -165,7 +171,7 @@ def _neighbours(window: int, percent: int, again: bool, runs: bool, seam: bool):
                 yield from step(f.iloc[:-1][keep[:-1]])
         if pending is not None:
             yield from step(pending)
-        if tail is not None and not seam:
+        if tail is not None and not last:
             yield whole(tail.assign(kind=1))
 
     return neighbours
@@ -177,13 +183,21 @@ _NEIGHBOURS = "kind long, a long, b long, rank long, tree long, key binary, cid
 def _candidates(orders: DataFrame, work: Workspace, percent: int, tag: str, again: bool = False, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a < b, rank) of the orders, and the sets in crowded regions."""
     order, window = ["tree", "key", "cid"], WINDOW_RUNS if runs else WINDOW_AGAIN if again else WINDOW
-    ranged = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = work.stage(ranged.mapInPandas(lean(_neighbours(window, percent, again, runs, False)), _NEIGHBOURS), f"near-{tag}")
-    # The ends of partitions: a few rows for each partition, whatever the rows.
-    ends = near.where("kind = 1").dropDuplicates(["tree", "cid", "part"]).select("tree", "key", "cid", "n", "comp", "sketch", "part")
-    seams = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(lean(_neighbours(window, percent, again, runs, True)), _NEIGHBOURS)
-    both = work.stage(near.where("kind <> 1").unionAll(seams), f"both-{tag}")
-    work.drop(f"near-{tag}")
+    found = lambda rows, *how: rows.sortWithinPartitions(*order).mapInPandas(lean(_neighbours(window, percent, again, runs, *how)), _NEIGHBOURS)
+    near = work.stage(found(orders.repartitionByRange(*order), False), f"near-{tag}")
+    level, parts = 0, [near]
+    while True:
+        # The ends of partitions, a few rows for each, are as many rows in order, with fewer partitions and seams.
+        ends = parts[-1].where("kind = 1").dropDuplicates(["tree", "cid", "part"]).select("tree", "key", "cid", "n", "comp", "sketch", "part")
+        if (rows := ends.count()) <= SEAM_ROWS:
+            parts.append(found(ends.coalesce(1), True, True))
+            break
+        level += 1
+        parts.append(work.stage(found(ends.repartitionByRange(-(-rows * 4 // SEAM_ROWS), *order), True), f"seams-{level}-{tag}"))
+    near = reduce(DataFrame.unionAll, parts)
+    both = work.stage(near.where("kind <> 1"), f"both-{tag}")
+    for name in (f"near-{tag}", *(f"seams-{i + 1}-{tag}" for i in range(level))):
+        work.drop(name)
     return both.where("kind = 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), both.where("kind = 2").select("cid").distinct()
 
 
@@ -207,10 +221,16 @@ def _comp(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool = False) -> DataFrame:
+    """Those of pairs whose full sets are similar enough. counted: a set may be in many pairs; else windows
+    bound these."""
     for x in "ab":
-        pairs = pairs.join(sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}")), x)
+        own = sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
+        if counted:
+            own = own.join(pairs.groupBy(x).agg(F.count("*").alias("pairs")), x)
+            pairs = join_counted(pairs, own, [x], "pairs", [f"s{x}"], text=True).drop("pairs")
+        else:
+            pairs = pairs.join(own, x)
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b", "ca", "cb")
 
@@ -228,10 +248,17 @@ def _exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
     shared = shared.join(sets, "cid").withColumns({"n": n, "first": first}).where("first > 0")
     keys = shared.select("cid", "comp", "n", (n - F.size("order")).alias("alone"), F.posexplode(F.slice("order", 1, F.col("first"))).alias("at", "x"))
     keys = keys.select(F.col("x.g").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
-    other = keys.select("g", *[F.col(c).alias(f"{c}_") for c in ("cid", "comp", "n", "left")])
-    similar = (F.col("cid") < F.col("cid_")) & (F.col("comp") != F.col("comp_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
+    # Only links between components count: of the rows with a shingle, those of its most frequent component
+    # need not meet each other. Those of a frequent shingle are dealt by a salt, the others repeated for each.
+    seen = keys.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.sum("k").alias("rows"), F.count("*").alias("comps"))
+    seen = seen.where("comps > 1").select("g", "most", F.when(F.col("rows") > HOT_ROWS, F.lit(SALTS)).otherwise(1).alias("salts"))
+    keys = keys.join(seen, "g")
+    one = keys.where(F.col("comp") != F.col("most")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    other = keys.select("g", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"{c}_") for c in ("cid", "comp", "n", "left")], (F.col("comp") == F.col("most")).alias("most_"))
+    similar = (F.col("most_") | (F.col("cid") < F.col("cid_"))) & (F.col("comp") != F.col("comp_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
     enough = (100 + percent) * F.least("left", "left_") >= percent * (F.col("n") + F.col("n_"))
-    return keys.join(other, "g").where(similar & enough).select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
+    found = one.join(other, ["g", "salt"]).where(similar & enough)
+    return found.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -274,11 +301,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     count = 0
 
-    def link(pairs: DataFrame, sets: DataFrame) -> bool:
+    def link(pairs: DataFrame, sets: DataFrame, counted: bool = False) -> bool:
         """Confirm the pairs between components and join these; whether any was."""
         nonlocal comps, count
         count += 1
-        links = work.stage(_confirmed(_comp(pairs.select("a", "b"), comps), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"links-{count}")
+        links = work.stage(_confirmed(_comp(pairs.select("a", "b"), comps), sets, percent, counted).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"links-{count}")
         if not links.limit(1).count():
             return False
         joined = components(links, work, f"cc-{count}")
@@ -297,8 +324,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         sets = sets_for(ends_of(pairs))
         # Most links of a large group follow from a few neighbours each: the others then lie within
         # one component and need no confirmation.
-        for rank in (0, 1, 2, 3):
-            link(pairs.where(F.col("rank") == rank), sets)
+        for low, high in ((0, 1), (2, 3)):
+            link(pairs.where(F.col("rank").between(low, high)), sets)
     if crowded.limit(1).count():
         # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
         # until neither finds a link.
@@ -310,14 +337,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             idle += 1
             if more.limit(1).count():
                 sets = sets_for(ends_of(more))
-                if any([link(more.where(F.col("rank") == rank), sets) for rank in (2, 3)]):
+                if link(more, sets):
                     idle = 0
                 tested = tested.unionAll(more.select("a", "b"))
         # Then all that is left between components there, without windows or sketches.
         sets = sets_for(crowded).join(crowded, "cid", "left_semi")
         rest = work.stage(_exact_pairs(with_comp(sets), percent).join(tested, ["a", "b"], "left_anti"), "pairs-exact")
         if rest.limit(1).count():
-            link(rest, sets)
+            link(rest, sets, True)
     home = classes.select("print", "cid", "best")
     if comps is not None:
         home = home.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("print", F.coalesce("comp", "cid").alias("comp"), "best")
@@ -326,6 +353,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     else:
         home = home.select("print", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stays"))
     home = work.stage(home, "home")
+    work.keep("features", "home")
     full, empty = features.where("n > 0").join(home, "print"), features.where("n = 0")
     full = full.select("row", "check", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("stays")).alias("kept"))
     return full.unionAll(empty.select("row", "check", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

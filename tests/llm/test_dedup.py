@@ -222,6 +222,57 @@ def test_near_pairs_in_a_crowded_region(table):
     assert got == want
 
 
+@pytest.mark.parametrize("edits, kinds", [(15_000, 2), (1_500, None)])
+def test_all_links_among_variants_of_one_text(table, edits, kinds):
+    """Texts that each differ from one base in two words: most links follow from those of others, some don't."""
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for p in rng.sample(range(100), 2):
+            w[p] = f"e{rng.randrange(edits)}"
+        rows.append((i, " ".join(w)))
+    number: dict = {}
+    at = [(i, number.setdefault(tuple(t.split()[j : j + 3]), len(number))) for i, t in rows for j in range(98)]
+    m = np.zeros((len(rows), len(number)), np.float32)
+    m[tuple(np.array(at).T)] = 1
+    size, both = m.sum(1), m @ m.T
+    near = 100 * both >= 85 * (size[:, None] + size[None] - both)
+    comp = np.arange(len(rows))
+    while True:
+        new = np.where(near, comp[None], len(rows)).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    found = near_dedup.groups(table(rows), shingle=3, percent=85).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert len(found) == len(rows) and got == dict(enumerate(comp.tolist()))
+    assert kinds is None or len(set(got.values())) >= kinds
+
+
+def test_seams_by_levels(table, monkeypatch):
+    """Many partitions, whose ends are themselves looked through in several."""
+    monkeypatch.setattr(near_dedup, "SEAM_ROWS", 60)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(vocabulary) for _ in range(60)]
+        for j in range(3):
+            rows.append((3 * i + j, " ".join([*w, f"x{j}"])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(table(rows, parts=9), shingle=3, percent=85).collect()}
+    assert got == near_brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components_in_one_task_and_in_many(lspark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
+    edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (7, 7)]
+    got = common.components(lspark.createDataFrame(edges, "a long, b long"), common.Workspace(lspark, "cc"), "t").collect()
+    assert sorted((r["node"], r["comp"]) for r in got) == [(i, 0) for i in range(1, 31)] + [(50, 40), (60, 40)]
+
+
 def test_near_on_the_test_data(lspark, data):
     df = lspark.read.parquet(f"{data}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
