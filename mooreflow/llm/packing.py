@@ -27,8 +27,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Slacks that are tried, in tokens.
 SLACKS = (0, 1, 2, 4, 8, 12, 16, 24, 32, 48, 64)
-#: Pieces of one length that are ranked in one task, about.
-RANKED = 500_000
+#: Most pieces of one length that are ranked in one task, about, and shares of all pieces beyond which they are dealt to several.
+RANKED, SHARES = 500_000, 512
 _cache: dict[tuple[str, str], object] = {}
 
 
@@ -193,8 +193,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     rest = cut.where(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
-    # Lengths are ranked in shares of RANKED pieces: a row for each share, fewer than the pieces by that factor.
-    shares = F.broadcast(spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, shares long"))
+    # Lengths are ranked in shares, of RANKED pieces where these are many: a row for each share.
+    most = min(RANKED, max(100, sum(histogram.values()) // SHARES))
+    shares = F.broadcast(spark.createDataFrame([(k, -(-n // most)) for k, n in histogram.items()], "length long, shares long"))
     salted = rest.join(shares, "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("shares"))).drop("shares")
     counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
