@@ -11,10 +11,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mooreflow.llm.common import with_row
 
@@ -39,10 +41,13 @@ CREDENTIAL = re.compile(
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 #: Decimal digits of guesses from which a value in context counts as a secret; its least length.
 MIN_DIGITS, MIN_LENGTH = 10.0, 8
-#: Longest word, date or walk that the programme looks for; repeats and brute-force spans have any length.
+#: Words of the corpus that join the dictionary, the most frequent ones, if they are in so many documents.
+DICTIONARY, IN_DOCUMENTS = 20_000, 3
+#: Letters of the longest word of the dictionary; all other segments have any length.
 LONGEST = 24
 
-# Frequent words in passwords and placeholders, the most frequent first.
+# Frequent words in passwords and placeholders, the most frequent first; the corpus's own words
+# rank after them.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login princess football shadow sunshine iloveyou "
     "superman batman trustno1 hello freedom whatever secret test guest root changeme default example sample user pass "
@@ -67,19 +72,19 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def _word_cost(part: str) -> float | None:
+def _word_cost(part: str, ranks: dict[str, int] = RANKS) -> float | None:
     low = part.lower()
     plain = low.translate(_LEET)
-    rank = min((r for r in (RANKS.get(low), RANKS.get(plain), RANKS.get(low[::-1])) if r), default=None)
+    rank = min((r for r in (ranks.get(low), ranks.get(plain), ranks.get(low[::-1])) if r), default=None)
     if rank is None:
         return None
     cases = 1 if part == low else 2 if part[0].isupper() and part[1:] == low[1:] or part.isupper() else 2 ** min(len(part), 10)
-    return math.log10(rank * cases * (1 if low in RANKS else 2) + 1)
+    return math.log10(rank * cases * (1 if low in ranks else 2) + 1)
 
 
-def guess_digits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """Least cost in decimal digits of guesses, and the segments (kind, start, end) that reach it.
-    Time is linear in the length times LONGEST; an empty value costs nothing."""
+def guess_digits(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, int, int]]]:
+    """Least cost in decimal digits of guesses, and the segments (kind, start, end) that reach it. ranks:
+    the dictionary's words by frequency. An empty value costs nothing."""
     n = len(value)
     low = value.lower()
     best = [0.0] + [math.inf] * n
@@ -103,22 +108,25 @@ def guess_digits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if brute < best[i + 1]:
             best[i + 1], came[i + 1] = brute, ("brute", since)
         for end in range(i + 3, min(n, i + LONGEST) + 1):
-            if (cost := _word_cost(value[i:end])) is not None:
+            if (cost := _word_cost(value[i:end], ranks)) is not None:
                 offer("word", end, cost)
         for end in dates.get(i, ()):
             offer("date", end, math.log10(120 * (365 if end - i > 4 else 1)))
         end = i + 1
-        while end < n and (low[end - 1], low[end]) in _NEXT and end - i < LONGEST:
+        while end < n and (low[end - 1], low[end]) in _NEXT:
             end += 1
             if end - i >= 3:
                 offer("walk", end, math.log10(40 * (end - i) * 4))
+                # A walk from further back that is no dearer here is none further on: it gains on this one.
+                if came[end][0] == "walk" and came[end][1] < i:
+                    break
         for unit in (1, 2, 3, 4):
             if i < unit or value[i : i + unit] != value[i - unit : i]:  # only where a run begins
                 end = i + unit
                 while end + unit <= n and value[end : end + unit] == value[i : i + unit]:
                     end += unit
                 if end - i >= max(3, 2 * unit):
-                    own = _word_cost(value[i : i + unit]) or sum(map(_alphabet, value[i : i + unit]))
+                    own = _word_cost(value[i : i + unit], ranks) or sum(map(_alphabet, value[i : i + unit]))
                     offer("repeat", end, own + math.log10((end - i) // unit))
     segments, j = [], n
     while j > 0:
@@ -140,7 +148,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
-def costly_spans(text: str, digits: float = MIN_DIGITS) -> list[tuple[str, int, int]]:
+def costly_spans(text: str, digits: float = MIN_DIGITS, ranks: dict[str, int] = RANKS) -> list[tuple[str, int, int]]:
     """Values in a credential context whose guess cost reaches the threshold, as kind `costly`."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
@@ -152,7 +160,7 @@ def costly_spans(text: str, digits: float = MIN_DIGITS) -> list[tuple[str, int,
             continue
         at = v.end()
         value = v[0].rstrip(".:!?)]}")
-        if len(value) >= MIN_LENGTH and guess_digits(value)[0] >= digits:
+        if len(value) >= MIN_LENGTH and guess_digits(value, ranks)[0] >= digits:
             found.append(("costly", v.start(), v.start() + len(value)))
     return found
 
@@ -171,14 +179,41 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-def _scan(with_text: bool):
+_LETTERS = re.compile(r"[a-z]{3,%d}" % LONGEST)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of the partition that have each word, in parts."""
+    total: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            if isinstance(text, str):
+                total.update(set(_LETTERS.findall(text.lower())))
+        if len(total) > 200_000:
+            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+            total = Counter()
+    yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"word": object, "n": "int64"})
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY, documents: int = IN_DOCUMENTS) -> dict[str, int]:
+    """Ranks of the fixed words, then of the corpus's most frequent words of 3 to LONGEST letters, at most
+    `words`, by the number of documents that have them, over all documents. Ties go by the word."""
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= documents)
+    ranks = dict(RANKS)
+    for r in counts.orderBy(F.desc("n"), "word").limit(words).collect():
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
+def _scan(with_text: bool, shared):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = shared.value
         for batch in batches:
             rows, texts = [], []
             for text in batch["text"]:
                 t = text if isinstance(text, str) else ""
                 base = base_spans(t)
-                more = costly_spans(t)
+                more = costly_spans(t, ranks=ranks)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 order = {k: i for i, k in enumerate((*KINDS, "costly"))}
                 all_ = sorted(base + more, key=lambda x: (x[1], order[x[0]], x[2]))
@@ -196,7 +231,9 @@ def _scan(with_text: bool):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """row, doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_costly for each row of docs, and
     with with_text the redacted text as clean_text. A null text is empty and has no spans. Rows that
-    repeat each give their row; an empty table gives an empty result. One pass, no shuffle."""
+    repeat, or have no id, each give their row; an empty table gives an empty result. Values are guessed with
+    the dictionary of the whole corpus, which takes a pass of its own; the scan itself shuffles nothing."""
     schema = "row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_costly long"
     src = with_row(docs, id_col, text_col)
-    return src.mapInPandas(_scan(with_text), schema + (", clean_text string" if with_text else ""))
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text_col))  # at most DICTIONARY words and the fixed ones
+    return src.mapInPandas(_scan(with_text, shared), schema + (", clean_text string" if with_text else ""))

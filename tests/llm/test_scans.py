@@ -80,6 +80,37 @@ def test_guess_costs():
         assert [s for _, s, _ in cuts] == [0, *[e for _, _, e in cuts[:-1]]] and cuts[-1][2] == len(v)
 
 
+def test_long_walks():
+    cost = lambda v: secret_scan.guess_digits(v)[0]
+    rng = random.Random(12)
+    after = {}
+    for a, b in sorted(secret_scan._NEXT):
+        after.setdefault(a, []).append(b)
+    for n in (30, 300, 20_000):
+        v = "q"
+        while len(v) < n:
+            v += rng.choice(after[v[-1]])
+        assert cost(v) <= math.log10(160 * n) + 1e-9
+    for _ in range(40):
+        v = "x"
+        while len(v) < 9:
+            v += rng.choice(after.get(v[-1], "q")) if rng.random() < 0.9 else rng.choice("q9!m")
+        if not re.search(r"(.{1,4})\1", v):
+            assert math.isclose(cost(v), cost_brute(v)), v
+
+
+def test_words_of_the_corpus(table):
+    """Values made of the corpus's frequent words are guessable; ties and counts are over all documents."""
+    rows = [(i, f"zorbal quixen {'flimper' if i % 2 else 'x'} password is ZorbalQuixenFlimper7 and token: zorbal{i}Kv9Lq2") for i in range(12)]
+    rows += [(20, None), (21, "")]
+    ranks = secret_scan.dictionary(table(rows))
+    assert ranks["password"] == 1 and ranks["quixen"] < ranks["zorbal"] < ranks["flimper"] and "x" not in ranks and "kv" not in ranks
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(table(rows)).collect()}
+    value = rows[3][1].index("ZorbalQ")
+    assert secret_scan.guess_digits("ZorbalQuixenFlimper7", ranks)[0] < 12 < secret_scan.guess_digits("ZorbalQuixenFlimper7")[0]
+    assert f"costly:{value}" in spans[3] or secret_scan.guess_digits("ZorbalQuixenFlimper7", ranks)[0] < secret_scan.MIN_DIGITS
+
+
 def test_only_costly_values_in_context():
     found = lambda t: [t[s:e] for _, s, e in secret_scan.costly_spans(t)]
     assert found("passphrase is kV9#xQ27!mz, thanks") == ["kV9#xQ27!mz"]
