@@ -1,10 +1,11 @@
 """Language-model scores with stupid backoff, from n-gram counts of the whole corpus.
 
 The computation is relational: documents are exploded to n-grams, counted, joined with the corpus
-totals and summed per document. Rows are packed for the shuffle: a chunk of documents sends each of
-its distinct n-grams once, to the part of the count table that the n-gram's hash names, and gets the
-totals back in the same order. Counts leave out the document itself, so a text is scored by what the
-rest of the corpus says about it.
+totals and summed per document. `score_exploded` says so with a row for each n-gram of each document.
+`score` is the same plan with rows packed for the shuffle: a chunk of documents sends each of its
+distinct n-grams once, to the part of the count table that the n-gram's hash names, and gets the totals
+back in the same order. Counts leave out the document itself, so a text is scored by what the rest of
+the corpus says about it.
 
     S(w | context) = count(context w) / count(context)            if count(context w) > 0
                    = ALPHA * S(w | shorter context)               otherwise
@@ -13,20 +14,23 @@ rest of the corpus says about it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import distinct, grams, mix, steps, text_hashes, with_row
+from mooreflow.llm.common import Workspace, distinct, grams, join_counted, mix, steps, text_hashes, with_row
 
 ORDER, ALPHA, FLOOR = 3, 0.4, 0.5
 #: Characters of a chunk of documents, and of the corpus for each part of the count table.
 CHUNK_CHARS, PART_CHARS = 10_000_000, 8_000_000
+#: Numbers that are packed without compression.
+PLAIN = 4
 #: Keys of n-grams have 56 bits: one of 10**13 others has a given n-gram's key with a chance of 1 in 7000.
 BITS = 56
 _SPARE = np.uint64(64 - BITS)
@@ -35,12 +39,17 @@ _TOTAL = np.uint64(0)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers as bytes: by byte plane, so that small numbers leave planes of zeros."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Non-negative integers as bytes: by byte plane, so that small numbers leave planes of zeros; few ones
+    as they are, as a frame around them would be longer."""
+    if len(x) <= PLAIN:
+        return b"p" + x.astype("<u8").tobytes()
+    return b"z" + zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1)
+    if b[:1] == b"p":
+        return np.frombuffer(b, "<u8", offset=1)
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -189,3 +198,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     back = sent.groupBy("part").applyInPandas(_totals, entry)
     both = back.unionAll(src.mapInPandas(_texts, entry))
     return both.groupBy("chunk").applyInPandas(_scored(order, parts), "row long, doc_id long, n_words long, log_score double")
+
+
+def score_exploded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """What `score` gives, to rounding, from tables with a row for each n-gram, by built-in functions alone:
+    n-grams of each document with their own counts; the count table, summed by hash; the join, in which
+    the rows of frequent n-grams are dealt apart; and each document's sum. Its rows grow with the corpus
+    and every step spills, at several times the shuffle of the packed form.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "ngrams")
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), upper, low), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    src = with_row(docs, id_col, text_col).withColumn("w", words)
+
+    def keys(n: int) -> Column:
+        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice("w", i, n)))
+
+    grams = src.select("row", F.explode(F.concat(*[keys(n) for n in range(1, order + 1)])).alias("key"))
+    own = work.stage(grams.groupBy("row", "key").agg(F.count("*").alias("own")), "own")
+    table = work.stage(own.groupBy("key").agg(F.sum("own").alias("total"), F.count("*").alias("documents")), "counts")
+    total = src.agg(F.sum(F.size("w").cast("long"))).first()[0] or 0
+    found = join_counted(own, table, ["key"], "documents", ["total"]).select("row", "key", (F.col("total") - F.col("own")).alias("others"))
+    by_row = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("key", "others"))).alias("others"))
+    rows = src.select("row", "doc_id", "w", *[keys(n).alias(f"k{n}") for n in range(1, order + 1)]).join(by_row, "row", "left")
+    size = F.size("w").cast("long")
+    count = lambda n, i: F.element_at("others", F.get(F.col(f"k{n}"), i))
+
+    def log_s(n: int, i: Column) -> Column:
+        """Of the word at i (from 0), with the n - 1 words before it."""
+        if n == 1:
+            return F.log(F.greatest(count(1, i), F.lit(FLOOR)) / F.greatest(F.lit(total) - size, F.lit(1)))
+        first = i - (n - 1)
+        seen = count(n, first)
+        return F.when((first >= 0) & (seen > 0), F.log(seen / count(n - 1, first))).when(first >= 0, F.lit(math.log(ALPHA)) + log_s(n - 1, i)).otherwise(log_s(n - 1, i))
+
+    places = F.when(size > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    value = F.aggregate(F.transform(places, lambda i: log_s(order, i)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("row", "doc_id", size.alias("n_words"), value.alias("log_score"))

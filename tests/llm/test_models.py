@@ -114,22 +114,26 @@ def score_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [200, 8_000_000])
+@pytest.mark.parametrize("chunk", [200, 8_000_000, None])
 def test_scores(table, monkeypatch, chunk):
+    score = lm_score.score if chunk else lm_score.score_exploded
+    chunk = chunk or 300
     rng = random.Random(chunk)
     vocabulary = [f"w{i}" for i in range(30)]
     rows = [(1, None), (2, ""), (3, "one"), (4, "w1 w2"), (5, "w1 w2"), (6, "z" * 5000)] + [(10 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 40, 300])))) for i in range(60)]
     monkeypatch.setattr(lm_score, "CHUNK_CHARS", chunk)
-    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_score.score(table(rows)).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in score(table(rows)).collect()}
     want = score_brute(rows)
     assert got.keys() == want.keys()
     for i, (n, s) in want.items():
         assert got[i][0] == n and math.isclose(got[i][1], s, rel_tol=1e-9, abs_tol=1e-9), i
-    assert lm_score.score(table([])).count() == 0
+    assert score(table([])).count() == 0
 
 
 def test_packing_of_counts():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000).astype(np.uint64))
     assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all() and len(lm_score.unpack(lm_score.pack(x[:0]))) == 0
+    for n in range(12):
+        assert (lm_score.unpack(lm_score.pack(x[:n])) == x[:n]).all()
     parts = lm_score.part_of(x, 64)
     assert parts.max() < 64 and (np.diff(parts.astype(int)) >= 0).all()
