@@ -276,8 +276,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     best: Column = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = features.where("n > 0").groupBy("print").agg(F.min("row").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig"), best.alias("best"))
     classes = work.stage(classes, "classes")
-    orders = classes.select("cid", "n", "sig").mapInPandas(lean(_spread), "cid long, n long, sketch binary, tree int, key binary")
-    pairs, crowded = _candidates(orders.withColumn("comp", F.col("cid")), work, percent, "0")
+    spread = lambda rows: rows.select("cid", "n", "sig").mapInPandas(lean(_spread), "cid long, n long, sketch binary, tree int, key binary")
+    pairs, crowded = _candidates(spread(classes).withColumn("comp", F.col("cid")), work, percent, "0")
     pairs = work.stage(pairs, "pairs-0")
     crowded = work.stage(crowded, "crowded")
     work.drop("both-0")
@@ -329,10 +329,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     if crowded.limit(1).count():
         # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
         # until neither finds a link.
+        orders = work.stage(spread(classes.join(small(crowded), "cid", "left_semi")), "crowded-orders")
         tested, again, idle = pairs.select("a", "b"), 0, 0
         while idle < 2:
             again += 1
-            more, _ = _candidates(with_comp(orders.join(crowded, "cid", "left_semi")), work, percent, str(again), True, again % 2 == 0)
+            more, _ = _candidates(with_comp(orders), work, percent, str(again), True, again % 2 == 0)
             more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
             idle += 1
             if more.limit(1).count():
