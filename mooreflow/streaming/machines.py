@@ -7,8 +7,9 @@ order is not above the last one seen raises, else it is run where it arrives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from mooreflow.plans.lower import output_values
 
 #: A stream needs this state store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Input bits up to which a machine's steps are looked up.
+TABLE_BITS = 10
 _OPS = {"==": int.__eq__, "!=": int.__ne__, "<": int.__lt__, "<=": int.__le__, ">": int.__gt__, ">=": int.__ge__}
 
 
@@ -49,10 +52,23 @@ def next_state(m: Machine, state: int, row: dict[str, int]) -> int:
     return m.ordinal(chosen or next(t.target for t in m.states[state].transitions if t.guard is None))
 
 
+def table_of(m: Machine, inputs: Sequence[str]) -> list[list[int]] | None:
+    """Next states by state and input word, the inputs' bits side by side, the first lowest; none for more
+    than TABLE_BITS bits, whose rows are stepped through the guards."""
+    width = {p.name: p.width for p in m.inputs}
+    if sum(width[n] for n in inputs) > TABLE_BITS:
+        return None
+    rows = [{}]
+    for n in inputs:
+        rows = [r | {n: v} for v in range(1 << width[n]) for r in rows]
+    return [[next_state(m, i, r) for r in rows] for i in range(len(m.states))]
+
+
 class _Runner(StatefulProcessor):
     def __init__(self, m: Machine, keys: list[str], order: list[str], inputs: list[str], reset: bool, reject_late: bool):
         self.m, self.keys, self.order, self.inputs, self.reset, self.reject_late = m, keys, order, inputs, reset, reject_late
         self.values = {p.name: output_values(m, p.name) for p in m.outputs}
+        self.table = table_of(m, inputs)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", StructType([StructField("st", LongType()), *[StructField(f"last_{i}", LongType()) for i in range(len(self.order))]]))
@@ -65,10 +81,10 @@ class _Runner(StatefulProcessor):
         places = list(zip(*[self._number(batch[c]) for c in self.order], strict=True))
         if self.reject_late and last is not None and places and places[0] <= last:
             raise ValueError(f"key {key}: a row at {places[0]} came after {last}")
-        for row in batch[[f"in_{n}" for n in self.inputs] + (["in_rst"] if self.reset else [])].to_dict("records"):
+        first, resets = self.m.ordinal(self.m.reset), batch["in_rst"].tolist() if self.reset else [False] * len(batch)
+        for rst, step in zip(resets, self._steps(batch), strict=True):
             pre.append(now)
-            ins = {n: int(row[f"in_{n}"]) for n in self.inputs}
-            now = self.m.ordinal(self.m.reset) if self.reset and row["in_rst"] else next_state(self.m, now, ins)
+            now = first if rst else step(now)
             post.append(now)
         self.state.update((now, *(max(places[-1], last) if last else places[-1])))
         out = batch[self.keys + self.order].assign(state_pre=pre, state_post=post)
@@ -76,6 +92,18 @@ class _Runner(StatefulProcessor):
             out[n] = [v[s] for s in post]
         yield out
 
+    def _steps(self, batch: pd.DataFrame) -> Iterator[Callable[[int], int]]:
+        """For each row, its step from a state to the next."""
+        if self.table is None:
+            rows = zip(*[batch[f"in_{n}"].tolist() for n in self.inputs], strict=True)
+            yield from (lambda now, r=dict(zip(self.inputs, r, strict=True)): next_state(self.m, now, r) for r in rows)
+            return
+        word, shift, width = np.zeros(len(batch), np.int64), 0, {p.name: p.width for p in self.m.inputs}
+        for n in self.inputs:
+            word |= batch[f"in_{n}"].to_numpy(np.int64) << shift
+            shift += width[n]
+        yield from (lambda now, w=w: self.table[now][w] for w in word.tolist())
+
     @staticmethod
     def _number(x: pd.Series) -> list[int]:
         return x.astype("int64").tolist()

@@ -38,3 +38,19 @@ def test_late_rows_are_refused(spark, tmp_path):
         streamed(spark, path, "late", str(tmp_path / "c"))
     kept = streamed(spark, path, "late_kept", str(tmp_path / "c2"), reject_late=False)
     assert kept.count() == 60
+
+
+def test_steps_by_table():
+    """The table holds what the guards say, for every state and input word."""
+    from mooreflow.plans.generate import random_machines
+    from mooreflow.plans.lower import reads
+    from mooreflow.streaming.machines import next_state, table_of
+
+    for m in random_machines(12, seed=4, rich=True):
+        inputs, width = reads(m), {p.name: p.width for p in m.inputs}
+        table = table_of(m, inputs)
+        for word in range(1 << sum(width[n] for n in inputs)) if table else ():
+            row, at = {}, 0
+            for n in inputs:
+                row[n], at = word >> at & ((1 << width[n]) - 1), at + width[n]
+            assert [table[i][word] for i in range(len(m.states))] == [next_state(m, i, row) for i in range(len(m.states))]
