@@ -283,7 +283,8 @@ def _predict(shared):
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, check, doc_id, lang_pred and score for each row of docs. A text that is null or has no letter
-    is `und` with score 0, as is all text if the model has no labels."""
+    is `und` with score 0, as is all text if the model has no labels. Rows that repeat, or have no id, each
+    give their row; ties go to the first label in order; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = with_row(docs, id_col, text_col, check=True)
     return src.mapInPandas(lean(_predict(shared)), "row long, doc_id long, check long, lang_pred string, score double")

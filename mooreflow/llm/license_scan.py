@@ -184,7 +184,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, i
     """One row per passage: row, doc_id, license, template (its number), first_word, end_word (of the
     document's words, exclusive), contained (share of the template's shingles).
 
-    Passages of one template that overlap are one. A null or empty text has none; a template of fewer
+    Passages of one template that overlap are one; rows that repeat, or have no id, each give their
+    passages; an empty table gives an empty result. A null or empty text has none; a template of fewer
     words than a shingle is never found. Whole texts are read in one pass, without a shuffle; the
     templates are a parameter and travel with the code.
     """

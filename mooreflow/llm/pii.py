@@ -148,6 +148,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     A null text is empty. Counts are over all rows: entities by documents that hold them, terms by
     documents, pairs by distinct contexts of the term (so copies of one passage count once), wherever in
     a document the two stand. An entity in a third of the documents has low information by definition.
+    Rows that repeat, or have no id, are documents of their own; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "pii")

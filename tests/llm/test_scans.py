@@ -5,11 +5,12 @@ import itertools
 import math
 import random
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
-from mooreflow.llm import decontam, license_scan, pii, secret_scan
+from mooreflow.llm import decontam, langid, license_scan, pii, secret_scan
 from mooreflow.llm.common import ascii_words
 
 # secrets
@@ -192,6 +193,78 @@ def test_terms_that_disclose_from_afar(table):
         assert all(f"term:{s}:{s + 9}" in got[i] for s in (t.index("cosmonaut"), t.rindex("cosmonaut")))
 
 
+def terms_brute(rows):
+    """Spans of the terms that disclose an entity, counted with plain sets."""
+    texts = [t or "" for _, t in rows]
+    held, places, total = defaultdict(set), [], defaultdict(set)
+    for d, t in enumerate(texts):
+        base = pii.base_spans(t)
+        for k, s, e in base:
+            held[pii.entity_key(k, t[s:e])].add(d)
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t) if all(m.end() <= s or m.start() >= e for _, s, e in base)]
+        places.append(words)
+        for m in re.finditer(r"[^\W_]{2,}", t):
+            total[m[0].lower()].add(d)
+    out = [set() for _ in texts]
+    for docs in held.values():
+        contexts, together = defaultdict(set), Counter()
+        for d in docs:
+            words = [w for w, _, _ in places[d]]
+            for w in set(words):
+                n = words.index(w)
+                contexts[w].add(tuple(words[max(0, n - 6) : n + 7]))
+                together[w] += 1
+        for w, c in contexts.items():
+            p = together[w] / len(total[w])
+            if len(c) >= 3 and len(docs) >= 3 and p >= 0.5 and math.log2(p * len(texts) / len(docs)) >= 8:
+                for d in docs:
+                    out[d] |= {(s, e) for x, s, e in places[d] if x == w}
+    return [",".join(f"term:{s}:{e}" for s, e in sorted(x)) for x in out]
+
+
+def test_terms_by_brute_force(table):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(200)]
+    rows = []
+    for i in range(1600):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+        if i % 160 < 4:  # an entity of a few documents, with a nickname that others seldom have
+            t.insert(rng.randint(0, len(t)), f"nick{i // 160}")
+            t.insert(rng.randint(0, len(t)), f"p{i // 160}@Mail.org" if i % 2 else f"P{i // 160}@mail.org")
+        if i % 3 == 0:
+            t.append("all@mail.org")
+        if i % 97 == 0:
+            t.append(f"nick{i % 10}")
+        rows.append((i, " ".join(t) if i % 50 else None))
+    got = {r["doc_id"]: r["spans"] for r in pii.sanitise(table(rows)).select("doc_id", "spans").collect()}
+    want = terms_brute(rows)
+    assert sum(map(bool, want)) > 20
+    for i, _ in rows:
+        assert ",".join(x for x in got[i].split(",") if x.startswith("term:")) == want[i], i
+
+
+def test_many_entities_in_one_text():
+    began = time.perf_counter()
+    text = " ".join(f"user{i} wrote to a{i}@mail{i % 7}.org today" for i in range(20_000))
+    base = pii.base_spans(text)
+    assert len(base) == 20_000 and len(pii.terms_of(text, base)) == 20_000 * 4
+    assert time.perf_counter() - began < 5
+
+
+def test_rows_that_repeat_or_have_no_id(table):
+    """Each row gives its own, whatever its id."""
+    t = "token=abcdefgh12345678 mail x@y.org +1 202 555 0188 Licensed under the Apache License, Version 2.0."
+    docs = table([(1, t), (1, t), (None, t), (None, None), (2, "")], parts=2)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    all_ = sorted([1, 1, None, None, 2], key=str)
+    assert ids(secret_scan.scan(docs)) == all_ and {r["n_assign"] for r in secret_scan.scan(docs).where("doc_id = 1").collect()} == {1}
+    assert ids(pii.sanitise(docs)) == all_ and {r["n_email"] for r in pii.sanitise(docs).where("doc_id = 1").collect()} == {1}
+    assert ids(license_scan.scan(docs).where("template = 0")) == sorted([1, 1, None], key=str)
+    found = langid.detect(docs, langid.fit([("some words here and there", "en"), ("quelques mots ici et puis", "fr")])).collect()
+    assert sorted((r["doc_id"] for r in found), key=str) == all_ and {r["lang_pred"] for r in found if r["doc_id"] == 2} == {"und"}
+    assert pii.sanitise(table([])).count() == 0 and pii.clean(docs).count() == 5
+
+
 def test_masking():
     assert pii.masked("a b@c.d e", "email:2:7", [{"s": 8, "e": 9, "remove": False}]) == "a <EMAIL> <TERM>"
     assert pii.masked(None, "", []) == ""
