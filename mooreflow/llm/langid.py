@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import lean, mix, steps, with_row
+from mooreflow.llm.common import give_back, lean, mix, steps, with_row
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows for each label and in all, characters of a row, words of a segment.
 ROWS_PER_LABEL, ROWS, SAMPLE_CHARS, SEGMENT = 700, 6_000, 1_000, 16
 FEATURES = 1 << 17
+#: Segments whose marginals are in memory at once in training.
+FIT_SEGMENTS = 8_192
 #: Words of the lexicon, taken from the training sample.
 LEXICON = 20_000
 CHUNK = 64
@@ -125,8 +127,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
     rng = np.random.default_rng(seed)
     labels = tuple(sorted({y for _, y in rows}))
     segments: list[tuple[list[str], int]] = []
+    same: dict[str, str] = {}  # one object for a word, however often it occurs
     for text, y in rows:
-        w = words_of(text)
+        w = [same.setdefault(v, v) for v in words_of(text)]
         segments += [(w[i : i + SEGMENT // 2], labels.index(y)) for i in range(0, len(w) - SEGMENT // 2 + 1, SEGMENT // 2)]
         if 0 < len(w) < SEGMENT // 2:  # a short text still counts, its words repeated to the length
             segments.append(((w * SEGMENT)[: SEGMENT // 2], labels.index(y)))
@@ -141,7 +144,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
     types: dict[str, int] = {}
     x = np.array([[types.setdefault(w, len(types)) for w in segments[i][0]] for i in order]).reshape(-1, SEGMENT)
     y = np.repeat([segments[i][1] for i in order], SEGMENT // 2).reshape(-1, SEGMENT)
-    at, ids = features(list(types), lexicon)
+    known, found = list(types), []
+    for i in range(0, len(known), FIT_SEGMENTS):
+        word, slot = features(known[i : i + FIT_SEGMENTS], lexicon)
+        found.append((word + i, slot))
+    at, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found, same
     k, n = len(labels), x.size
     w, a = np.zeros((FEATURES, k)), np.zeros((k, k))
     gold = np.zeros((len(types), k))
@@ -152,14 +160,20 @@ def fit(rows: list[tuple[str, str]], epochs: int = 40, rate: float = 0.08, decay
     for step in range(1, epochs + 1):
         score = _sums(w, at, ids)
         score -= score.max(1, keepdims=True)
-        _, m, pairs = _log_z(np.exp(np.maximum(score, -30))[x], np.exp(a))
-        per_type = np.stack([np.bincount(x.ravel(), m[:, :, j].ravel(), len(types)) for j in range(k)], 1) - gold
+        potentials, per_type, pairs = np.exp(np.maximum(score, -30)), -gold, np.zeros((k, k))
+        for i in range(0, len(x), FIT_SEGMENTS):  # sums over parts of the segments, to bound the driver's memory
+            part = x[i : i + FIT_SEGMENTS]
+            _, m, own = _log_z(potentials[part], np.exp(a))
+            pairs += own
+            per_type += np.stack([np.bincount(part.ravel(), m[:, :, j].ravel(), len(types)) for j in range(k)], 1)
         gw = np.stack([np.bincount(ids, per_type[at, j], FEATURES) for j in range(k)], 1) / n + decay * w
         ga = (pairs - gold_pairs) / n
         for p, g, i in ((w, gw, 0), (a, ga, 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * g
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
             p -= rate * (moments[i] / (1 - 0.9**step)) / (np.sqrt(moments[i + 1] / (1 - 0.99**step)) + 1e-9)
+    del segments, types, x, y, at, ids, gold, per_type, gw, moments
+    give_back()  # the driver has more to do than this
     return Model(labels, w.astype(np.float32), a.astype(np.float32), lexicon)
 
 
