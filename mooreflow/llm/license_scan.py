@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mooreflow.llm.common import grams, hash_words, mix, steps, with_row
 
