@@ -37,6 +37,15 @@ def test_query(spark, con, name):
         assert got
 
 
+def test_parse_errors_of_large_keys(spark, tmp_path):
+    path = f"{tmp_path}/supplier.parquet"
+    spark.range(9_990, 10_020).unionAll(spark.range(10**9, 10**9 + 18)).withColumnRenamed("id", "s_suppkey").write.parquet(path)
+    got = __spark_entry__.queries()["parse_errors"](spark, str(tmp_path)).select("supplier", "line", "col", "message").collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert plain(got) == plain(c.execute(SQL["parse_errors"]).fetchall()) and len(got) == 48
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
