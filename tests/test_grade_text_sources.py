@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from mooreflow.operators import catalog as cat
 from mooreflow.operators import grade
 from mooreflow.plans.language import diagnostics, machine_text, parse_program
 from mooreflow.plans.generate import random_machines
+from mooreflow.plans.lower import output_values
 from mooreflow.sources import tasks as src
 
 # A catalog with one fault of each kind.
@@ -170,3 +173,39 @@ def test_specifications_must_be_single(spark):
 def test_scenario_lines_begin_their_line(spark):
     log = spark.createDataFrame([("  SCENARIO lane1-only PASS ok\nnote: SCENARIO a PASS\nSCENARIO b FAIL\nSCENARIO c MAYBE",)], "log string")
     assert [(r["scenario"], r["status"]) for r in tx.scenarios(log).collect()] == [("lane1-only", "PASS"), ("b", "FAIL")]
+
+
+def test_grading_steps_no_machine_twice_alike_and_deals_rows_out(spark, monkeypatch):
+    import random
+
+    from mooreflow.streaming import machines
+
+    def plainly(own, gold):
+        rng, a, b = random.Random(0), gold.ordinal(gold.reset), own.ordinal(own.reset)
+        values = lambda m, s: [{p.name: output_values(m, p.name)[s] for p in m.outputs}[q.name] for q in gold.outputs]
+        for _ in range(200):
+            row = {p.name: rng.getrandbits(p.width) for p in gold.inputs}
+            a, b = machines.next_state(gold, a, row), machines.next_state(own, b, row)
+            if values(gold, a) != values(own, b):
+                return 0.0
+        return 1.0
+
+    golds = random_machines(30, seed=5, rich=True, max_inputs=2)
+    pairs = [(replace(g, states=(*g.states[:-1], replace(g.states[-1], transitions=g.states[0].transitions))), g) for g in golds]
+    graded = [grade.grade_machine(machine_text(own), machine_text(gold))["behavior"] for own, gold in pairs]
+    assert graded == [plainly(own, gold) for own, gold in pairs] and 0 < sum(graded) < 30
+
+    steps, holds = 0, machines.holds
+
+    def counted(*x):
+        nonlocal steps
+        steps += 1
+        return holds(*x)
+
+    monkeypatch.setattr(machines, "holds", counted)
+    text = "machine g { in bit i out bit y reset = A state A { y = 0 when i -> B else -> A } state B { y = 1 else -> A } }"
+    assert {grade.grade_machine(f"```fsm\n{text}\n```", text)["reward"] for _ in range(50)} == {1.0}
+    assert steps <= 8
+    rows = spark.createDataFrame([(i, text, text) for i in range(400)], "task long, answer string, golden string").coalesce(1)
+    dealt = grade.graded(rows).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(dealt) >= 4 and max(r["count"] for r in dealt) <= 200
