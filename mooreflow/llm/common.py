@@ -27,6 +27,8 @@ HOT_ROWS, HOT_KEYS = 256, 10_000
 LOCAL_EDGES = 1_000_000
 #: Rows of a sample that only decides how work is dealt, never what comes out.
 SAMPLE_ROWS = 5_000
+#: Share of the driver's largest heap from which a table that was written has its garbage collected.
+HEAP_SHARE = 0.5
 #: Characters that one vectorised step works on in a Python worker.
 STEP_CHARS = 1_500_000
 
@@ -56,6 +58,7 @@ class Workspace:
         path = f"{self.root}/{name}"
         self.names.add(name)
         df.write.option("compression", "zstd").parquet(path)
+        collect_garbage(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -90,6 +93,15 @@ def give_back() -> None:
         trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection in the driver, once its heap has grown to HEAP_SHARE of its bound. Plans and broadcasts
+    of tables that are written are dead, but Spark lets go of them only when a collection finds them so, and
+    till then the heap grows to its bound and keeps that memory."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
     """Whether df has at most so many rows, or so much weight: the sum of a column, for rows that may be long."""
     if weight is None:

@@ -26,6 +26,19 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
     assert count.tolist() == [0, 0, 5, 1] and line.tolist() == [0, 0, 1, 3, 3, 0] and h[0] == h[4]
 
 
+def test_a_written_table_frees_the_drivers_heap(lspark, monkeypatch):
+    jvm = lspark.sparkContext._jvm
+    runtime, work = jvm.java.lang.Runtime.getRuntime(), common.Workspace(lspark, "heap")
+    collected = lambda: sum(x.getCollectionCount() for x in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    assert runtime.maxMemory() > 0
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    before = collected()
+    work.stage(lspark.range(3), "a")
+    assert collected() == before
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    assert work.stage(lspark.range(3), "b").count() == 3 and collected() > before
+
+
 def test_components(lspark):
     rng = random.Random(2)
     for n, m in ((60, 40), (300, 299), (50, 400)):
