@@ -28,6 +28,8 @@ ROWS_PER_LABEL, ROWS, SAMPLE_CHARS, SEGMENT = 700, 6_000, 1_000, 16
 FEATURES = 1 << 17
 #: Segments whose marginals are in memory at once in training.
 FIT_SEGMENTS = 8_192
+#: Words whose features are in a worker's memory at once.
+FEATURED_WORDS = 4_096
 #: Words of the lexicon, taken from the training sample.
 LEXICON = 20_000
 CHUNK = 64
@@ -244,9 +246,12 @@ class Tagger:
         known = self.known
         index = [known.setdefault(w, len(known)) for w in words]
         if (new := len(known) - len(self.table)) > 0:
-            score = _sums(self.model.weights, *features(list(islice(reversed(known), new))[::-1], self.model.lexicon))
-            score -= score.max(1, keepdims=True)
-            self.table = np.concatenate([self.table, np.exp(np.maximum(score, -30))])
+            fresh, tables = list(islice(reversed(known), new))[::-1], [self.table]
+            for i in range(0, new, FEATURED_WORDS):
+                score = _sums(self.model.weights, *features(fresh[i : i + FEATURED_WORDS], self.model.lexicon))
+                score -= score.max(1, keepdims=True)
+                tables.append(np.exp(np.maximum(score, -30)))
+            self.table = np.concatenate(tables)
         return self.table[np.array(index)].astype(np.float64)
 
     def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:

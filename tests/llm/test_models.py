@@ -43,6 +43,21 @@ def test_marginals_are_exact():
         at += c
 
 
+def test_many_new_words_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words = [f"wort{''.join(chr(97 + c) for c in rng.integers(0, 26, 6))}" for _ in range(60_000)]
+    own = langid.Model(("a", "b", "c", "d"), rng.random((langid.FEATURES, 4)).astype(np.float32), np.zeros((4, 4), np.float32), np.sort(langid.word_hashes(words[:1_000])))
+    tracemalloc.start()
+    got = langid.Tagger(own).potentials(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    monkeypatch.setattr(langid, "FEATURED_WORDS", len(words))
+    assert np.array_equal(got, langid.Tagger(own).potentials(words))
+
+
 def test_gradient_of_the_likelihood():
     rng = np.random.default_rng(3)
     s, t = rng.random((2, 5, 3)), rng.random((3, 3))
