@@ -61,6 +61,10 @@ class Workspace:
         collect_garbage(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def together(self, schema: str, names: Sequence[str]) -> DataFrame:
+        """Some columns of tables that were written, as one scan: a plan doesn't grow with their number."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}" for name in names])
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

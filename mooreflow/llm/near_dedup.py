@@ -12,7 +12,7 @@ the sets by their rarest shingles finds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -212,6 +212,9 @@ def _sets_of(n: int):
     return sets_of
 
 
+_SETS = "cid long, set array<long>"
+
+
 def _comp(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     """pairs with the components of both ends, where these differ."""
     if comps is None:
@@ -221,38 +224,41 @@ def _comp(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool = False) -> DataFrame:
-    """Those of pairs whose full sets are similar enough. counted: a set may be in many pairs; else windows
-    bound these."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, counted: Workspace | None = None) -> DataFrame:
+    """Those of pairs whose full sets are similar enough. counted: a set may be in many pairs, which are written
+    and counted there first; else windows bound these."""
+    known = pairs = counted.stage(pairs, "apart") if counted else pairs
     for x in "ab":
         own = sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
-        if counted:
-            own = own.join(pairs.groupBy(x).agg(F.count("*").alias("pairs")), x)
-            pairs = join_counted(pairs, own, [x], "pairs", [f"s{x}"], text=True).drop("pairs")
+        per = counted.stage(known.groupBy(x).agg(F.count("*").alias("pairs")), f"per-{x}") if counted else None
+        if per is not None and (per.agg(F.max("pairs")).first()[0] or 0) > HOT_ROWS:
+            pairs = join_counted(pairs, own.join(per, x), [x], "pairs", [f"s{x}"], text=True).drop("pairs")
         else:
             pairs = pairs.join(own, x)
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b", "ca", "cb")
 
 
-def _exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets (cid, set, comp) of different components that can be similar enough, and surely
+def _exact_pairs(sets: DataFrame, with_comp: Callable[[DataFrame], DataFrame], percent: int, work: Workspace) -> DataFrame:
+    """All pairs of sets (cid, set) of different components that can be similar enough, and surely
     those that are: such sets share one of their first n - ceil(n * percent / 100) + 1 shingles in any
-    one order, here the rarest first; the first that they share leaves enough others after it."""
+    one order, here the rarest first; the first that they share leaves enough others after it. What is read
+    more than once is written first, or the plan would hold how it is made each time."""
     shingles = sets.select("cid", F.explode("set").alias("g"))
     often = shingles.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
     # A shingle of one set only comes first in its order and joins nothing: its number is enough.
     shared = shingles.join(often, "g").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("order"))
-    n = F.size("set")
+    n = F.col("n")
     first = F.floor((F.lit(100 - percent) * n) / 100).cast("int") + 1 - (n - F.size("order"))
-    shared = shared.join(sets, "cid").withColumns({"n": n, "first": first}).where("first > 0")
+    shared = with_comp(shared.join(sets.select("cid", F.size("set").alias("n")), "cid").withColumn("first", first).where("first > 0"))
     keys = shared.select("cid", "comp", "n", (n - F.size("order")).alias("alone"), F.posexplode(F.slice("order", 1, F.col("first"))).alias("at", "x"))
-    keys = keys.select(F.col("x.g").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    keys = work.stage(keys.select(F.col("x.g").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
     # Only links between components count: of the rows with a shingle, those of its most frequent component
     # need not meet each other. Those of a frequent shingle are dealt by a salt, the others repeated for each.
     seen = keys.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.sum("k").alias("rows"), F.count("*").alias("comps"))
     seen = seen.where("comps > 1").select("g", "most", F.when(F.col("rows") > HOT_ROWS, F.lit(SALTS)).otherwise(1).alias("salts"))
-    keys = keys.join(seen, "g")
+    keys = work.stage(keys.join(seen, "g"), "meeting")
+    work.drop("prefixes")
     one = keys.where(F.col("comp") != F.col("most")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     other = keys.select("g", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"{c}_") for c in ("cid", "comp", "n", "left")], (F.col("comp") == F.col("most")).alias("most_"))
     similar = (F.col("most_") | (F.col("cid") < F.col("cid_"))) & (F.col("comp") != F.col("comp_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
@@ -282,26 +288,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     crowded = work.stage(crowded, "crowded")
     work.drop("both-0")
     comps: DataFrame | None = None
-    made: list[DataFrame] = []
+    made: list[str] = []
 
     def ends_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("cid")).distinct().unionAll(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
 
     def sets_for(need: DataFrame) -> DataFrame:
-        for old in made:
-            need = need.join(old.select("cid"), "cid", "left_anti")
+        if made:
+            need = need.join(work.together("cid long", made), "cid", "left_anti")
         need = need.join(classes.select("cid", "print"), "cid")
         need = work.stage(need, f"need-{len(made)}")
         texts = src.select(F.col("row").alias("cid"), "text").join(small(need), "cid")
-        made.append(work.stage(texts.select("cid", "print", "text").mapInPandas(lean(_sets_of(shingle)), "cid long, set array<long>"), f"sets-{len(made)}"))
-        out = made[0]
-        for x in made[1:]:
-            out = out.unionAll(x)
-        return out
+        work.stage(texts.select("cid", "print", "text").mapInPandas(lean(_sets_of(shingle)), _SETS), name := f"sets-{len(made)}")
+        made.append(name)
+        return work.together(_SETS, made)
 
     count = 0
 
-    def link(pairs: DataFrame, sets: DataFrame, counted: bool = False) -> bool:
+    def link(pairs: DataFrame, sets: DataFrame, counted: Workspace | None = None) -> bool:
         """Confirm the pairs between components and join these; whether any was."""
         nonlocal comps, count
         count += 1
@@ -330,22 +334,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
         # until neither finds a link.
         orders = work.stage(spread(classes.join(small(crowded), "cid", "left_semi")), "crowded-orders")
-        tested, again, idle = pairs.select("a", "b"), 0, 0
+        tested, again, idle = ["pairs-0"], 0, 0
         while idle < 2:
             again += 1
             more, _ = _candidates(with_comp(orders), work, percent, str(again), True, again % 2 == 0)
-            more = work.stage(more.join(tested, ["a", "b"], "left_anti"), f"pairs-{again}")
+            more = work.stage(more.join(work.together("a long, b long", tested), ["a", "b"], "left_anti"), f"pairs-{again}")
             idle += 1
             if more.limit(1).count():
                 sets = sets_for(ends_of(more))
                 if link(more, sets):
                     idle = 0
-                tested = tested.unionAll(more.select("a", "b"))
+                tested.append(f"pairs-{again}")
         # Then all that is left between components there, without windows or sketches.
-        sets = sets_for(crowded).join(crowded, "cid", "left_semi")
-        rest = work.stage(_exact_pairs(with_comp(sets), percent).join(tested, ["a", "b"], "left_anti"), "pairs-exact")
+        sets = sets_for(crowded)
+        rest = _exact_pairs(sets.join(crowded, "cid", "left_semi"), with_comp, percent, work)
+        rest = work.stage(rest.join(work.together("a long, b long", tested), ["a", "b"], "left_anti"), "pairs-exact")
         if rest.limit(1).count():
-            link(rest, sets, True)
+            link(rest, sets, work)
     home = classes.select("print", "cid", "best")
     if comps is not None:
         home = home.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("print", F.coalesce("comp", "cid").alias("comp"), "best")

@@ -264,6 +264,32 @@ def test_all_links_among_variants_of_one_text(table, edits, kinds):
     assert kinds is None or len(set(got.values())) >= kinds
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_near_plans_stay_small(table, monkeypatch, hot):
+    """The driver holds each plan: a table that is read over and over is written first, whatever passes were made."""
+    scans = []
+    stage = common.Workspace.stage
+
+    def counted(self, df, name):
+        scans.append((df._jdf.queryExecution().optimizedPlan().collectLeaves().size(), name))
+        return stage(self, df, name)
+
+    monkeypatch.setattr(common.Workspace, "stage", counted)
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "HOT_ROWS", hot)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for p in rng.sample(range(100), 3):
+            w[p] = f"e{rng.randrange(200)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(table(rows), shingle=3, percent=85).collect()}
+    assert got == near_brute(rows, 3, 85)
+    assert "pairs-exact" in {name for _, name in scans} and max(scans)[0] <= 32
+
+
 def test_seams_by_levels(table, monkeypatch):
     """Many partitions, whose ends are themselves looked through in several."""
     monkeypatch.setattr(near_dedup, "SEAM_ROWS", 60)
