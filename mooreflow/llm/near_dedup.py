@@ -5,9 +5,9 @@ sorted by a sequence of signature values of their own. Sets next to each other i
 their longest prefixes, and the depth to which they agree adapts to the region: neighbours meet at
 depth 1 where sets are few, and deeper where many share a prefix. Neighbours become candidates, and
 a candidate is a link when the full sets confirm it. Regions in which more sets share a prefix than
-a window holds are passed again with wider windows and with each run of one component drawn
-together, in turn, until neither finds a new link; what these may still miss there, an exact join of
-the sets by their rarest shingles finds.
+a window holds are passed once more with a wider window, and then with each run of one component
+drawn together, until that finds no new link; what these may still miss there, an exact join of the
+sets by their rarest shingles finds.
 """
 
 from __future__ import annotations
@@ -256,9 +256,10 @@ def _exact_pairs(sets: DataFrame, with_comp: Callable[[DataFrame], DataFrame], p
     # Only links between components count: of the rows with a shingle, those of its most frequent component
     # need not meet each other. Those of a frequent shingle are dealt by a salt, the others repeated for each.
     seen = keys.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.sum("k").alias("rows"), F.count("*").alias("comps"))
-    seen = seen.where("comps > 1").select("g", "most", F.when(F.col("rows") > HOT_ROWS, F.lit(SALTS)).otherwise(1).alias("salts"))
-    keys = work.stage(keys.join(seen, "g"), "meeting")
-    work.drop("prefixes")
+    seen = work.stage(seen.where("comps > 1").select("g", "most", "rows", F.when(F.col("rows") > HOT_ROWS, F.lit(SALTS)).otherwise(1).alias("salts")), "seen")
+    keys = work.stage(join_counted(keys, seen, ["g"], "rows", ["most", "salts"]).drop("rows"), "meeting")
+    for name in ("prefixes", "seen"):
+        work.drop(name)
     one = keys.where(F.col("comp") != F.col("most")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     other = keys.select("g", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"{c}_") for c in ("cid", "comp", "n", "left")], (F.col("comp") == F.col("most")).alias("most_"))
     similar = (F.col("most_") | (F.col("cid") < F.col("cid_"))) & (F.col("comp") != F.col("comp_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
@@ -331,19 +332,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         for low, high in ((0, 1), (2, 3)):
             link(pairs.where(F.col("rank").between(low, high)), sets)
     if crowded.limit(1).count():
-        # Crowded regions once more: all their rows, then the ends of runs of one component, in turn,
-        # until neither finds a link.
+        # Crowded regions once more: all their rows, then the ends of runs of one component, until these
+        # give no link. All rows again would be in the same order, each pair tested or in one component.
         orders = work.stage(spread(classes.join(small(crowded), "cid", "left_semi")), "crowded-orders")
-        tested, again, idle = ["pairs-0"], 0, 0
-        while idle < 2:
+        tested, again, idle = ["pairs-0"], 0, False
+        while again < 2 or not idle:
             again += 1
-            more, _ = _candidates(with_comp(orders), work, percent, str(again), True, again % 2 == 0)
+            more, _ = _candidates(with_comp(orders), work, percent, str(again), True, again > 1)
             more = work.stage(more.join(work.together("a long, b long", tested), ["a", "b"], "left_anti"), f"pairs-{again}")
-            idle += 1
+            idle = True
             if more.limit(1).count():
-                sets = sets_for(ends_of(more))
-                if link(more, sets):
-                    idle = 0
+                idle = not link(more, sets_for(ends_of(more)))
                 tested.append(f"pairs-{again}")
         # Then all that is left between components there, without windows or sketches.
         sets = sets_for(crowded)
