@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooreflow.llm import decontam, langid, line_dedup, near_dedup, packing
-from mooreflow.llm.common import Workspace, without
+from mooreflow.llm.common import Workspace, collect_executors, without
 from mooreflow.session import ship
 
 #: Mean marginal of a document's language below which it is rejected: no language fits it.
 LEAST_SCORE = 0.35
 
 
+def _fresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, begun with what ran before collected in the executors: it then takes no more memory than alone."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_fresh
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is none of the learned ones, go; null and empty texts
     have no letter. Where no row has a label nothing is learned, so nothing is rejected: all rows stay."""
@@ -25,12 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, Workspace(spark, "language").stage(rejected, "rejected"), "text")
 
 
+@_fresh
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go; a document that loses all its words goes too. Documents that
     lose no line stay as they are, null and empty ones too."""
     return line_dedup.dedup(docs, equal_words=1)
 
 
+@_fresh
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id, and of rows that
     share it one. Documents without words are no group and stay."""
@@ -39,11 +56,13 @@ def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without(docs, dropped, "text")
 
 
+@_fresh
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, each row that does; a null or empty text holds none."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_fresh
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences; a null or empty text is the end token alone."""
     return packing.pack(docs)

@@ -106,6 +106,14 @@ def collect_garbage(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def collect_executors(spark: SparkSession) -> None:
+    """A full collection in the executors, which gives free heap back to the system. Else a heap may stay as large
+    as any job before has made it, and what earlier work has left there counts against the work that follows. As many
+    tasks as there are cores run at once, so each executor that is idle gets one; one that is not keeps its heap as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
     """Whether df has at most so many rows, or so much weight: the sum of a column, for rows that may be long."""
     if weight is None:

@@ -201,6 +201,21 @@ def test_pipeline_without_rows_or_labels(lspark, tmp_path):
     assert p.language_id(lspark, lspark.read.parquet(f"{folder}/documents.parquet"), folder).count() == 21
 
 
+def test_each_stage_begins_with_collected_executors(lspark, tmp_path, monkeypatch):
+    """What a stage leaves in the executors' heaps must not count against the next one."""
+    import corpus_pipeline as p
+    from mooreflow.llm import common
+
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)  # no collection for the driver's sake, which is the same JVM here
+    beans = lspark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
+    folder = pipeline_input(lspark, tmp_path / "a", [(i, f"some text about {i} and nothing else", "en", "s") for i in range(4)])
+    docs = lspark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in p.STAGES:
+        before = collected()
+        assert stage(lspark, docs, folder).columns and collected() > before, name
+
+
 def test_a_changed_input_raises(lspark, tmp_path):
     """Rows that are found again by number must have the text that they had."""
     from mooreflow.llm.common import with_row, without
