@@ -1,8 +1,9 @@
 """Line deduplication with a deletion-neighbourhood join, for an edit bound of one word.
 
-Two lines are near when one word substituted, inserted or deleted turns one into the other. The
-neighbourhood is taken in two steps. First a line is cut into a few units at words chosen by their
-hash, and every variant with one unit or two adjacent units deleted is emitted as a hashed key; an
+Two lines are near when one word substituted, inserted or deleted turns one into the other. Near lines
+have their first halves in common, or their last ones, so lines whose halves no other line has are done.
+The neighbourhood of the others is taken in two steps. First a line is cut into a few units at words chosen by
+their hash, and every variant with one unit or two adjacent units deleted is emitted as a hashed key; an
 edit changes one unit, or splits or merges two, so near lines share a key. Then, for lines that share
 a key with another line, the words of the deleted units are deleted one by one. All lines that share
 a key of the second step are within one edit of each other, so the earliest of them stands for all:
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooreflow.llm.common import Workspace, again, hash_bytes, join_counted, lean, lower, mix, sampled, signed, small, steps, text_hashes, with_row
+from mooreflow.llm.common import Workspace, again, hash_bytes, is_small, join_counted, lean, lower, mix, sampled, signed, small, steps, text_hashes, with_row
 
 #: Shorter lines have no near ones: one edit in fewer than five words is a similarity below 0.8.
 MIN_WORDS = 5
@@ -29,6 +30,8 @@ FEW_UNITS = 3
 FEW_LINES = 3
 #: A key that so many lines of a sample share is dealt by line, too; of such keys the most frequent.
 OFTEN, OFTEN_KEYS = 64, 10_000
+#: Columns of the keys of a line's halves.
+HALVES = ["first_half", "last_half", "first_half_below", "last_half_below"]
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _THREE = np.uint64(3)
 
@@ -52,6 +55,29 @@ def line_hash(w: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(mix(w + at.astype(np.uint64) * _K1), start) + count.astype(np.uint64) * _K3)
 
 
+def _half(m: np.ndarray) -> np.ndarray:
+    """Words of a half of a line of m words: m // 2, or a little less, so that most lines one word longer have the same."""
+    unit = 1 << np.maximum(np.frexp(m)[1] - 3, 0)
+    return np.maximum((m - m % unit) // 2, 1)
+
+
+def halves(w: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, whether the line has it) of each line's first and last half, then of those of a line one word
+    shorter where they have other lengths. Two halves are no longer than the shorter of two near lines, and
+    the edit is in one of them at most, so near lines share a key. w: as for variants."""
+    at = np.arange(len(w)) - np.repeat(start, count)
+    back = np.repeat(count, count) - 1 - at
+    zero = np.zeros(1, np.uint64)
+    left = np.concatenate([zero, np.cumsum(mix(w + at.astype(np.uint64) * _K1 + _K2), dtype=np.uint64)])
+    right = np.concatenate([zero, np.cumsum(mix(w + back.astype(np.uint64) * _K2 + _K3), dtype=np.uint64)])
+    end = start + count
+    own, below = _half(count), _half(np.maximum(count - 1, 1))
+    for n, has in ((own, np.ones(len(count), bool)), (below, below != own)):
+        salt = n.astype(np.uint64) * _K3
+        yield mix(left[start + n] - left[start] + salt), has
+        yield mix(right[end] - right[end - n] + salt + _K1), has
+
+
 def variants(w: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(line, key, first deleted word, end of the deleted words) of the first step's variants, level by
     level. w: word hashes of all lines, laid end to end; every line has words."""
@@ -145,40 +171,50 @@ def _flat(texts: list[str | None], min_words: int):
     return who[start[take]], number[start[take]], h[words], np.cumsum(count) - count, count
 
 
-def _lines(equal_words: int):
+def _lines(equal_words: int, min_words: int):
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each row its number of lines (line -1), and each line with enough words to be compared as a whole."""
+        """For each row its number of lines (line -1), and each line with enough words to be compared as a
+        whole, with the keys of its halves where it has enough words for near lines."""
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             row, doc = batch["row"].to_numpy(), batch["doc_id"].astype("Int64")
-            yield pd.DataFrame({"row": row, "doc_id": doc, "line": -1, "h": [0 if t is None else t.count("\n") + 1 for t in texts], "check": batch["check"].astype("Int64")})
+            none = pd.array([None] * len(row), "Int64")
+            yield pd.DataFrame({"row": row, "doc_id": doc, "line": -1, "h": [0 if t is None else t.count("\n") + 1 for t in texts], "check": batch["check"].astype("Int64")} | dict.fromkeys(HALVES, none))
             for i, j in steps(texts):
                 who, number, w, start, count = _flat(texts[i:j], equal_words)
                 if len(who):
-                    yield pd.DataFrame({"row": row[who + i], "doc_id": doc.iloc[who + i].to_numpy(), "line": number, "h": signed(line_hash(w, start, count)), "check": pd.array([None] * len(who), "Int64")}).astype({"doc_id": "Int64"})
+                    keys = {c: pd.arrays.IntegerArray(signed(key), ~(has & (count >= min_words))) for c, (key, has) in zip(HALVES, halves(w, start, count), strict=True)}
+                    yield pd.DataFrame({"row": row[who + i], "doc_id": doc.iloc[who + i].to_numpy(), "line": number, "h": signed(line_hash(w, start, count)), "check": pd.array([None] * len(who), "Int64")} | keys).astype({"doc_id": "Int64"})
 
     return lines
 
 
-def _keys(min_words: int):
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Keys of the first step, each line of a batch once."""
-        for batch in batches:
-            seen: set[int] = set()
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for i, j in steps(texts):
-                _, _, w, start, count = _flat(texts[i:j], min_words)
-                h = line_hash(w, start, count)
-                fresh = np.zeros(len(h), bool)
-                _, first = np.unique(h, return_index=True)
-                fresh[[k for k in first.tolist() if int(h[k]) not in seen]] = True
-                seen.update(h[fresh].tolist())
-                take = np.repeat(fresh, count)
-                w, count, h = w[take], count[fresh], h[fresh]
-                for of, key, _, _ in variants(w, np.cumsum(count) - count, count):
-                    yield pd.DataFrame({"key": signed(key), "h": signed(h[of])})
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of the marked lines."""
+    for batch in batches:
+        for i, j in steps(batch["text"].tolist()):
+            part = batch.iloc[i:j]
+            lines, hashes = [], []
+            for t, marks in zip(part["text"], part["marks"], strict=True):
+                own = lower(t).split(b"\n")
+                for m in marks:
+                    lines.append(own[m["line"]].split() if m["line"] < len(own) else [])
+                    hashes.append(m["h"])
+            count = np.array([len(x) for x in lines], np.int64)
+            w, h = hash_bytes(b" ".join(x for own in lines for x in own))[0], np.array(hashes, np.int64)
+            if not count.all() or (signed(line_hash(w, np.cumsum(count) - count, count)) != h).any():
+                raise ValueError("the input's rows changed between two reads; write them to a table first")
+            yield pd.DataFrame({"h": h, "words": [b" ".join(x).decode("utf-8", "replace") for x in lines]})
+
 
-    return keys
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of the first step."""
+    for batch in batches:
+        h, texts = batch["h"].to_numpy(), batch["words"].tolist()
+        for i, j in steps(texts):
+            w, count, _ = text_hashes(texts[i:j])
+            for of, key, _, _ in variants(w, np.cumsum(count) - count, count):
+                yield pd.DataFrame({"key": signed(key), "h": h[i:j][of]})
 
 
 def _shared(hot):
@@ -238,28 +274,16 @@ def _needed(keys: list[int], groups: list[int], at: list[tuple]) -> Iterator[tup
 
 
 def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Second-step keys of the marked lines, and once for each its words (sub null)."""
+    """Second-step keys of lines, given with their words and those keys of the first step that lead on."""
     for batch in batches:
-        for i, j in steps(batch["text"].tolist()):
+        for i, j in steps(batch["words"].tolist()):
             part = batch.iloc[i:j]
-            lines, hashes, keys, groups = [], [], [], []
-            for t, marks in zip(part["text"], part["marks"], strict=True):
-                own = lower(t).split(b"\n")
-                for m in marks:
-                    lines.append(own[m["line"]].split() if m["line"] < len(own) else [])
-                    hashes.append(m["h"])
-                    keys += [k["key"] for k in m["keys"]]
-                    groups += [k["lines"] for k in m["keys"]]
-            count = np.array([len(x) for x in lines], np.int64)
-            start = np.cumsum(count) - count
-            w, h = hash_bytes(b" ".join(x for own in lines for x in own))[0], np.array(hashes, np.int64)
-            if not count.all() or (signed(line_hash(w, start, count)) != h).any():
-                raise ValueError("the input's rows changed between two reads; write them to a table first")
-            yield pd.DataFrame({"h": h, "words": [b" ".join(x).decode("utf-8", "replace") for x in lines]}).assign(sub=pd.array([None] * len(h), "Int64"))[["sub", "h", "words"]]
-            at = [(*x, bool(k % 2)) for k, x in enumerate(variants(w, start, count))]
-            for of, key, begin, end in _needed(keys, groups, at):
+            h, found = part["h"].to_numpy(), [k for own in part["keys"] for k in own]
+            w, count, _ = text_hashes(part["words"].tolist())
+            at = [(*x, bool(k % 2)) for k, x in enumerate(variants(w, np.cumsum(count) - count, count))]
+            for of, key, begin, end in _needed([k["key"] for k in found], [k["lines"] for k in found], at):
                 who, sub = second_keys(key, w, begin, end)
-                yield pd.DataFrame({"sub": pd.array(signed(sub), "Int64"), "h": h[of[who]], "words": None})
+                yield pd.DataFrame({"sub": signed(sub), "h": h[of[who]]})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,13 +304,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     src = with_row(docs, id_col, text_col, check=True)
-    lines = work.stage(src.mapInPandas(lean(_lines(min_words if equal_words is None else min(min_words, equal_words))), "row long, doc_id long, line int, h long, check long"), "lines")
+    entry = "row long, doc_id long, line int, h long, check long, " + ", ".join(f"{c} long" for c in HALVES)
+    lines = work.stage(src.mapInPandas(lean(_lines(min_words if equal_words is None else min(min_words, equal_words), min_words)), entry), "lines")
     meta, lines = lines.where("line = -1").select("row", "check", "doc_id", F.col("h").alias("n_lines")), lines.where("line >= 0").drop("check")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = work.stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    keys = src.select("text").mapInPandas(lean(_keys(min_words)), "key long, h long")
+    # Lines with a half that another line has too; only those may have near ones.
+    halved = lines.where(f"{HALVES[0]} is not null").select("h", F.explode(F.array(*HALVES)).alias("key")).where("key is not null")
+    both = halved.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("n"))
+    both = work.stage(both.where("least <> most").select("key", "n"), "halves")
+    meet = halved.join(F.broadcast(both), "key") if is_small(both) else join_counted(halved, both, ["key"], "n")
+    meet = work.stage(meet.select("h").distinct(), "candidates")
+    order = work.stage(firsts.select("h", "first").join(small(meet), "h"), "places")
+    by_row = order.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h")).alias("marks"))
+    by_row = work.stage(by_row, "by-row")
+    texts = src.select("row", "text").join(small(by_row, 1_000_000, F.size("marks") + 1), "row")
+    words = work.stage(texts.select("text", "marks").mapInPandas(lean(_words), "h long, words string"), "words")
+    keys = words.mapInPandas(lean(_keys), "key long, h long")
     # Keys that a sample shows to be in many lines are dealt by line as well: that others share them is known.
-    often = sampled(src.select("text")).mapInPandas(lean(_keys(min_words)), "key long, h long").groupBy("key").agg(F.count_distinct("h").alias("n")).where(F.col("n") >= OFTEN)
+    often = sampled(words).mapInPandas(lean(_keys), "key long, h long").groupBy("key").agg(F.count_distinct("h").alias("n")).where(F.col("n") >= OFTEN)
     found = sorted(r["key"] for r in often.orderBy(F.desc("n"), "key").limit(OFTEN_KEYS).collect())
     hot = spark.sparkContext.broadcast(np.array(found, np.int64))
     dealt = keys.repartition("key", F.when(F.col("key").isin(found), F.pmod("h", F.lit(1 << 16))).otherwise(0)) if found else keys.repartition("key")
@@ -294,30 +330,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = work.stage(shared.groupBy("key").agg(F.count("*").alias("n"), F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("h"))).alias("lines")), "whole")
     shared = work.stage(join_counted(shared, whole, ["key"], "n", ["lines"]), "groups")
     work.drop("shared")
-    many = F.when(F.col("n") > FEW_LINES, F.struct("key", "lines"))
-    marked = work.stage(shared.groupBy("h").agg(F.collect_list(many).alias("keys")).join(firsts.select("h", "first"), "h"), "marked")
-    order = marked.select("h", "first")
-    by_row = marked.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "keys")).alias("marks"))
-    by_row = work.stage(by_row, "by-row")
-    weight = F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + 1 + F.size(m["keys"]))
-    texts = src.select("row", "text").join(small(by_row, 1_000_000, weight), "row")
-    subs = work.stage(texts.select("text", "marks").mapInPandas(lean(_second), "sub long, h long, words string"), "second")
-    words = subs.where("sub is null").select("h", "words")
-    own = subs.where("sub is not null").select("sub", "h").join(order, "h")
-    best = work.stage(own.groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("n")).select("sub", "n", F.col("best.h").alias("b")).where("n > 1"), "best")
-    pairs = join_counted(subs.where("sub is not null").select("sub", "h"), best, ["sub"], "n", ["b"]).select(F.col("h").alias("a"), "b")
+    marked = work.stage(shared.where(F.col("n") > FEW_LINES).groupBy("h").agg(F.collect_list(F.struct("key", "lines")).alias("keys")), "marked")
+    subs = words.join(small(marked, 1_000_000, F.size("keys") + 1), "h").select("h", "words", "keys")
+    subs = work.stage(subs.mapInPandas(lean(_second), "sub long, h long"), "second")
+    places = small(order)
+    best = work.stage(subs.join(places, "h").groupBy("sub").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("n")).select("sub", "n", F.col("best.h").alias("b")).where("n > 1"), "best")
+    pairs = join_counted(subs, best, ["sub"], "n", ["b"]).select(F.col("h").alias("a"), "b")
     few = shared.where(F.col("n") <= FEW_LINES).groupBy("key").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     two = F.transform("hs", lambda x, i: F.transform(F.filter("hs", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y"))))
     few = few.select(F.explode(F.flatten(two)).alias("p")).select("p.*").distinct()
     for x in "xy":
-        few = few.join(order.select(F.col("h").alias(x), F.col("first").alias(f"at_{x}")), x)
+        few = few.join(places.select(F.col("h").alias(x), F.col("first").alias(f"at_{x}")), x)
     few = few.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("at_x") > F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("b"))
     pairs = work.stage(pairs.unionAll(few).where("a <> b").distinct(), "pairs")
     per = pairs.groupBy("b").agg(F.count("*").alias("n"))
     pairs = join_counted(pairs, words.select(F.col("h").alias("b"), F.col("words").alias("wb")).join(per, "b"), ["b"], "n", ["wb"], text=True).drop("n")
     pairs = pairs.join(words.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a")
     near = pairs.mapInPandas(lean(_verified), "a long, b long").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
-    gone = firsts.join(near, "h", "left").where("near or n > 1").select("h", "n", F.coalesce("near", F.lit(False)).alias("near"), "first")
+    near = work.stage(near, "near")
+    gone = firsts.join(small(near), "h", "left").where("near or n > 1").select("h", "n", F.coalesce("near", F.lit(False)).alias("near"), "first")
     gone = work.stage(gone, "gone")
     work.keep("lines", "gone")
     lost = join_counted(lines.select("row", "line", "h"), gone, ["h"], "n", ["near", "first"]).where(F.col("near") | (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))

@@ -137,6 +137,47 @@ def test_one_word_of_many_lines_differs(table):
     assert got == {i: [] if i == 0 else [0] for i in range(400)}
 
 
+def test_near_lines_share_a_half():
+    """One word substituted or inserted anywhere in a line of any length leaves a half key as it was."""
+
+    def keys(lines):
+        count = np.array([len(x) for x in lines])
+        found = list(line_dedup.halves(common.hash_words([w for x in lines for w in x]), np.cumsum(count) - count, count))
+        return [{int(k[i]) for k, has in found if has[i]} for i in range(len(lines))]
+
+    for m in [*range(2, 70), 127, 128, 129, 1023, 1024]:
+        line = [b"%d" % i for i in range(m)]
+        places = range(m + 1) if m < 70 else (0, 1, m // 2 - 1, m // 2, m // 2 + 1, m - 1, m)
+        near = [line[:p] + [b"x"] + line[p + d :] for p in places for d in (0, 1)]
+        own, *others = keys([line, *near])
+        assert 2 <= len(own) <= 4 and all(own & k for k in others)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_only_lines_that_share_a_half_are_cut(table, monkeypatch, broadcast):
+    """Lines whose halves no other line has don't come to the first step; a half that many lines share takes no other way."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    start, near = words(9), words(20)
+    alone, begun = [words(rng.randint(5, 40)) for _ in range(150)], [f"{start} {words(9)}" for _ in range(60)]
+    rows = list(enumerate([*alone, *begun, near, f"x {near}", *alone[:20], f"{begun[7]} y", "x".join(begun[9].rsplit("w", 1))]))
+    written, stage = {}, line_dedup.Workspace.stage
+
+    def counted(self, df, name):
+        out = stage(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Workspace, "stage", counted)
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "is_small", lambda *_: False)
+        monkeypatch.setattr(line_dedup, "small", lambda df, *_: df)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+    got = {r["doc_id"]: (r["n_lines"], list(r["dropped"])) for r in line_dedup.dropped_lines(table(rows)).collect()}
+    assert got == lines_brute(rows) and sum(len(gone) for _, gone in got.values()) == 23
+    assert written["firsts"] == 150 + 60 + 2 + 2 and written["words"] == 60 + 2 + 2
+
+
 def test_lines_leave_all_else(table):
     text = "this line is repeated in both texts\nshort\n\nand this one only stands here once"
     df = table([(1, text), (2, text.replace("here once", "there two times x y")), (3, "THIS line is  repeated in both texts"), (4, None), (5, "")])
